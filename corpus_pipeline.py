@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import packing, quality, secrets
+from gleaner.llm import minhash, packing, quality, secrets, suffixes
 from gleaner.llm.common import shared_folder, table
 
 
@@ -17,6 +17,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality.score(F.col("text"), model) >= quality.THRESHOLD)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that repeat earlier strings; characters cut in two go as well."""
+    left = suffixes.remove_repeats(docs, as_text=True).select(F.col("doc_id").alias("own"), F.col("kept").alias("text")).dropDuplicates(["own"])
+    rest = docs.drop("text", "n_chars").join(left, F.col("doc_id").eqNullSafe(F.col("own")), "inner")
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret replaced by a mask; n_chars follows the text."""
     return docs.withColumn("text", secrets.redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
@@ -27,7 +40,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", keep_quality), ("secret scans", hide_secrets), ("packing", pack_windows)]
+STAGES = [("quality classifier", keep_quality), ("near duplicates", keep_one_of_near_copies), ("repeated strings", drop_repeats), ("secret scans", hide_secrets), ("packing", pack_windows)]
 ORACLE_SQL = None
 
 
