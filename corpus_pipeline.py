@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, packing, quality, secrets, suffixes
@@ -19,15 +19,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.join(kept, F.col("doc_id") == F.col("__kept"), "inner").drop("__kept")
+    # Rows that repeat an id are copies: the one with the least text stays. Nothing is known of rows without an id.
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return own.withColumn("__copy", copy).where("__copy = 1").drop("__copy").unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat earlier strings; characters cut in two go as well."""
-    left = suffixes.remove_repeats(docs, as_text=True).select(F.col("doc_id").alias("own"), F.col("kept").alias("text")).dropDuplicates(["own"])
-    rest = docs.drop("text", "n_chars").join(left, F.col("doc_id").eqNullSafe(F.col("own")), "inner")
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    left = suffixes.remove_repeats(docs, as_text=True, carry=[c for c in docs.columns if c not in ("text", "n_chars")])
+    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*(made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,13 +13,14 @@ by symbol until it is sorted to that depth, and the same refinement yields the i
 The first window of an interval stays, the others are repeats. No suffix is sorted again in the merge.
 
 Null text counts as empty; a document shorter than `length` loses nothing. Rows with a null id are given back
-whole. Ids are expected to be unique; rows that repeat an id and its text share one result. Further columns are not
-read. An empty table gives an empty result.
+whole. Of rows that repeat an id, the longest text (of equal lengths the least) stands for the id; rows with the same
+text share its result, others are given back whole. Further columns are read only if they are to be carried. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -242,10 +243,12 @@ def _unpack(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
     return out, blob[at:]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, `kept` (its remaining bytes, or their whole characters as text)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans, `kept` (its remaining bytes, or their whole characters
+    as text), and a struct `rest` of the columns to be carried, if any."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] * bool(carry))
+    rest = ["rest"] * bool(carry)
     groups = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     side, depth = length - gram, length - gram + 1
     blob_kind = "g int, kind string, data binary"
@@ -262,17 +265,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         source = np.array([g], "<i4").tobytes()
         return [(b, kind, source + _pack(k[lo:hi], *(c[order[lo:hi]] for c in columns))) for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if hi > lo]
 
-    def bytes_of(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids in rising order, all bytes, bounds."""
+    def bytes_of(texts: pa.Table, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in rising order, all bytes, bounds, the rows' numbers, and which rows have the text that stands for their id.
+
+        Only one row for each id is given unless every row is asked for.
+        """
         ids = texts["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
+        same = np.ones(len(ids), bool)
+        if (ids[order][1:] == ids[order][:-1]).any():
+            strings = texts["text"].cast(pa.binary()).to_pylist()
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], -len(strings[i]), strings[i])))
+            first = np.searchsorted(ids[order], ids[order])
+            same = np.array([strings[i] == strings[order[f]] for i, f in zip(order.tolist(), first.tolist(), strict=True)])
+            if not every:
+                order = order[first == np.arange(len(first))]
+                same = np.ones(len(order), bool)
         data, bounds = flat_bytes(texts["text"].take(pa.array(order)))
-        return ids[order], data, bounds
+        return ids[order], data, bounds, order, same
 
     def find(texts: pa.Table) -> pa.Table:
         """Anchors of a group of documents for the slices; repeats inside the group are settled here."""
         g = texts["g"][0].as_py()
-        ids, data, bounds = bytes_of(texts)
+        ids, data, bounds, _, _ = bytes_of(texts)
         found: list[list[np.ndarray]] = []
         begin = 0
         while begin < len(ids):
@@ -322,7 +337,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 parts.append(_unpack(data, "<u8", "<i8", "<i4")[0])
         if parts:
             g = asked["g"][0].as_py()
-            ids, data, bounds = bytes_of(texts)
+            ids, data, bounds, _, _ = bytes_of(texts)
             k, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(k, kind="stable")
             k, d, p = k[order], d[order], p[order].astype(np.int64)
@@ -372,16 +387,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
         """What is left of a group's documents."""
         columns: list[list] = [[], [], [], [], []]
+        order = np.zeros(0, np.int64)
         if texts.num_rows:
-            ids, data, bounds = bytes_of(texts)
+            ids, data, bounds, order, same = bytes_of(texts, every=True)
             parts = [_read_spans(x) for x in spans["data"].to_pylist()]
             d, s, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
             step = np.zeros(len(data) + 1, np.int32)
-            for side_ in ("left", "right") if len(np.unique(ids)) < len(ids) else ("left",):  # rows of one id
-                doc = np.searchsorted(ids, d, side=side_) - (side_ == "right")
-                lo, hi = np.clip(bounds[doc] + s, bounds[doc], bounds[doc + 1]), np.clip(bounds[doc] + e, bounds[doc], bounds[doc + 1])
-                np.add.at(step, lo, 1)
-                np.add.at(step, hi, -1)
+            head = np.searchsorted(ids, d)
+            rows = np.searchsorted(ids, d, side="right") - head  # over 1 only where an id repeats
+            doc = np.repeat(head, rows) + np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+            s, e = np.repeat(s, rows)[same[doc]], np.repeat(e, rows)[same[doc]]
+            doc = doc[same[doc]]
+            lo, hi = np.maximum(bounds[doc] + s, bounds[doc]), np.minimum(bounds[doc] + e, bounds[doc + 1])
+            np.add.at(step, lo, 1)
+            np.add.at(step, hi, -1)
             gone = np.cumsum(step[:-1]) > 0
             kept = data[~gone]
             total = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
@@ -394,16 +413,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             left = bounds - total[bounds]
             raw = kept.tobytes()
             columns = [ids, np.diff(bounds), removed, rises[bounds[1:]] - rises[bounds[:-1]], [raw[a:b].decode("utf-8", "ignore").encode() if as_text else raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        return pa.table([*made, texts["rest"].take(pa.array(order, pa.int64()))] if carry else made, ["id", "n_bytes", "n_removed", "n_spans", "kept"] + ["rest"] * bool(carry))
 
-    grouped = docs.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text").repartition(groups, "g")
+    grouped = docs.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text", *rest).repartition(groups, "g")
     slice_kind = blob_kind.replace("g int", "b int")
     asked = grouped.groupBy("g").applyInArrow(find, slice_kind).repartition(groups, "b").groupBy("b").applyInArrow(meet, blob_kind)
     contexts = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(fetch, slice_kind)
     spans = contexts.repartition(groups, "b").groupBy("b").applyInArrow(compare, blob_kind)
-    out = grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    out = grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary" + (f", rest {docs.schema['rest'].dataType.simpleString()}" if carry else ""))
     whole = F.col("text").cast("binary")
-    alone = docs.where("id is null").select("id", F.length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias("kept"))
+    alone = docs.where("id is null").select("id", F.length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias("kept"), *rest)
     out = out.unionByName(alone).withColumnRenamed("id", key)
     return out.withColumn("kept", F.col("kept").cast("string")) if as_text else out
 
