@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -96,3 +98,54 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = after
     raise RuntimeError("components: the edges did not contract")
+
+
+def sealed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed blob: rows that travel together shrink far more than rows alone."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(blobs: Iterable[bytes]) -> pa.Table:
+    """The rows of sealed batches."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+
+
+def deal(batch: pa.RecordBatch, groups: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Sealed parts of a batch, one for each group that its rows belong to."""
+    order = np.argsort(groups, kind="stable")
+    bound = np.flatnonzero(np.diff(groups[order])) + 1
+    rows = batch.take(pa.array(order))
+    for a, b in zip([0, *bound.tolist()], [*bound.tolist(), len(order)], strict=True):
+        if b > a:
+            yield int(groups[order[a]]), sealed(rows.slice(a, b - a))
+
+
+def values(table: pa.Table, name: str) -> list:
+    """A column's values; none of a side without rows, which comes without columns."""
+    return table[name].to_pylist() if table.num_rows else []
+
+
+def trimmed(f):
+    """A function on groups that gives freed memory back to the system when it ends: workers live for many tasks."""
+
+    def ended() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            ended()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            ended()
+
+    return two if f.__code__.co_argcount == 2 else one  # Spark counts the arguments

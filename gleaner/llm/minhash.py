@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, checkpoint, components, table
+from gleaner.llm.common import byte_list, components, deal, opened, table, trimmed, values
 
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 10, 3
 IDF_SHARE = 0.5
 BUCKET_MOST, LEADERS = 8192, 64
-HASH_BITS = 56
+HASH_BITS = 48
 #: Bytes of text whose shingles are worked on at once.
 CHUNK = 1_500_000
 
@@ -67,7 +67,7 @@ _GAMMA, _LOG_GAMMA = _quantiles()
 
 
 def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted 56-bit shingle hashes of each text, repeated as often as the shingle occurs."""
+    """Sorted 48-bit shingle hashes of each text, repeated as often as the shingle occurs."""
     flat = np.frombuffer(b" ".join([t.translate(_WORD) for t in texts]) + b" ", np.uint8)
     inside = flat != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).view(np.int8)))
@@ -106,22 +106,19 @@ def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted hashes as five-byte differences, or eight bytes each where a difference is too wide; the first byte tells."""
-    d = np.diff(h, prepend=_U(0))
-    width = 5 if not len(d) or int(d[1:].max(initial=0)) < 1 << 40 else 8
-    first = h[:1].astype("<u8").tobytes()
-    return bytes([width]) + first + np.ascontiguousarray(d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted hashes as four-byte differences; the few wider ones have their upper halves apart."""
+    d = np.diff(h, prepend=_U(0)).astype("<u8")
+    wide = np.flatnonzero(d >> _U(32))
+    return len(h).to_bytes(4, "little") + len(wide).to_bytes(4, "little") + (d & _U(0xFFFFFFFF)).astype("<u4").tobytes() + wide.astype("<u4").tobytes() + (d[wide] >> _U(32)).astype("<u4").tobytes()
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
-    if len(data) < 9:
-        return np.zeros(0, _U)
-    width, rest = data[0], np.frombuffer(data, np.uint8, offset=9)
-    d = np.zeros((len(rest) // width + 1, 8), np.uint8)
-    d[1:, :width] = rest.reshape(-1, width)
-    d = d.reshape(-1).view("<u8")
-    d[0] = int.from_bytes(data[1:9], "little")
-    return np.cumsum(d, dtype=_U)
+def unpack_sorted(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The hashes, and what stands behind them."""
+    n, m = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    d = np.frombuffer(data, "<u4", n, 8).astype(_U)
+    wide = np.frombuffer(data, "<u4", m, 8 + 4 * n)
+    d[wide] |= np.frombuffer(data, "<u4", m, 8 + 4 * n + 4 * m).astype(_U) << _U(32)
+    return np.cumsum(d, dtype=_U), data[8 + 4 * n + 8 * m :]
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -196,34 +193,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_docs = docs.count()
-    groups = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A map task's distinct texts, and the least id and the number of each."""
+        """A map task's distinct texts, and the least id and the number of each, sealed by group."""
         seen: dict[bytes, list] = {}
         for batch in batches:
-            fresh = []
+            fresh, texts = [], []
             for i, data in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), strict=True):
                 digest = hashlib.md5(data).digest()
                 if (own := seen.get(digest)) is None:
                     seen[digest] = [i, 1]
-                    fresh.append((digest, data.decode()))
+                    fresh.append(digest)
+                    texts.append(data)
                 else:
                     own[0], own[1] = min(own[0], i), own[1] + 1
-            yield rows([d for d, _ in fresh], [None] * len(fresh), [0] * len(fresh), [t for _, t in fresh])
+            yield rows(fresh, [None] * len(fresh), [0] * len(fresh), texts)
             if len(seen) > 200_000:
                 yield rows(list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], [None] * len(seen))
                 seen.clear()
         yield rows(list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], [None] * len(seen))
 
     def rows(digests: list, ids: list, counts: list, texts: list) -> pa.RecordBatch:
-        group = [int.from_bytes(d[:4], "little") % groups for d in digests]
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], ["g", "digest", "id", "n", "text"])
-
-    def texts_of(table: pa.Table) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
-        """Digests, least ids, counts and texts of a group."""
+        batch = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(texts, pa.binary())], ["digest", "id", "n", "text"])
+        group = np.array([int.from_bytes(d[:4], "little") % groups for d in digests], np.int64)
+        made = list(deal(batch, group)) if digests else []
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in made], pa.int32()), pa.array([d for _, d in made], pa.binary())], ["g", "texts"])
+
+    def texts_of(sealed_rows: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
+        """Least ids, counts and texts of a group, in the order of their digests."""
+        table = opened(sealed_rows["texts"].to_pylist())
         found: dict[bytes, list] = {}
-        for digest, i, n, data in zip(table["digest"].to_pylist(), table["id"].to_pylist(), table["n"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True):
+        for digest, i, n, data in zip(*(table[c].to_pylist() for c in ("digest", "id", "n", "text")), strict=True):
             own = found.setdefault(digest, [None, 0, None])
             if i is not None:
                 own[0] = i if own[0] is None else min(own[0], i)
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             if data is not None:
                 own[2] = data
         order = sorted(found)
-        return order, [found[d][0] for d in order], [found[d][1] for d in order], [found[d][2] for d in order]
+        return [found[d][0] for d in order], [found[d][1] for d in order], [found[d][2] for d in order]
 
     def chunks(data: list[bytes]) -> Iterator[tuple[int, int]]:
         begin, size = 0, 0
@@ -243,10 +244,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         if begin < len(data):
             yield begin, len(data)
 
+    @trimmed
     def up(table: pa.Table) -> pa.Table:
         """A group's distinct shingles and the number of documents with each, for each slice of the hashes."""
         g = table["g"][0].as_py()
-        _, _, counts, data = texts_of(table)
+        _, counts, data = texts_of(table)
         parts, many = [], []
         for a, b in chunks(data):
             own = [counted(h)[0] for h in shingle_hashes(data[a:b])]
@@ -266,9 +268,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 out.append((b, g, pack_sorted(hh), often.astype("<u4").tobytes() + nn[often].astype("<u4").tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["b", "g", "h", "n"])
 
+    @trimmed
     def down(table: pa.Table) -> pa.Table:
         """For each group, its shingles of a slice that occur in more than one document, and their frequency codes."""
-        sources, blobs, many = table["g"].to_pylist(), [unpack_sorted(x) for x in table["h"].to_pylist()], []
+        sources, blobs, many = table["g"].to_pylist(), [unpack_sorted(x)[0] for x in table["h"].to_pylist()], []
         for h, n in zip(blobs, table["n"].to_pylist(), strict=True):
             count, often = np.ones(len(h), np.int64), np.frombuffer(n, "<u4")
             count[often[: len(often) // 2]] = often[len(often) // 2 :]
@@ -293,9 +296,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         """Hashes and codes of a group from all its slices."""
         h, c = [], []
         for x in blobs:
-            n = (len(x) - 9 + x[0]) // (x[0] + 1)  # 9 + (n - 1) * width + n bytes
-            h.append(unpack_sorted(x[: len(x) - n]))
-            c.append(np.frombuffer(x, np.uint8, offset=len(x) - n))
+            own, rest = unpack_sorted(x)
+            h.append(own)
+            c.append(np.frombuffer(rest, np.uint8))
         if not h:
             return np.zeros(0, _U), np.zeros(0, np.uint8)
         hh, cc = np.concatenate(h), np.concatenate(c)
@@ -313,12 +316,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             out.append((own, weights_of(tf, code, n_docs)))
         return out
 
+    @trimmed
     def sign(texts: pa.Table, extra: pa.Table) -> pa.Table:
         """Band keys of a group's texts."""
         g, ids, keys = [], [], []
         if texts.num_rows:
-            _, least_ids, _, data = texts_of(texts)
-            common, codes = frequencies(extra["data"].to_pylist())
+            least_ids, _, data = texts_of(texts)
+            common, codes = frequencies(values(extra, "data"))
             for a, b in chunks(data):
                 own = [(i, v) for i, v in zip(least_ids[a:b], vectors(data[a:b], common, codes), strict=True) if len(v[0]) and i is not None]
                 if own:
@@ -329,21 +333,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             g = [texts["g"][0].as_py()] * len(ids)
         return pa.table([pa.array(g, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["g", "id", "keys"])
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each band key."""
+        for batch in batches:
+            rows = np.repeat(np.arange(batch.num_rows), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(band), batch.column(2).flatten()], ["g", "id", "band", "value"])
+
+    @trimmed
     def chosen(texts: pa.Table, extra: pa.Table) -> pa.Table:
         """Weighted shingles of the texts that share a bucket."""
         ids, h, w = [], [], []
-        wanted = {i for i, kind in zip(extra["id"].to_pylist(), extra["kind"].to_pylist(), strict=True) if kind == "id"}
+        wanted = {i for i, kind in zip(values(extra, "id"), values(extra, "kind"), strict=True) if kind == "id"}
         if texts.num_rows and wanted:
-            _, least_ids, _, data = texts_of(texts)
-            common, codes = frequencies([d for d, kind in zip(extra["data"].to_pylist(), extra["kind"].to_pylist(), strict=True) if kind == "df"])
+            least_ids, _, data = texts_of(texts)
+            common, codes = frequencies([d for d, kind in zip(values(extra, "data"), values(extra, "kind"), strict=True) if kind == "df"])
             some = [(i, d) for i, d in zip(least_ids, data, strict=True) if i in wanted]
             for a, b in chunks([d for _, d in some]):
                 for (i, _), (own, weight) in zip(some[a:b], vectors([d for _, d in some[a:b]], common, codes), strict=True):
                     ids.append(i)
-                    h.append(own.astype("<u8").tobytes())
+                    h.append(pack_sorted(own))
                     w.append(weight.astype("<f4").tobytes())
         return pa.table([pa.array(ids, pa.int64()), pa.array(h, pa.binary()), pa.array(w, pa.binary())], ["id", "h", "w"])
 
+    @trimmed
     def verify(bucket: pa.Table) -> pa.Table:
         """Links of a bucket's texts with the smallest id of their component in it."""
         order = np.argsort(bucket["id"].to_numpy(), kind="stable")
@@ -351,22 +364,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         order, ids = order[fresh], ids[fresh]
         h, w = bucket["h"].to_pylist(), bucket["w"].to_pylist()
-        own = [(np.frombuffer(h[i], "<u8"), np.frombuffer(w[i], "<f4").astype(np.float64)) for i in order.tolist()]
+        own = [(unpack_sorted(h[i])[0], np.frombuffer(w[i], "<f4").astype(np.float64)) for i in order.tolist()]
         to = ids[bucket_components(own, least)]
         linked = to != ids
         return pa.table([pa.array(ids[linked], pa.int64()), pa.array(to[linked], pa.int64())], ["a", "b"])
 
     extra_kind = "g int, kind string, id bigint, data binary"
-    sent = docs.where("id is not null").mapInArrow(once, "g int, digest binary, id bigint, n bigint, text string").repartition(groups, "g")
+    sent = docs.where("id is not null").mapInArrow(once, "g int, texts binary").repartition(groups, "g")
     frequency = sent.groupBy("g").applyInArrow(up, "b int, g int, h binary, n binary").repartition(groups, "b").groupBy("b").applyInArrow(down, extra_kind)
     signed = sent.groupBy("g").cogroup(frequency.groupBy("g")).applyInArrow(sign, "g int, id bigint, keys array<bigint>")
-    members = signed.select("g", "id", F.posexplode("keys").alias("band", "value"))
+    # Both uses below share the exchange, so signatures are made once: a Python node on top keeps its columns alike.
+    members = signed.repartition(groups, "id").mapInArrow(spread, "g int, id bigint, band int, value bigint")
     print_of = F.xxhash64("id")
     buckets = members.groupBy("band", "value").agg(F.count("*").alias("m"), F.bit_xor(print_of).alias("p"), F.sum((print_of.bitwiseAND(F.lit(0xFFFFFFFF))).cast("long")).alias("q"), F.min("id").alias("first")).where("m > 1")
     # Bands whose buckets have the same members say the same: one of them stays.
     single = buckets.groupBy("m", "p", "q", "first").agg(F.min(F.struct("band", "value")).alias("of")).select("m", "first", F.col("of.band").alias("band"), F.col("of.value").alias("value"))
     inside = members.join(single, ["band", "value"]).withColumn("bucket", F.xxhash64("band", "value"))
-    inside = checkpoint(inside.select("bucket", "m", "g", "id"))
+    inside = inside.select("bucket", "m", "g", "id").repartition(groups, "bucket", "id").mapInArrow(lambda batches: batches, "bucket bigint, m bigint, g int, id bigint")
     wanted = inside.select("g", F.lit("id").alias("kind"), "id", F.lit(None).cast("binary").alias("data")).distinct()
     vector = sent.groupBy("g").cogroup(frequency.unionByName(wanted).groupBy("g")).applyInArrow(chosen, "id bigint, h binary, w binary")
     blocks = F.ceil(F.col("m") / BUCKET_MOST).cast("int")
@@ -378,7 +392,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     edges = small.unionByName(dealt).unionByName(led).join(vector, "id").groupBy("bucket", "block").applyInArrow(verify, "a bigint, b bigint")
     found = components(edges)
     # Copies of one text share its digest; its least id stands for them.
-    digests = docs.select("id", F.when(F.length(F.translate("text", " \t\r\n", "")) > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("digest"))
+    digests = docs.select("id", F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5(F.col("text").cast("binary")))).alias("digest"))
     return joined_classes(digests, found, key)
 
 
