@@ -6,11 +6,14 @@ in the same one. Strings lie within one document's UTF-8 bytes and are judged on
 Anchors find where to look. An anchor is a place whose GRAM-byte hash is the least in some window of `length` bytes;
 equal windows have equal anchors at equal offsets, so a repeated window shows as a repeated anchor hash. Around an
 anchor, `length` - GRAM bytes on either side form its context. Occurrences with the same hash and context are
-settled at once: all but the first are repeats throughout. What is left, one occurrence for each context of an
-anchor hash with several contexts, meets in a slice of the hashes. There the anchor becomes one symbol, so windows
-are length - GRAM + 1 symbols; shards of contexts get their transforms, an interleave of the shards is refined symbol
-by symbol until it is sorted to that depth, and the same refinement yields the intervals of equal prefixes.
-The first window of an interval stays, the others are repeats. No suffix is sorted again in the merge.
+settled at once: all but the first are repeats throughout. What is left is one occurrence for each context of an
+anchor hash with several contexts. Its windows are taken in bands of STEP + 1 neighbouring starts. The bytes that all
+windows of a band hold, length - STEP of them, are its core; bands meet by the hash of the core, so that a very
+common line or passage is dealt to many tasks by what stands around it. There the core becomes one symbol and up to
+STEP bytes on either side stay: windows are STEP + 1 symbols. Shards of such strings get their Burrows-Wheeler
+transforms, an interleave of the shards is refined symbol by symbol until it is sorted to that depth, and the same
+refinement yields the intervals of equal prefixes. The first window of an interval stays, the others are repeats. No
+suffix is sorted again in the merge.
 
 Null text counts as empty; a document shorter than `length` loses nothing. Rows with a null id are given back
 whole. Of rows that repeat an id, the longest text (of equal lengths the least) stands for the id; rows with the same
@@ -20,18 +23,20 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.common import flat_bytes, table
+from gleaner.llm.common import flat_bytes, table, trimmed, values
 
 LENGTH = 100
 GRAM = 50
+STEP = 10
 #: Bytes worked on at once in anchor search.
 CHUNK = 1_000_000
 SHARDS = 8
@@ -79,6 +84,16 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def hashes_at(data: np.ndarray, at: np.ndarray, size: int, most: int = 1 << 21) -> np.ndarray:
+    """Hash of the `size` bytes at each of some places."""
+    factor = np.cumprod(np.full(size, 0x9E3779B97F4A7C15, _U))
+    out = np.empty(len(at), _U)
+    rows = max(1, most // size)
+    for begin in range(0, len(at), rows):
+        out[begin : begin + rows] = (_BYTE[data[at[begin : begin + rows, None] + np.arange(size)]] * factor).sum(1, dtype=_U)
+    return mix(mix(out))
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of anchors in documents that lie one behind the other, and the hash of each place's gram."""
     width = length - gram + 1
@@ -97,6 +112,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return at, h
 
 
+def pieces(bounds: np.ndarray, most: int, margin: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Runs of documents of about `most` bytes: first, last + 1, bytes to read and bytes to keep; a longer one comes in overlapping pieces."""
+    begin = 0
+    while begin < len(bounds) - 1:
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + most, side="right")) - 1)
+        lo, hi = int(bounds[begin]), int(bounds[end])
+        for a in range(lo, max(hi, lo + 1), most if end == begin + 1 else hi - lo + 1):
+            b = min(hi, a + most) if end == begin + 1 else hi
+            yield begin, end, max(lo, a - margin), min(hi, b + margin), a, b
+        begin = end
+
+
 def context_hashes(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, h: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Hash of each anchor's context: the anchor and up to length - gram bytes on both sides in its document."""
     side = length - gram
@@ -216,6 +243,22 @@ def settle(keys: np.ndarray, contexts: np.ndarray, docs: np.ndarray, places: np.
     return order[repeat], order[fresh & several]
 
 
+def cut_part(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Removed bytes, spans and what is left of documents that lie one behind the other; spans may overlap and leave their document."""
+    step = np.zeros(len(data) + 1, np.int32)
+    np.add.at(step, np.maximum(bounds[doc] + s, bounds[doc]), 1)
+    np.add.at(step, np.minimum(bounds[doc] + e, bounds[doc + 1]), -1)
+    gone = np.cumsum(step[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
+    rise = gone.copy()
+    rise[1:] &= ~gone[:-1]
+    inner = bounds[:-1][bounds[:-1] < len(data)]
+    rise[inner] = gone[inner]
+    rises = np.concatenate([[0], np.cumsum(rise, dtype=np.int64)])
+    left, raw = bounds - total[bounds], data[~gone].tobytes()
+    return np.diff(total[bounds]), np.diff(rises[bounds]), [raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+
+
 def _spans(g: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
     """Rows (g, kind, blob) of spans, one for each group of documents."""
     if not len(g):
@@ -243,14 +286,15 @@ def _unpack(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
     return out, blob[at:]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, `kept` (its remaining bytes, or their whole characters
     as text), and a struct `rest` of the columns to be carried, if any."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] * bool(carry))
     rest = ["rest"] * bool(carry)
-    groups = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    side, depth = length - gram, length - gram + 1
+    rest_type = to_arrow_type(docs.schema["rest"].dataType) if carry else None
+    groups = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    side = length - gram
     blob_kind = "g int, kind string, data binary"
     slices = np.array([(i << 64) // groups for i in range(1, groups)], _U)  # bounds of the slices of the hashes
 
@@ -284,20 +328,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         data, bounds = flat_bytes(texts["text"].take(pa.array(order)))
         return ids[order], data, bounds, order, same
 
+    @trimmed
     def find(texts: pa.Table) -> pa.Table:
         """Anchors of a group of documents for the slices; repeats inside the group are settled here."""
         g = texts["g"][0].as_py()
         ids, data, bounds, _, _ = bytes_of(texts)
         found: list[list[np.ndarray]] = []
-        begin = 0
-        while begin < len(ids):
-            end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + CHUNK, side="right")) - 1)
-            part, own = data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin]
+        for first, last, lo, hi, keep_lo, keep_hi in pieces(bounds, CHUNK, length + side):
+            part, own = data[lo:hi], np.clip(bounds[first : last + 1], lo, hi) - lo
             at, h = anchors(part, own, length, gram)
+            at = at[(at + lo >= keep_lo) & (at + lo < keep_hi)]
             if len(at):
                 doc = np.searchsorted(own, at, side="right") - 1
-                found.append([h[at], context_hashes(part, own, at, h, length, gram), ids[begin + doc], at - own[doc]])
-            begin = end
+                # Anchors have small hashes: mixed again, they spread over all slices.
+                found.append([mix(h[at] * _MULT[8]), context_hashes(part, own, at, h, length, gram), ids[first + doc], at + lo - bounds[first + doc]])
         if not found:
             return blobs([], "b")
         k, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -308,6 +352,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         rows = [(b, kind, np.array([g], "<i4").tobytes() + data) for b, kind, data in rows]
         return blobs(rows + dealt(g, "anchor", k[left], [c[left], d[left].astype("<i8"), p[left].astype("<i4")]), "b")
 
+    @trimmed
     def meet(slice_: pa.Table) -> pa.Table:
         """Settles a slice of the hashes: spans of repeats, and the occurrences whose contexts must be compared."""
         rows, parts = [], []
@@ -327,54 +372,76 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 rows.append((int(g[part[0]]), "want", _pack(k[part], d[part].astype("<i8"), p[part].astype("<i4"))))
         return blobs(rows)
 
+    @trimmed
     def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
         """Contexts that are asked for, to the slices of their hashes; spans pass."""
         rows, parts = [], []
-        for g, kind, data in zip(*(asked[c].to_pylist() for c in ("g", "kind", "data")), strict=True):
+        for g, kind, data in zip(*(values(asked, c) for c in ("g", "kind", "data")), strict=True):
             if kind == "span":
-                rows.append((len(rows) * 7919 % groups, kind, np.array([g], "<i4").tobytes() + data))
+                rows.append(((g + len(rows)) * 7919 % groups, kind, np.array([g], "<i4").tobytes() + data))
             else:
                 parts.append(_unpack(data, "<u8", "<i8", "<i4")[0])
         if parts:
             g = asked["g"][0].as_py()
             ids, data, bounds, _, _ = bytes_of(texts)
-            k, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(k, kind="stable")
-            k, d, p = k[order], d[order], p[order].astype(np.int64)
+            _, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
             doc = np.searchsorted(ids, d)
-            at = bounds[doc] + p
-            lo, hi = np.maximum(at - side, bounds[doc]), np.minimum(at + length, bounds[doc + 1])
-            lefts, sizes = at - lo, (hi - lo) - gram + 2
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            # Bytes before the anchor, MARK, bytes behind it, END.
-            offset = np.arange(int(ends[-1])) - np.repeat(begins, sizes)
-            left = np.repeat(lefts, sizes)
-            source = np.repeat(lo, sizes) + offset + np.where(offset > left, gram - 1, 0)
-            made = data[np.minimum(source, len(data) - 1)]
-            made[begins + lefts], made[ends - 1] = MARK, END
-            cut = np.concatenate([[0], np.searchsorted(k, slices), [len(k)]])
-            for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                if j > i:
-                    blob = _pack(k[i:j], d[i:j].astype("<i8"), p[i:j].astype("<i4"), lefts[i:j].astype("<i4"), sizes[i:j].astype("<i4"))
-                    rows.append((b, "context", np.array([g], "<i4").tobytes() + blob + made[begins[i] : ends[j - 1]].tobytes()))
+            lo, hi = bounds[doc], bounds[doc + 1]
+            columns = []
+            for a in range(0, side, step):  # windows that start a to a + step bytes before the anchor
+                core, end = lo + p - a, lo + p + gram + side - a - min(step, side - a)
+                inside = (core >= lo) & (end <= hi)
+                columns.append([core[inside], end[inside], lo[inside], hi[inside], d[inside]])
+            core, end, lo, hi, d = (np.concatenate(x) for x in zip(*columns, strict=True))
+            k = hashes_at(data, core, length - step)
+            left, right = np.minimum(core - lo, step), np.minimum(hi - end, step)
+            turn = np.arange(2 * step)
+            source = np.where(turn < step, core[:, None] - step + turn, end[:, None] + turn - step)
+            around = data[np.clip(source, 0, len(data) - 1)]
+            around[(turn < step) & (step - turn > left[:, None])] = END
+            around[(turn >= step) & (turn - step >= right[:, None])] = END
+            # Equal surroundings of one core: the first here stands for all in this group.
+            key = k ^ mix(hashes_at(around.reshape(-1), np.arange(len(k)) * 2 * step, 2 * step))
+            place = core - lo
+            repeat, _ = settle(key, key, d, place)
+            rows += [(x[0] + 1 if x[0] + 1 < groups else 0, x[1], np.array([g], "<i4").tobytes() + x[2]) for x in _spans(np.full(len(repeat), g), d[repeat], place[repeat] - left[repeat], place[repeat] + length - step + right[repeat])]
+            keep = np.ones(len(k), bool)
+            keep[repeat] = False
+            rows += dealt(g, "context", k[keep], [d[keep].astype("<i8"), place[keep].astype("<i4"), np.ascontiguousarray(around[keep]).view(f"V{2 * step}").reshape(-1)])
         return blobs(rows, "b")
 
+    @trimmed
     def compare(slice_: pa.Table) -> pa.Table:
         """Repeats among the contexts of a slice, by merged transforms; spans pass."""
-        rows, parts, bodies = [], [], []
+        rows, parts = [], []
         for kind, data in zip(slice_["kind"].to_pylist(), slice_["data"].to_pylist(), strict=True):
             g = int(np.frombuffer(data, "<i4", 1)[0])
             if kind == "span":
                 rows.append((g, kind, data[4:]))
             else:
-                columns, body = _unpack(data[4:], "<u8", "<i8", "<i4", "<i4", "<i4")
+                columns, _ = _unpack(data[4:], "<u8", "<i8", "<i4", f"V{2 * step}")
                 parts.append([*columns, np.full(len(columns[0]), g, np.int32)])
-                bodies.append(np.frombuffer(body, np.uint8))
         if parts:
-            k, d, p, lefts, sizes, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-            p, lefts, sizes = (x.astype(np.int64) for x in (p, lefts, sizes))
-            string, offset = repeated_windows(np.concatenate(bodies), sizes, lefts, k, d, p, depth)
+            k, d, p, around, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+            p, around = p.astype(np.int64), around.view(np.uint8).reshape(-1, 2 * step)
+            # Cores that occur once, and surroundings that only repeat others', need no comparison.
+            _, group, size = np.unique(k, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(size[group] > 1)
+            k, d, p, around, g = k[some], d[some], p[some], around[some], g[some]
+            left, right = (around[:, :step] != END).sum(1), (around[:, step:] != END).sum(1)
+            key = k ^ mix(hashes_at(around.reshape(-1), np.arange(len(k)) * 2 * step, 2 * step))
+            repeat, _ = settle(key, key, d, p)
+            rows += _spans(g[repeat], d[repeat], p[repeat] - left[repeat], p[repeat] + length - step + right[repeat])
+            keep = np.ones(len(k), bool)
+            keep[repeat] = False
+            k, d, p, around, g, lefts, right = (x[keep] for x in (k, d, p, around, g, left, right))
+        if parts and len(k):
+            # Bytes before the core, MARK, bytes behind it, END.
+            whole = np.full((len(k), 2 * step + 2), END, np.uint8)
+            whole[:, :step], whole[:, step], whole[:, step + 1 : -1] = around[:, :step], MARK, around[:, step:]
+            used = np.concatenate([around[:, :step] != END, np.ones((len(k), 1), bool), around[:, step:] != END, np.ones((len(k), 1), bool)], 1)
+            sizes = used.sum(1)
+            string, offset = repeated_windows(whole[used], sizes, lefts, k, d, p, step + 1)
             order = np.lexsort((offset, string))
             string, offset = string[order], offset[order]
             begin = p[string] - lefts[string] + offset
@@ -384,37 +451,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 rows += _spans(g[string[head]], d[string[head]], begin[head], begin[last] + length)
         return blobs(rows)
 
+    @trimmed
     def cut(texts: pa.Table, spans: pa.Table) -> pa.Table:
         """What is left of a group's documents."""
         columns: list[list] = [[], [], [], [], []]
         order = np.zeros(0, np.int64)
         if texts.num_rows:
             ids, data, bounds, order, same = bytes_of(texts, every=True)
-            parts = [_read_spans(x) for x in spans["data"].to_pylist()]
+            parts = [_read_spans(x) for x in values(spans, "data")]
             d, s, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
-            step = np.zeros(len(data) + 1, np.int32)
             head = np.searchsorted(ids, d)
             rows = np.searchsorted(ids, d, side="right") - head  # over 1 only where an id repeats
             doc = np.repeat(head, rows) + np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
             s, e = np.repeat(s, rows)[same[doc]], np.repeat(e, rows)[same[doc]]
             doc = doc[same[doc]]
-            lo, hi = np.maximum(bounds[doc] + s, bounds[doc]), np.minimum(bounds[doc] + e, bounds[doc + 1])
-            np.add.at(step, lo, 1)
-            np.add.at(step, hi, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            kept = data[~gone]
-            total = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-            removed = total[bounds[1:]] - total[bounds[:-1]]
-            rise = gone.copy()
-            rise[1:] &= ~gone[:-1]
-            inner = bounds[:-1][bounds[:-1] < len(data)]
-            rise[inner] = gone[inner]
-            rises = np.concatenate([[0], np.cumsum(rise, dtype=np.int64)])
-            left = bounds - total[bounds]
-            raw = kept.tobytes()
-            columns = [ids, np.diff(bounds), removed, rises[bounds[1:]] - rises[bounds[:-1]], [raw[a:b].decode("utf-8", "ignore").encode() if as_text else raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]]
+            by_doc = np.argsort(doc, kind="stable")
+            doc, s, e = doc[by_doc], s[by_doc], e[by_doc]
+            parts = []
+            begin = 0
+            while begin < len(ids):
+                end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + CHUNK, side="right")) - 1)
+                own = slice(*np.searchsorted(doc, [begin, end]))
+                parts.append(cut_part(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin], doc[own] - begin, s[own], e[own]))
+                begin = end
+            columns = [ids, np.diff(bounds), np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), [k.decode("utf-8", "ignore").encode() if as_text else k for x in parts for k in x[2]]]
         made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-        return pa.table([*made, texts["rest"].take(pa.array(order, pa.int64()))] if carry else made, ["id", "n_bytes", "n_removed", "n_spans", "kept"] + ["rest"] * bool(carry))
+        carried = texts["rest"].take(pa.array(order)) if carry and texts.num_rows else pa.array([], rest_type) if carry else None
+        return pa.table([*made, carried] if carry else made, ["id", "n_bytes", "n_removed", "n_spans", "kept"] + ["rest"] * bool(carry))
 
     grouped = docs.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text", *rest).repartition(groups, "g")
     slice_kind = blob_kind.replace("g int", "b int")
