@@ -16,6 +16,9 @@ from gleaner.functions.tokens import safe_id
 
 ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
 
+C1 = "".join(c for c in map(chr, range(0x80, 0xA0)) if bytes([ord(c)]).decode("cp1252", "ignore"))
+C1_WINDOWS = "".join(bytes([ord(c)]).decode("cp1252") for c in C1)
+
 MUTATION = "struct<mut_ID:string,descricao_mutada:string,relevant_item_ids:array<string>>"
 BENCHMARK = f"items array<struct<codigo:string,descricao_original:string,lf:string,note:string,mutations:array<{MUTATION}>>>, labeling_functions map<string,string>"
 CORRELATION = ("ID_Sup", "ID_Prod", "Prod_Desc", "ID_Itm", "Itm_Desc")
@@ -33,15 +36,18 @@ def require(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] = (), encoding: str = "utf-8") -> DataFrame:
     """A tab-separated file with a header, all columns text, null as ''."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', encoding=encoding, multiLine=encoding != "utf-8")
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    latin = encoding.lower() in ("windows-1252", "cp1252", "iso-8859-1", "latin-1")
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', encoding="ISO-8859-1" if latin else encoding)
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    if encoding.lower() in ("windows-1252", "cp1252"):  # differs from ISO-8859-1 in 0x80 to 0x9F only
+        df = df.select(*[F.translate(c, C1, C1_WINDOWS).alias(c) for c in df.columns])
     return require(df, columns, path).fillna("")
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """The first encoding that decodes every line: UTF-8 leaves no replacement character."""
+    """UTF-8 if every line is valid in it, else the first of the one-byte encodings."""
     lines = spark.read.text(path)
-    broken = lines.where(F.col("value").contains("�")).limit(1).count()
+    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     return encodings[1] if broken else encodings[0]
 
 
