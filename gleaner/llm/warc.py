@@ -109,7 +109,7 @@ def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[dict]:
     title = _TITLE.search(page)
     links = [html.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(_DROP.sub(" ", page))]
     said = [f"source-{n}: {v}" for n, v in fields] + [f"http-status: {status}"] + [f"http-header: {h}" for h in headers]
-    said += [f"title: {' '.join(html.unescape(title[1]).split())}"] * bool(title) + [f"outlink: {re.sub(r'[\r\n]+', ' ', x)}" for x in links]
+    said += ([f"title: {' '.join(html.unescape(title[1]).split())}"] if title else []) + [f"outlink: {re.sub(r'[\r\n]+', ' ', x)}" for x in links]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{x}\r\n" for x in said).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
     out = []
     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
