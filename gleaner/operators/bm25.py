@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import normalized_tokens
 from gleaner.operators.ranking import top_k
-from gleaner.operators.sizes import broadcast_if_small
+from gleaner.operators.sizes import BROADCAST_ROWS
 
 K1, B = 1.5, 0.75
 
@@ -38,18 +38,22 @@ def idf(tokens: DataFrame) -> DataFrame:
 def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = normalized_tokens) -> DataFrame:
     """(query_id, item_id, score) of every pair that shares a term; repeated query terms count once.
 
-    Tokens of the corpus that no query has go before the only large shuffle, which is by item: frequencies, joined
-    terms and sums of an item then stay in one task.
+    The corpus is read and tokenized once. Tokens that no query has go before the only large shuffle, which is by item:
+    frequencies, joined terms and sums of an item then stay in one task. An empty token for each item rides along and
+    carries the corpus statistics; all three uses share the exchange.
     """
     tokens = tokenized(corpus, tokenizer)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("token"))
-    vocabulary = broadcast_if_small(terms.select("token").distinct())
-    used = tokens.select("item_id", "len", F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").repartition("item_id")
-    tf = used.groupBy("item_id", "len", "token").agg(F.count("*").alias("tf"))
-    stats = corpus_stats(tokens)
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = broadcast_if_small(terms.join(weight, "token"))
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else lambda df: df
+    vocabulary = terms.select("token").union(queries.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    rows = tokens.select("item_id", "len", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).join(hint(vocabulary), "token", "left_semi").repartition("item_id")
+    tf = rows.groupBy("item_id", "len", "token").agg(F.count("*").alias("tf"))
+    whole = F.col("token") == ""
+    stats = tf.agg(F.count_if(whole).alias("n"), F.avg(F.when(whole, F.col("len"))).alias("avgdl"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    weight = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # broadcast: one row
+    weighted = hint(terms.join(weight, "token"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return tf.join(weighted, "token").groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))

@@ -1 +1 @@
-
+"""Retrieval over streams of queries."""
