@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, packing, quality, secrets, suffixes
-from gleaner.llm.common import shared_folder, table
+from gleaner.llm.common import rows_of_ids, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, F.col("doc_id") == F.col("__kept"), "inner").drop("__kept")
-    # Rows that repeat an id are copies: the one with the least text stays. Nothing is known of rows without an id.
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return own.withColumn("__copy", copy).where("__copy = 1").drop("__copy").unionByName(docs.where("doc_id is null"))
+    """Of each class of near-duplicates the document with the smallest id.
+
+    Rows that repeat an id are copies: the one with the least text stays. Nothing is known of rows without an id: they stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return rows_of_ids(docs, kept, "doc_id", "text").unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,4 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:  # no later stage reads what came before
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs

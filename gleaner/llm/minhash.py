@@ -121,6 +121,20 @@ def unpack_sorted(data: bytes) -> tuple[np.ndarray, bytes]:
     return np.cumsum(d, dtype=_U), data[8 + 4 * n + 8 * m :]
 
 
+def pack_vector(h: np.ndarray, tf: np.ndarray, code: np.ndarray) -> bytes:
+    """A text's hashes in six bytes each, frequency codes in one and term frequencies in one, or four if one is large."""
+    width = 1 if not len(tf) or tf.max() < 256 else 4
+    return bytes([width]) + np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + code.astype(np.uint8).tobytes() + tf.astype(f"<u{width}").tobytes()
+
+
+def unpack_vector(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = data[0]
+    n = (len(data) - 1) // (7 + width)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 1).reshape(-1, 6)
+    return h.reshape(-1).view("<u8"), np.frombuffer(data, f"<u{width}", n, 1 + 7 * n).astype(np.int64), np.frombuffer(data, np.uint8, n, 1 + 6 * n)
+
+
 def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Consistent weighted samples: a row of BANDS * ROWS values for each stretch of elements (none empty)."""
     log_w = np.log(weights).astype(np.float32)
@@ -305,15 +319,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         order = np.argsort(hh, kind="stable")
         return hh[order], cc[order]
 
-    def vectors(data: list[bytes], common: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def vectors(data: list[bytes], common: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Distinct hashes, term frequencies and frequency codes of each text."""
         out = []
         for h in shingle_hashes(data):
             own, tf = counted(h)
-            code = np.zeros(len(own))
+            code = np.zeros(len(own), np.uint8)
             if len(common) and len(own):
                 place = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                code = np.where(common[place] == own, codes[place], 0)
-            out.append((own, weights_of(tf, code, n_docs)))
+                code = np.where(common[place] == own, codes[place], np.uint8(0))
+            out.append((own, tf, code))
         return out
 
     @trimmed
@@ -327,7 +342,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 own = [(i, v) for i, v in zip(least_ids[a:b], vectors(data[a:b], common, codes), strict=True) if len(v[0]) and i is not None]
                 if own:
                     starts = np.cumsum([0] + [len(v[0]) for _, v in own[:-1]])
-                    made = band_keys(samples(np.concatenate([v[0] for _, v in own]), np.concatenate([v[1] for _, v in own]), starts)).view(np.int64)
+                    made = band_keys(samples(np.concatenate([v[0] for _, v in own]), np.concatenate([weights_of(v[1], v[2], n_docs) for _, v in own]), starts)).view(np.int64)
                     ids += [i for i, _ in own]
                     keys += list(made)
             g = [texts["g"][0].as_py()] * len(ids)
@@ -342,19 +357,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     @trimmed
     def chosen(texts: pa.Table, extra: pa.Table) -> pa.Table:
-        """Weighted shingles of the texts that share a bucket."""
-        ids, h, w = [], [], []
+        """Shingles of the texts that share a bucket."""
+        ids, packed = [], []
         wanted = {i for i, kind in zip(values(extra, "id"), values(extra, "kind"), strict=True) if kind == "id"}
         if texts.num_rows and wanted:
             least_ids, _, data = texts_of(texts)
             common, codes = frequencies([d for d, kind in zip(values(extra, "data"), values(extra, "kind"), strict=True) if kind == "df"])
             some = [(i, d) for i, d in zip(least_ids, data, strict=True) if i in wanted]
             for a, b in chunks([d for _, d in some]):
-                for (i, _), (own, weight) in zip(some[a:b], vectors([d for _, d in some[a:b]], common, codes), strict=True):
-                    ids.append(i)
-                    h.append(pack_sorted(own))
-                    w.append(weight.astype("<f4").tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(h, pa.binary()), pa.array(w, pa.binary())], ["id", "h", "w"])
+                ids += [i for i, _ in some[a:b]]
+                packed += [pack_vector(*v) for v in vectors([d for _, d in some[a:b]], common, codes)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "vector"])
 
     @trimmed
     def verify(bucket: pa.Table) -> pa.Table:
@@ -363,8 +376,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         ids = bucket["id"].to_numpy()[order]
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         order, ids = order[fresh], ids[fresh]
-        h, w = bucket["h"].to_pylist(), bucket["w"].to_pylist()
-        own = [(unpack_sorted(h[i])[0], np.frombuffer(w[i], "<f4").astype(np.float64)) for i in order.tolist()]
+        packed, own = bucket["vector"].to_pylist(), []
+        for i in order.tolist():
+            h, tf, code = unpack_vector(packed[i])
+            own.append((h, weights_of(tf, code, n_docs)))
         to = ids[bucket_components(own, least)]
         linked = to != ids
         return pa.table([pa.array(ids[linked], pa.int64()), pa.array(to[linked], pa.int64())], ["a", "b"])
@@ -382,7 +397,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     inside = members.join(single, ["band", "value"]).withColumn("bucket", F.xxhash64("band", "value"))
     inside = inside.select("bucket", "m", "g", "id").repartition(groups, "bucket", "id").mapInArrow(lambda batches: batches, "bucket bigint, m bigint, g int, id bigint")
     wanted = inside.select("g", F.lit("id").alias("kind"), "id", F.lit(None).cast("binary").alias("data")).distinct()
-    vector = sent.groupBy("g").cogroup(frequency.unionByName(wanted).groupBy("g")).applyInArrow(chosen, "id bigint, h binary, w binary")
+    vector = sent.groupBy("g").cogroup(frequency.unionByName(wanted).groupBy("g")).applyInArrow(chosen, "id bigint, vector binary")
     blocks = F.ceil(F.col("m") / BUCKET_MOST).cast("int")
     small = inside.where(F.col("m") <= BUCKET_MOST).select("bucket", F.lit(0).alias("block"), "id")
     large = inside.where(F.col("m") > BUCKET_MOST)
