@@ -32,7 +32,7 @@ from gleaner.llm.common import byte_list, components, deal, opened, table, trimm
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 10, 3
-IDF_SHARE = 0.5
+IDF_SHARE = 0.25
 BUCKET_MOST, LEADERS = 8192, 64
 HASH_BITS = 48
 #: Bytes of text whose shingles are worked on at once.
