@@ -27,8 +27,8 @@ score AS (
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM score) WHERE rank <= 100)"""
 
 DENSE = """
-qv AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0),
-cv AS (SELECT vec_id AS item_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 <> 0),
+qv AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
+cv AS (SELECT vec_id AS item_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sims AS (SELECT query_id, item_id, round(list_dot_product(qv.e, cv.e), 6) AS s, round(list_dot_product(qv.e[1:32], cv.e[1:32]), 6) AS h FROM qv, cv),
 r1 AS (SELECT * FROM (SELECT query_id, item_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM sims) WHERE rank <= 100),
 r2 AS (SELECT * FROM (SELECT query_id, item_id, h AS score, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, item_id) AS rank FROM sims) WHERE rank <= 100),
@@ -109,11 +109,14 @@ inter AS (
 
 
 PAIRS = f"""
-dt AS (SELECT doc_id, list_distinct({tokens("text")}) AS t FROM documents),
+dw AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({tokens("text")}) AS token FROM documents)),
+dn AS (SELECT d.doc_id, count(w.token) AS n FROM documents d LEFT JOIN dw w ON w.doc_id = d.doc_id GROUP BY d.doc_id),
+step AS (SELECT unnest([1, 2]) AS k),
+followed AS (SELECT a.doc_id AS query_id, b.doc_id AS target_id, a.n AS na, b.n AS nb FROM dn a, step JOIN dn b ON b.doc_id = a.doc_id + step.k),
+shared AS (SELECT a.doc_id AS query_id, b.doc_id AS target_id, count(*) AS s FROM dw a, step JOIN dw b ON b.doc_id = a.doc_id + step.k AND b.token = a.token GROUP BY a.doc_id, b.doc_id),
 pairs AS (
-  SELECT a.doc_id AS query_id, b.doc_id AS target_id,
-         round(CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END, 9) AS jaccard
-  FROM dt a JOIN dt b ON b.doc_id IN (a.doc_id + 1, a.doc_id + 2) WHERE a.doc_id % 10 = 0
+  SELECT f.query_id, f.target_id, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE coalesce(s, 0)::DOUBLE / (na + nb - coalesce(s, 0)) END, 9) AS jaccard
+  FROM followed f LEFT JOIN shared s ON s.query_id = f.query_id AND s.target_id = f.target_id
 ),
 overlap AS (SELECT query_id, round(avg(jaccard), 9) AS jaccard FROM pairs GROUP BY query_id)"""
 
@@ -231,8 +234,8 @@ def oracle() -> dict[str, str]:
             SELECT l.query_id AS product_id, l.method, q.label::VARCHAR AS search_terms, l.candidates, coalesce(r.relevant, '') AS relevant FROM lists l JOIN qv q ON q.query_id = l.query_id LEFT JOIN rel r ON r.query_id = l.query_id"""),
         "jaccard_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
         "jaccard_shares": f"WITH {PAIRS}, low AS (SELECT jaccard FROM pairs ORDER BY jaccard, query_id LIMIT 5), high AS (SELECT jaccard FROM pairs ORDER BY jaccard DESC, query_id LIMIT 5) SELECT 'low' AS side, count(*) AS n, round(sum(jaccard), 6) AS jaccard_sum FROM low UNION ALL SELECT 'high', count(*), round(sum(jaccard), 6) FROM high",
-        "overlap_shares": f"WITH {PAIRS} SELECT CASE WHEN target_id % 10 = 1 THEN 'next' ELSE 'second' END AS side, count(*) AS n, round(avg((jaccard = 0)::INTEGER), 6) AS share_zero, round(avg((jaccard >= 0.1)::INTEGER), 6) AS share_high FROM pairs GROUP BY side",
-        "nearest_extremes": f"WITH {PAIRS}, low AS (SELECT * FROM pairs ORDER BY jaccard, target_id LIMIT 5), high AS (SELECT * FROM pairs ORDER BY jaccard DESC, target_id LIMIT 5) SELECT *, 'low' AS side FROM low UNION ALL SELECT *, 'high' FROM high",
+        "overlap_shares": f"WITH {PAIRS} SELECT CASE WHEN target_id = query_id + 1 THEN 'next' ELSE 'second' END AS side, count(*) AS n, round(avg((jaccard = 0)::INTEGER), 6) AS share_zero, round(avg((jaccard >= 0.1)::INTEGER), 6) AS share_high FROM pairs GROUP BY side",
+        "nearest_extremes": f"WITH {PAIRS}, low AS (SELECT * FROM pairs ORDER BY jaccard, 2 * query_id + target_id - query_id LIMIT 5), high AS (SELECT * FROM pairs ORDER BY jaccard DESC, 2 * query_id + target_id - query_id LIMIT 5) SELECT *, 'low' AS side FROM low UNION ALL SELECT *, 'high' FROM high",
         "jaccard_median_split": strata(f"{WIDE} SELECT half, count(*) AS n, round(min(jaccard), 9) AS jaccard_min, round(max(jaccard), 9) AS jaccard_max, round(avg(jaccard), 9) AS jaccard_mean, round(avg(dense), 9) AS dense, round(avg(dense_half), 9) AS dense_half, round(avg(hybrid), 9) AS hybrid, round(avg(dense - dense_half), 9) AS advantage FROM split GROUP BY half"),
         "median_split_verdict": strata(f"{WIDE} SELECT (SELECT avg(dense - dense_half) FROM split WHERE half = 'lower') > (SELECT avg(dense - dense_half) FROM split WHERE half = 'upper') AS larger_below"),
         "jaccard_quartiles": strata("""rows_ AS (SELECT m.query_id, m.method, round(m.map, 6) AS map, o.jaccard FROM metrics m JOIN overlap o ON o.query_id = m.query_id),

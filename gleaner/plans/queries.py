@@ -1,7 +1,7 @@
 """One query for each operator over the star-schema, text and vector tables.
 
 Lexical set: `documents` are the catalogue, `benchmark` the queries, a document that contains a query's text is
-relevant. Dense set: vectors whose id divides by ten are queries, the others the catalogue, an equal label is
+relevant. Dense set: vectors whose id divides by twenty are queries against all vectors, an equal label is
 relevant; "dense" uses all dimensions, "dense_half" the first 32, "hybrid" fuses both. Documents and vectors with
 equal numbers are paired, which is artificial, to join text overlap with dense quality.
 """
@@ -91,8 +91,7 @@ def bm25_summary(spark, sf_dir):
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
-    asked = F.col("vec_id") % 10 == 0
-    return v.where(asked).select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.where(~asked).select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    return v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
 def rankings(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
@@ -195,7 +194,7 @@ def auc_interpolated(spark, sf_dir):
 @query
 def pooled_map(spark, sf_dir):
     q = quality(spark, sf_dir)
-    return rounded(metrics.pooled_mean([q.where("query_id % 20 = 0"), q.where("query_id % 20 <> 0")]))
+    return rounded(metrics.pooled_mean([q.where("query_id % 40 = 0"), q.where("query_id % 40 <> 0")]))
 
 
 @query
@@ -209,10 +208,10 @@ def candidate_lists(spark, sf_dir):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document whose number divides by ten with its two followers."""
-    docs = documents(spark, sf_dir).withColumn("tokens", simple_tokens(F.col("text"))).drop("text")
-    asked = docs.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("tokens").alias("query_tokens"), F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)).alias("target_id"))
-    target = docs.where("item_id % 10 in (1, 2)").select(F.col("item_id").alias("target_id"), F.col("tokens").alias("target_tokens"))
+    """Each document with its two followers."""
+    docs = documents(spark, sf_dir).withColumn("tokens", F.array_distinct(simple_tokens(F.col("text")))).drop("text")
+    asked = docs.select(F.col("item_id").alias("query_id"), F.col("tokens").alias("query_tokens"), F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)).alias("target_id"))
+    target = docs.select(F.col("item_id").alias("target_id"), F.col("tokens").alias("target_tokens"))
     return asked.join(target, "target_id").select("query_id", "target_id", F.round(jaccard(F.col("query_tokens"), F.col("target_tokens")), 9).alias("jaccard"))
 
 
@@ -233,12 +232,12 @@ def jaccard_shares(spark, sf_dir):
 
 @query
 def overlap_shares(spark, sf_dir):
-    return rounded(corpus.shares(pairs(spark, sf_dir).withColumn("side", F.when(F.col("target_id") % 10 == 1, "next").otherwise("second")), "jaccard", "side", 0.1))
+    return rounded(corpus.shares(pairs(spark, sf_dir).withColumn("side", F.when(F.col("target_id") == F.col("query_id") + 1, "next").otherwise("second")), "jaccard", "side", 0.1))
 
 
 @query
 def nearest_extremes(spark, sf_dir):
-    return strata.extremes(pairs(spark, sf_dir).withColumn("pair", F.col("target_id")), "jaccard", 5, "pair").drop("pair")
+    return strata.extremes(pairs(spark, sf_dir).withColumn("pair", 2 * F.col("query_id") + F.col("target_id") - F.col("query_id")), "jaccard", 5, "pair").drop("pair")
 
 
 @query
