@@ -79,8 +79,8 @@ def join_measures(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Tokens between blanks, empty ones left out."""
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    """Tokens between blanks. Matching words is many times faster than splitting at blanks."""
+    return F.regexp_extract_all(c, F.lit(r"\S+"), 0)
 
 
 def drop_stopwords(c: Column, stopwords: Sequence[str] = PORTUGUESE) -> Column:

@@ -13,7 +13,7 @@ from gleaner.functions.stopwords import DOMAIN, PORTUGUESE, TOPIC_EXTRA
 
 def simple_tokens(c: Column) -> Column:
     """Lower-case runs of ASCII and Latin-1 letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-zà-öø-ÿ]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-zà-öø-ÿ]+"), 0)
 
 
 def normalized_tokens(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Checks of size before a broadcast."""
+"""Checks of size before a broadcast or an exchange."""
 
 from __future__ import annotations
 
@@ -11,3 +11,9 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """With a broadcast hint if a count shows at most `most` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out evenly if a scan gives fewer partitions than there are cores; else, as at any larger size, as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -41,7 +41,9 @@ def class_tfidf(texts: DataFrame, tokenizer: Callable[[Column], Column], by: str
 
     tf: the term's share of the class's tokens; A: mean number of tokens of a class; f: the term's count in all classes.
     """
-    counts = texts.select(by, F.explode(tokenizer(F.col("text"))).alias("term")).groupBy(by, "term").agg(F.count("*").alias("n"))
+    # Nulls go first: no join then adds a filter of its own, and all uses of the counts share one exchange.
+    terms = texts.select(by, F.explode(tokenizer(F.col("text"))).alias("term")).where(F.col(by).isNotNull() & F.col("term").isNotNull())
+    counts = terms.groupBy(by, "term").agg(F.count("*").alias("n"))
     sizes = counts.groupBy(by).agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.avg("size").alias("mean_size"))
     total = counts.groupBy("term").agg(F.sum("n").alias("f"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.normalize import STEPS, normalize, normalize_report
 from gleaner.functions.tokens import jaccard, simple_tokens
 from gleaner.operators import bm25, corpus, curves, dense, fusion, metrics, ranking, strata, text, topics
-from gleaner.operators.sizes import broadcast_if_small
+from gleaner.operators.sizes import broadcast_if_small, spread
 from gleaner.sources.writers import candidate_rows
 
 METHODS = ("dense", "dense_half", "hybrid")
@@ -29,7 +29,8 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
