@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import byte_list, table, text_list, tokenizer_path
+from gleaner.operators.sizes import spread
 
 # Fixed value: the published pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,4 +196,4 @@ def digest_table(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_table(table(spark, sf_dir, "documents"))
+    return digest_table(spread(table(spark, sf_dir, "documents")))

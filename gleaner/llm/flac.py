@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import byte_list, small_batches, table
+from gleaner.operators.sizes import spread
 
 BLOCK = 576
 PAD = 255
@@ -454,4 +455,4 @@ def digest_table(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_table(encode_table(table(spark, sf_dir, "documents")))
+    return digest_table(encode_table(spread(table(spark, sf_dir, "documents"))))

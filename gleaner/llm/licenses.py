@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import byte_list, table
+from gleaner.operators.sizes import spread
 
 # Base phrases with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -166,7 +167,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(table(spark, sf_dir, "documents"))
+    found = scan_licenses(spread(table(spark, sf_dir, "documents")))
     words = F.transform("places", lambda x: x["word"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))
     return found.select(

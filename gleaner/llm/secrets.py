@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import byte_list, table
+from gleaner.operators.sizes import spread
 
 #: Base kinds come first; the order breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "forge", "card", "pem")
@@ -160,7 +161,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+    return digest(scan_secrets(spread(table(spark, sf_dir, "documents"))))
 
 
 def brute_force(text: str | None) -> dict:

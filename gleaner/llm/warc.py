@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import small_batches, table
+from gleaner.operators.sizes import spread
 
 VERSION = b"WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the public namespace of URLs
@@ -163,5 +164,5 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = derive(responses(table(spark, sf_dir, "pages")))
+    made = derive(responses(spread(table(spark, sf_dir, "pages"))))
     return made.select("page_id", "kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", F.length("block").cast("long").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"), F.length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
