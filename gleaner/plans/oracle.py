@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 from gleaner.functions.normalize import ACCENTED, EXPANDED, PLAIN
-from gleaner.functions.stopwords import PORTUGUESE
+from gleaner.functions.stopwords import DOMAIN, PORTUGUESE, TOPIC_EXTRA
 
 
 def tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^0-9a-zà-öø-ÿ]+'), lambda w: w <> '')"
 
 
-LEXICAL = f"""
-toks AS (SELECT doc_id AS item_id, {tokens("text")} AS t FROM documents),
+def lexical(toks: str) -> str:
+    """CTEs up to `idf` from one that gives (item_id, t)."""
+    return f"""{toks},
 words AS (SELECT item_id, len(t) AS len, unnest(t) AS token FROM toks),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, coalesce(avg(len(t)), 0) AS avgdl FROM toks),
 tf AS (SELECT item_id, len, token, count(*) AS tf FROM words GROUP BY item_id, len, token),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 idf AS (SELECT token, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, stats)"""
 
-BM25 = f"""{LEXICAL},
-asked AS (SELECT DISTINCT query_id, token FROM (SELECT item_id AS query_id, unnest({tokens("text")}) AS token FROM benchmark)),
+
+def bm25(before: str, asked: str) -> str:
+    """CTEs up to `lexical`; asked gives (query_id, token)."""
+    return f"""{before},
+asked AS (SELECT DISTINCT query_id, token FROM ({asked})),
 score AS (
   SELECT a.query_id, tf.item_id, round(sum(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.len / stats.avgdl))), 6) AS score
   FROM asked a JOIN tf ON tf.token = a.token JOIN idf ON idf.token = a.token, stats GROUP BY a.query_id, tf.item_id
 ),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM score) WHERE rank <= 100)"""
 
+
+LEXICAL = lexical(f"toks AS (SELECT doc_id AS item_id, {tokens('text')} AS t FROM documents)")
+BM25 = bm25(LEXICAL, f"SELECT item_id AS query_id, unnest({tokens('text')}) AS token FROM benchmark")
+
 DENSE = """
 qv AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
 cv AS (SELECT vec_id AS item_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -146,8 +154,8 @@ def normal_steps(x: str) -> list[str]:
     return out
 
 
-def normal_ctes(source: str) -> str:
-    """CTEs s0 to s9 with (id, t) after each step, from a query with (id, t)."""
+def normal_ctes(source: str, s: str = "s") -> str:
+    """CTEs s0 to s9 (or with another letter) with (id, t) after each step, from a query with (id, t)."""
     accents = normal_steps("t")[1]
     twice = lambda pattern, to: f"regexp_replace(regexp_replace({{t}}, '{pattern}', '{to}', 'g'), '{pattern}', '{to}', 'g')"
     stop = ", ".join(map(quote, PORTUGUESE))
@@ -162,7 +170,7 @@ def normal_ctes(source: str) -> str:
         f"array_to_string(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '' AND w NOT IN ({stop})), ' ')",
         r"trim(regexp_replace(t, '\s+', ' ', 'g'))",
     ]
-    return f"s0 AS (SELECT id, coalesce(t, '') AS t FROM ({source})),\n" + ",\n".join(f"s{i + 1} AS (SELECT id, {step} AS t FROM s{i})" for i, step in enumerate(steps))
+    return f"{s}0 AS (SELECT id, coalesce(t, '') AS t FROM ({source})),\n" + ",\n".join(f"{s}{i + 1} AS (SELECT id, {step} AS t FROM {s}{i})" for i, step in enumerate(steps))
 
 
 STEP_NAMES = ("strip_accents", "normalize_case", "normalize_symbols", "normalize_fractions", "normalize_decimal_comma", "remove_noise_punct", "normalize_technical_spacing", "remove_stopwords", "normalize_whitespace")
@@ -208,6 +216,19 @@ def oracle() -> dict[str, str]:
         "idf_stats": f"WITH {LEXICAL} SELECT token, df, round(idf, 9) AS idf FROM idf",
         "bm25_metrics": f"WITH {BM25}, {LEXICAL_QRELS}, {metrics(LEXICAL_PAIRS)} {METRIC_ROWS}",
         "bm25_summary": f"WITH {BM25}, {LEXICAL_QRELS}, {metrics(LEXICAL_PAIRS)} {SUMMARY_ROWS}",
+        "bm25_normalized_topk": f"""WITH {normal_ctes("SELECT doc_id AS id, text AS t FROM documents")}, {normal_ctes("SELECT item_id AS id, text AS t FROM benchmark", "b")},
+            {bm25(lexical("toks AS (SELECT id AS item_id, list_filter(string_split(t, ' '), lambda w: w <> '') AS t FROM s9)"), "SELECT id AS query_id, unnest(list_filter(string_split(t, ' '), lambda w: w <> '')) AS token FROM b9")}
+            SELECT query_id, item_id, score, rank FROM lexical""",
+        "hybrid_topk": f"""WITH {BM25},
+            ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+            ds AS (SELECT b.item_id AS query_id, c.vec_id AS item_id, round(list_dot_product(q.e, c.e), 6) AS s FROM benchmark b JOIN ev q ON q.vec_id = b.item_id, ev c),
+            r2 AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM ds) WHERE rank <= 100),
+            fused AS (
+              SELECT coalesce(l.query_id, r2.query_id) AS query_id, coalesce(l.item_id, r2.item_id) AS item_id, l.rank AS a, r2.rank AS b,
+                     round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + r2.rank), 0), 12) AS score
+              FROM lexical l FULL OUTER JOIN r2 ON l.query_id = r2.query_id AND l.item_id = r2.item_id
+            )
+            SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, a ASC NULLS LAST, b) AS rank FROM fused) WHERE rank <= 100""",
         "dense_topk": f"WITH {DENSE} SELECT query_id, rank, item_id, score FROM r1",
         "rrf_topk": f"WITH {DENSE} SELECT query_id, rank, item_id, score FROM r3",
         "dense_metrics": dense(f"{metrics()} {METRIC_ROWS}"),
@@ -265,6 +286,10 @@ def oracle() -> dict[str, str]:
         "stopword_multiset_diff": f"""WITH {normal_ctes("SELECT doc_id AS id, text AS t FROM documents")},
             gone AS (SELECT id, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w IN ({", ".join(map(quote, PORTUGUESE))})) AS r FROM s7)
             SELECT id AS item_id, CAST(len(r) AS BIGINT) AS n_removed, array_to_string(r, ' ') AS removed FROM gone""",
+        "punctuated_tokens": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') AS t FROM conversations)
+            SELECT conv_id, turn, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM t""",
+        "topic_preprocess": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '\\S+') AS t FROM documents)
+            SELECT doc_id AS item_id, sha256(array_to_string(list_filter(t, lambda x: x NOT IN ({", ".join(map(quote, dict.fromkeys((*PORTUGUESE, *TOPIC_EXTRA, *DOMAIN))))}) AND NOT regexp_full_match(x, '[\\d,./\\-]+') AND length(x) > 1), ' ')) AS kept_sha256 FROM w""",
         "length_stats": f"WITH r AS (SELECT lang, length(text) AS c, len({tokens('text')}) AS t FROM documents) SELECT lang, count(*) AS docs, CAST(sum(t) AS BIGINT) AS tokens, round(avg(c), 6) AS mean_chars, round(median(c), 6) AS median_chars, round(avg(t), 6) AS mean_tokens, round(median(t), 6) AS median_tokens, round(100 * avg((c <= 300)::INTEGER), 6) AS short_pct FROM r GROUP BY lang",
         "vocab_overlap": f"""WITH w AS (SELECT DISTINCT lang, token FROM (SELECT lang, unnest({tokens("text")}) AS token FROM documents WHERE lang IN ('en', 'fr'))),
             s AS (SELECT token, max((lang = 'en')::INTEGER) AS a, max((lang = 'fr')::INTEGER) AS b FROM w GROUP BY token)
@@ -285,6 +310,8 @@ def oracle() -> dict[str, str]:
             w AS (SELECT doc_id, unnest(t) AS a, unnest(range(1, len(t) + 1)) AS i FROM t),
             g AS (SELECT DISTINCT doc_id, a AS term FROM w UNION SELECT doc_id, a || ' ' || n FROM (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w) WHERE n IS NOT NULL)
             SELECT term, count(*) AS df FROM g GROUP BY term HAVING count(*) >= 3""",
+        "query_topics": dense("""firsts AS (SELECT query_id, min(item_id) AS target FROM qrels GROUP BY query_id)
+            SELECT f.query_id, coalesce(CAST(regexp_extract(d.source, '(\\d+)', 1) AS INTEGER), -1) AS topic FROM firsts f LEFT JOIN documents d ON d.doc_id = f.target"""),
         "topic_map_ranked": dense(f"{metrics()}, {TOPIC_MAP} SELECT topic, round(dense, 9) AS dense, round(dense_half, 9) AS dense_half, round(hybrid, 9) AS hybrid, n_queries, round(mean_quality, 9) AS mean_quality FROM topic_means"),
         "best_worst_topics": dense(f"{metrics()}, {TOPIC_MAP}, r AS (SELECT topic, n_queries, round(mean_quality, 9) AS mean_quality FROM topic_means) SELECT * FROM (SELECT * FROM r ORDER BY mean_quality DESC, topic LIMIT 3) UNION SELECT * FROM (SELECT * FROM r ORDER BY mean_quality, topic LIMIT 3)"),
     }

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.normalize import STEPS, normalize, normalize_report
-from gleaner.functions.tokens import jaccard, simple_tokens
+from gleaner.functions.tokens import jaccard, preprocess_topics, simple_tokens
+from gleaner.functions.tokens import punctuated_tokens as punctuated
 from gleaner.operators import bm25, corpus, curves, dense, fusion, metrics, ranking, strata, text, topics
 from gleaner.operators.sizes import broadcast_if_small, spread
 from gleaner.sources.writers import candidate_rows
@@ -87,6 +88,12 @@ def bm25_summary(spark, sf_dir):
     return rounded(metrics.summarize(metrics.query_metrics(ranked, lexical_qrels(spark, sf_dir), runs=runs)))
 
 
+@query
+def bm25_normalized_topk(spark, sf_dir):
+    """BM25 over the tokens of normalised texts, the default."""
+    return bm25.retrieve(benchmark(spark, sf_dir), documents(spark, sf_dir), 100).select("query_id", "item_id", "score", "rank")
+
+
 # --- dense set
 
 
@@ -131,6 +138,15 @@ def rrf_topk(spark, sf_dir):
     return rankings(spark, sf_dir).where("method = 'hybrid'").drop("method")
 
 
+@query
+def hybrid_topk(spark, sf_dir):
+    """Texts and vectors with equal numbers are one item, and one query: BM25 and dense rankings fused."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = benchmark(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    found = dense.retrieve(asked, v.select(F.col("vec_id").alias("item_id"), "embedding"), 100)
+    return fusion.rrf(lexical_ranking(spark, sf_dir), found, 100)
+
+
 @query
 def dense_metrics(spark, sf_dir):
     return rounded(quality(spark, sf_dir))
@@ -316,6 +332,17 @@ def stopword_multiset_diff(spark, sf_dir):
     return text.removed_tokens_table(documents(spark, sf_dir).select("item_id", before.alias("before"), after.alias("after")), "item_id").select("item_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", " ").alias("removed"))
 
 
+@query
+def punctuated_tokens(spark, sf_dir):
+    tokens = punctuated(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
+
+
+@query
+def topic_preprocess(spark, sf_dir):
+    return documents(spark, sf_dir).select("item_id", F.sha2(preprocess_topics(F.col("text")), 256).alias("kept_sha256"))
+
+
 @query
 def length_stats(spark, sf_dir):
     return rounded(corpus.length_stats(table(spark, sf_dir, "documents"), simple_tokens, "lang", short=300))
@@ -393,6 +420,14 @@ def by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.quality_by_topic(rounded(quality(spark, sf_dir)), asked.select("query_id", "topic"), METHODS, least=2)
 
 
+@query
+def query_topics(spark, sf_dir):
+    """Each query's topic by the first of its relevant items."""
+    known = topic_texts(spark, sf_dir).select("item_id", F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("topic"))
+    bench = qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("relevant_item_ids")).withColumn("codigo", F.col("query_id"))
+    return topics.query_topics(bench, known)
+
+
 @query
 def topic_map_ranked(spark, sf_dir):
     return rounded(by_topic(spark, sf_dir), 9)
