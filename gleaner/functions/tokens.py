@@ -37,8 +37,8 @@ def preprocess_base(c: Column) -> Column:
 
 def preprocess_topics(c: Column, stopwords: Sequence[str] = (*PORTUGUESE, *TOPIC_EXTRA, *DOMAIN)) -> Column:
     """Base form without stopwords, numbers and one-letter tokens."""
-    listed = F.array(*map(F.lit, dict.fromkeys(stopwords)))
-    keep = lambda w: ~F.array_contains(listed, w) & ~w.rlike(r"^[\d,./\-]+$") & (F.length(w) > 1)
+    listed = tuple(dict.fromkeys(stopwords))
+    keep = lambda w: ~w.isin(*listed) & ~w.rlike(r"^[\d,./\-]+$") & (F.length(w) > 1)
     return F.array_join(F.filter(words(preprocess_base(c)), keep), " ")
 
 
