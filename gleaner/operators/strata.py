@@ -53,17 +53,32 @@ def quantile_bins(df: DataFrame, value: str, shares: Sequence[float] = (0.0, 0.2
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(above, F.lit(1)))).drop("_edges")  # broadcast: one row
 
 
+def counts_below(counts: DataFrame, value: str) -> DataFrame:
+    """Adds `_b`, the sum of `_c` over all smaller values, to rows of distinct numbers and their counts `_c`.
+
+    Values are dealt to ranges between approximate quantiles; only the ranges' totals are summed in one place.
+    """
+    ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.01)))
+    inside = F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value)))
+    dealt = counts.withColumn("_r", inside)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = dealt.groupBy("_r").agg(F.sum("_c").alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    within = Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(offsets), "_r").withColumn("_b", F.col("_o") + F.coalesce(F.sum("_c").over(within), F.lit(0))).drop("_r", "_o")
+
+
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds ranks from 1, ties sharing their mean rank. Values are counted first: the global sort sees distinct ones."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("_b", F.coalesce(before, F.lit(0))).select(F.col(value).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2).alias(name))
+    """Adds ranks from 1, ties sharing their mean rank. Values are counted first."""
+    counts = counts_below(df.groupBy(value).agg(F.count("*").alias("_c")), value)
+    ranks = counts.select(F.col(value).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rank correlation of two columns."""
-    ranked = average_ranks(average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "_ra"), b, "_rb")
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).persist()  # two numbers a row, read six times; lost blocks are made again
+    ranked = average_ranks(average_ranks(pairs, a, "_ra"), b, "_rb")
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -77,12 +92,11 @@ def pooled_curves(ranked: DataFrame, qrels: DataFrame, halves: DataFrame, level_
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(value, share): i / n on sorted values, each tie with a step of its own.
 
-    Counts of distinct values are run over, and ties are spread out again: the sort sees distinct values only.
+    Distinct values are counted and ranked by ranges, and ties are spread out again.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
     total = counts.agg(F.sum("_c").alias("_n"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    steps = before.crossJoin(F.broadcast(total)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))  # broadcast: one row
+    steps = counts_below(counts, value).crossJoin(F.broadcast(total)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))  # broadcast: one row
     return steps.select(F.col(value).alias("value"), ((F.col("_b") + F.col("_i")) / F.col("_n")).alias("share"))
 
 
