@@ -297,7 +297,7 @@ def oracle() -> dict[str, str]:
         "corpus_dedup_union": f"""WITH p AS ({PARTS}), k AS (SELECT *, {CLEAN} AS key FROM p),
             g AS (SELECT key, min(CASE WHEN side = 0 THEN code END) AS code_left, min(CASE WHEN side = 1 THEN code END) AS code_right FROM k GROUP BY key),
             f AS (SELECT key, text FROM (SELECT key, text, row_number() OVER (PARTITION BY key ORDER BY side, pos) AS n FROM k) WHERE n = 1)
-            SELECT trim(f.text) AS description, code_left, code_right, CASE WHEN code_left IS NOT NULL AND code_right IS NOT NULL THEN 'both' WHEN code_left IS NOT NULL THEN 'left' ELSE 'right' END AS source FROM g JOIN f ON f.key = g.key""",
+            SELECT trim(f.text) AS description, coalesce(code_left::VARCHAR, '') AS code_left, coalesce(code_right::VARCHAR, '') AS code_right, CASE WHEN code_left IS NOT NULL AND code_right IS NOT NULL THEN 'both' WHEN code_left IS NOT NULL THEN 'left' ELSE 'right' END AS source FROM g JOIN f ON f.key = g.key""",
         "qrels_grouping": """WITH c AS (SELECT DISTINCT l_partkey AS p, p_name AS pn, l_suppkey AS s, s_name AS sn FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
             SELECT p AS product_id, pn AS product_description, min_by(sn, s) AS original_description, string_agg(s::VARCHAR, ',' ORDER BY s) AS relevant_item_ids FROM c GROUP BY p, pn""",
         "unique_item_corpus": "SELECT DISTINCT l_suppkey AS item_id, s_name AS text FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey",

@@ -356,7 +356,8 @@ def vocab_overlap(spark, sf_dir):
 @query
 def corpus_dedup_union(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.concat_ws(" ", F.when(F.col("p_partkey") % 4 < 2, F.upper("p_name")).otherwise(F.col("p_name")), "p_brand").alias("text"), F.col("p_partkey").alias("pos"))
-    return corpus.combine(parts.where("code % 2 = 0"), parts.where("code % 2 = 1"))
+    codes = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("code_left", "code_right")]  # as they are written
+    return corpus.combine(parts.where("code % 2 = 0"), parts.where("code % 2 = 1")).select("description", *codes, "source")
 
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
