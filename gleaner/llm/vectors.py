@@ -6,9 +6,14 @@ shards: a shard over SHARD_MOST nodes is split around pivots (a bounded sample o
 PIVOT_GAP, so that a dense cluster has one), each node going to its two nearest. Each shard builds a robust-pruned
 graph; a node's lists from all its shards are united. In each shard every node is then searched for: a greedy search
 from the shard's medoid and the node's own list finds the neighbourhood, which is expanded through all nodes within
-reach. What is found is verified by the cosine itself. A pair in several shards counts in the first that both share.
+reach. What is found is verified by the cosine itself.
 
-A dense shard that pivots cannot split is compared in pairs of blocks of at most BLOCK nodes, which is exact.
+The search finds every link of a shard if pruning had all nodes within reach of a node to choose from and dropped one
+only for a kept one nearer to it by ALPHA: from a node a path leads to each linked one, ever nearer to it, hence inside
+`reach`. Nodes with more within reach than CANDIDATES or DEGREE hold are `cut`; a shard that has one is compared by
+full products instead. So all pairs in a shard are seen, and a pair in several counts in the first that both share.
+
+A dense shard that pivots cannot split is compared in pairs of blocks of at most BLOCK nodes.
 `audit` measures recall against all rows for a bounded set of queries.
 
 Null, zero, null-holding and non-finite vectors, null labels and null ids are linked with nothing. Rows that repeat
@@ -35,7 +40,8 @@ BLOCK = 2048
 DEAL = 20_000
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM = 12
-SLACK = 0.06
+#: Vectors nearer than this (their cosine) have distances too short to be compared.
+SAME = 1 - 5e-13
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -44,32 +50,71 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
-    """For each row of unit vectors, its kept neighbours: nearest first, without those that a kept one is near to."""
+def robust_prune(x: np.ndarray, least: float = LEAST, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row of unit vectors, its kept neighbours: nearest first, without those that a kept one is near to.
+
+    And whether it is cut: whether rows with cosine of at least `least` were left out for want of room, or are too near to be told apart.
+    """
     n = len(x)
     take = min(candidates, n - 1)
     if take <= 0:
-        return [np.zeros(0, np.int64)] * n
-    single, out = x.astype(np.float32), []
+        return [np.zeros(0, np.int64)] * n, np.zeros(n, bool)
+    out, cut = [], np.zeros(n, bool)
     for begin in range(0, n, 256):
-        own = single[begin : begin + 256]
-        sims = own @ single.T
+        own = x[begin : begin + 256]
+        sims = own @ x.T
         sims[np.arange(len(own)), begin + np.arange(len(own))] = -np.inf
+        short = (sims >= least - 1e-9).sum(1) > take
         near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
         s = np.take_along_axis(sims, near, 1)
         order = np.argsort(-s, axis=1, kind="stable")
         near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
+        short |= s[:, 0] > SAME
         distance = np.sqrt(np.maximum(2 - 2 * s, 0))
-        gathered = single[near]
+        gathered = x[near]
         between = np.sqrt(np.maximum(2 - 2 * np.matmul(gathered, gathered.transpose(0, 2, 1)), 0))
         alive, kept, size = np.ones(near.shape, bool), np.zeros(near.shape, bool), np.zeros(len(own), np.int64)
         for c in range(take):
             now = alive[:, c] & (size < degree)
+            short |= alive[:, c] & ~now & (s[:, c] >= least - 1e-9)
             kept[now, c] = True
             size += now
             alive[:, c + 1 :] &= ~(now[:, None] & (alpha * between[:, c, c + 1 :] <= distance[:, c + 1 :]))
         out += [near[i][kept[i]] for i in range(len(own))]
-    return out
+        cut[begin : begin + 256] = short
+    return out, cut
+
+
+def reach(least: float) -> float:
+    """Cosine within which a path to a linked node stays: its steps are nearer to that node by ALPHA, less what rounding takes."""
+    return 1 - (1 - least) * (1 + 1 / (ALPHA - 0.01)) ** 2
+
+
+def products(x: np.ndarray, first: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both directions of all pairs of a row of `first` with one of `second` whose cosine is `least` or more; the two are equal or disjoint."""
+    same, other = np.array_equal(first, second), x[second].T
+    for begin in range(0, len(first), 256):
+        own = first[begin : begin + 256]
+        at, to = np.nonzero(x[own] @ other >= least)
+        a, b = own[at], second[to]
+        if same:
+            yield a[a != b], b[a != b]
+        else:
+            yield a, b
+            yield b, a
+
+
+def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least row of each component) after joining a with b."""
+    while True:
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low != high
+        if not apart.any():
+            return parent
+        parent = parent.copy()
+        np.minimum.at(parent, high[apart], low[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
 
 
 def unseen(nodes: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -85,7 +130,7 @@ def unseen(nodes: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return nodes
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int = BEAM, slack: float = SLACK) -> list[np.ndarray]:
+def range_search(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int = BEAM) -> list[np.ndarray]:
     """For each row, the other rows found with cosine of at least `least`."""
     n = len(x)
     a = np.concatenate([np.repeat(np.arange(n), [len(v) for v in lists]), np.concatenate(lists)]) if n else np.zeros(0, np.int64)
@@ -114,7 +159,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], least: float, beam: int
             if len(fresh):
                 nodes, sims, done = np.append(nodes, fresh), np.append(sims, x[fresh] @ target), np.append(done, np.zeros(len(fresh), bool))
         while True:  # expansion: through all nodes within reach
-            open_ = np.flatnonzero((sims >= least - slack) & ~done)
+            open_ = np.flatnonzero((sims >= reach(least)) & ~done)
             if not len(open_):
                 break
             done[open_] = True
@@ -204,51 +249,49 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     def build(shard: pa.Table) -> pa.Table:
         ids = shard["id"].to_numpy()
-        lists = robust_prune(_unit(matrix(shard["v"])))
-        return pa.table([pa.array(ids), pa.array([ids[v] for v in lists], pa.list_(pa.int64()))], ["id", "near"])
+        lists, cut = robust_prune(_unit(matrix(shard["v"])), least)
+        return pa.table([pa.array(ids), pa.array([ids[v] for v in lists], pa.list_(pa.int64())), pa.array(cut)], ["id", "near", "cut"])
 
     def search(shard: pa.Table) -> pa.Table:
         order = np.argsort(shard["id"].to_numpy(), kind="stable")
         shard = shard.take(pa.array(order))
         ids, x = shard["id"].to_numpy(), _unit(matrix(shard["v"]))
         cell, i, j = (shard[c][0].as_py() for c in ("cell", "i", "j"))
-        near = shard["near"].combine_chunks()
-        flat, size = near.flatten().to_numpy(zero_copy_only=False), near.value_lengths().to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        here = ids[at] == flat  # neighbours in other shards only are no use in this one
-        of = np.repeat(np.arange(len(ids)), size)[here]
-        lists = np.split(at[here], np.searchsorted(of, np.arange(1, len(ids))))
-        found = range_search(x, lists, least)
-        a, b = np.repeat(np.arange(len(ids)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
-        pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))  # what either end has found
-        a, b = pairs // len(ids), pairs % len(ids)
         block = shard["block"].to_numpy()
-        mine = (np.minimum(block[a], block[b]) == i) & (np.maximum(block[a], block[b]) == j)
-        a, b = a[mine], b[mine]
+
+        def walked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            near = shard["near"].combine_chunks()
+            flat, size = near.flatten().to_numpy(zero_copy_only=False), near.value_lengths().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            here = ids[at] == flat  # neighbours in other shards only are no use in this one
+            of = np.repeat(np.arange(len(ids)), size)[here]
+            lists = np.split(at[here], np.searchsorted(of, np.arange(1, len(ids))))
+            found = range_search(x, lists, least)
+            a, b = np.repeat(np.arange(len(ids)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
+            pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))  # what either end has found
+            a, b = pairs // len(ids), pairs % len(ids)
+            mine = (np.minimum(block[a], block[b]) == i) & (np.maximum(block[a], block[b]) == j)
+            yield a[mine], b[mine]
+
         # The pair counts here if no earlier cell holds both.
         own = shard["cells"].to_pylist()
         width = max(map(len, own))
         some = np.array([[c for c in cs if c < cell] + [None] * (width - sum(c < cell for c in cs)) for cs in own], object)
         earlier = np.where(some == None, 0, some).astype(np.int64) if width else np.zeros((len(ids), 0), np.int64)  # noqa: E711
         real = some != None  # noqa: E711
-        counts = np.ones(len(a), bool)
-        for u in range(width):
-            for w in range(width):
-                counts &= ~(real[a, u] & real[b, w] & (earlier[a, u] == earlier[b, w]))
-        total = np.bincount(a[counts], weights=shard["n"].to_numpy()[b[counts]], minlength=len(ids)).astype(np.int64)
-        parent = np.arange(len(ids))
-        while True:  # labels fall to the least of the linked ones
-            low = parent.copy()
-            np.minimum.at(low, a, parent[b])
-            low = low[low]
-            if (low == parent).all():
-                break
-            parent = low
+        n, total, parent = shard["n"].to_numpy(), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in products(x, np.flatnonzero(block == i), np.flatnonzero(block == j), least) if any(shard["cut"].to_pylist()) else walked():
+            counts = np.ones(len(a), bool)
+            for u in range(width):
+                for w in range(width):
+                    counts &= ~(real[a, u] & real[b, w] & (earlier[a, u] == earlier[b, w]))
+            total += np.bincount(a[counts], weights=n[b[counts]], minlength=len(ids)).astype(np.int64)
+            parent = merged(parent, a, b)
         return pa.table([pa.array(ids), pa.array(total), pa.array(ids[parent])], ["id", "links", "root"])
 
     dealt = tasks(placed)
-    lists = dealt.select("cell", "i", "j", "id", "v").groupBy("cell", "i", "j").applyInArrow(build, "id bigint, near array<bigint>")
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+    lists = dealt.select("cell", "i", "j", "id", "v").groupBy("cell", "i", "j").applyInArrow(build, "id bigint, near array<bigint>, cut boolean")
+    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.max("cut").alias("cut"))
     ready = dealt.join(cells, "id").join(united, "id").join(nodes.select(F.col("node").alias("id"), "n"), "id")
     found = checkpoint(ready.groupBy("cell", "i", "j").applyInArrow(search, "id bigint, links bigint, root bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

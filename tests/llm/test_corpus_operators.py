@@ -171,6 +171,47 @@ def test_dense_shards_in_blocks_of_pairs(spark, monkeypatch):
     assert got == vectors.brute_force(*(list(c) for c in zip(*rows)))
 
 
+@pytest.mark.parametrize("block", [2048, 150])
+def test_links_between_groups_of_near_copies(spark, monkeypatch, block):
+    """Groups of many more near copies than a node has candidates, all inside one linked cluster."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    draw = np.random.default_rng(4)
+    centre = draw.normal(size=32)
+    seats = centre + draw.normal(size=(4, 32)) * 0.2
+    rows = [(k, [float(x) for x in seats[k % 4] + draw.normal(size=32) * 0.001], 0) for k in range(600)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(vector_frame(spark, rows)).collect()}
+    assert got == vectors.brute_force(*(list(c) for c in zip(*rows)))
+    assert sum(n for n, _ in got.values()) > 600 * 300
+
+
+def test_search_without_cut_nodes_finds_all():
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(60, 16))
+    x = vectors._unit(np.concatenate([c + draw.normal(size=(12, 16)) * s for c, s in zip(centres, draw.choice([0.02, 0.15, 0.3], 60))]))
+    lists, cut = vectors.robust_prune(x)
+    assert not cut.any()
+    want = x @ x.T >= vectors.LEAST
+    np.fill_diagonal(want, False)
+    assert [sorted(f) for f in vectors.range_search(x, lists, vectors.LEAST)] == [np.flatnonzero(w).tolist() for w in want]
+
+
+def test_links_count_every_pair_that_shares_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_MOST", 60)
+    monkeypatch.setattr(vectors, "SHARD_AIM", 20)
+    monkeypatch.setattr(vectors, "CANDIDATES", 8)
+    placed, whole = [], vectors.shards
+    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(whole(nodes)) or placed[0])
+    rows = [r for r in vector_rows(3) if r[0] < 500]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(vector_frame(spark, [(i, v, 0) for i, v, _ in rows])).collect()}
+    cells, x = {}, vectors._unit(np.array([v for _, v, _ in rows]))
+    for r in placed[0].collect():
+        cells.setdefault(tuple(r["v"]), set()).add(r["cell"])
+    of = [cells[tuple(v)] for _, v, _ in rows]
+    near = x @ x.T >= vectors.LEAST
+    assert max(map(len, of)) > 1
+    assert got == {rows[a][0]: sum(bool(near[a, b] and a != b and of[a] & of[b]) for b in range(len(rows))) for a in range(len(rows))}
+
+
 def test_empty_vectors(spark):
     assert vectors.near_duplicates(vector_frame(spark, vector_rows(1)).limit(0)).count() == 0
     alone = vectors.near_duplicates(vector_frame(spark, [(None, [1.0], 1), (3, [1.0], 1)])).collect()
