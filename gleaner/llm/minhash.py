@@ -8,8 +8,9 @@ shingles, sum of minima over sum of maxima, is `least` or more; a class is a con
 Equal texts are one text from the start: each map task sends a text once. The texts are then dealt to groups by
 digest, once; document frequencies travel as delta-coded blobs (up: all hashes, down: those with df > 1).
 BANDS bands of ROWS samples each give buckets. Buckets with the same members count once. Within a bucket a text is
-compared with every member of other components, so that no link is lost in a bucket; a bucket over
-BUCKET_MOST texts is dealt in blocks that all hold its first LEADERS members.
+compared with every member of other components, so that no link is lost in a bucket. A bucket over BUCKET_MOST texts
+is dealt in blocks that all hold its first LEADERS members; if that leaves it in several components, all but the
+largest meet each other and the largest in pairs of blocks, and every pair of different components is compared.
 
 Null text counts as empty. A blank text and a null id are linked with nothing, a text without words with its exact
 copies only. Rows that repeat an id count as copies and share its result. Further columns are not read. An empty
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, components, deal, opened, table, trimmed, values
+from gleaner.llm.common import byte_list, checkpoint, components, deal, opened, table, trimmed, values
 
 WIDTH = 5
 LEAST = 0.8
@@ -202,6 +203,30 @@ def bucket_components(vectors: list[tuple[np.ndarray, np.ndarray]], least: float
     return np.array([root(i) for i in range(n)])
 
 
+def cross_components(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least: float) -> np.ndarray:
+    """Labels of the texts of two blocks, `left` first, after joining those of different labels that are linked: the smaller label stays.
+
+    Texts whose whole weights differ by more than `least` allows are not linked, so a text meets a stretch of `left` by weight.
+    """
+    n, labels = len(left), labels.copy()
+    totals = np.array([w.sum() for _, w in left])
+    order = np.argsort(totals, kind="stable")
+    totals, sizes = totals[order], np.array([len(left[i][0]) for i in order.tolist()])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    all_h, all_w = np.concatenate([left[i][0] for i in order.tolist()]), np.concatenate([left[i][1] for i in order.tolist()])
+    for k, (h, w) in enumerate(right):
+        own = w.sum()
+        a, b = np.searchsorted(totals, own * least * (1 - 1e-9)), np.searchsorted(totals, own / least * (1 + 1e-9), side="right")
+        if a == b or (labels[order[a:b]] == labels[n + k]).all():
+            continue
+        inside = slice(starts[a], starts[b])
+        linked = order[a:b][similarity_row(h, w, all_h[inside], all_w[inside], starts[a:b] - starts[a], totals[a:b]) >= least]
+        met = np.unique(np.append(labels[linked], labels[n + k]))
+        if len(met) > 1:
+            labels[np.isin(labels, met)] = met[0]
+    return labels
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per input row: the key, `class_id` (smallest key of its class) and `kept` (it is that key)."""
     spark = docs.sparkSession
@@ -369,20 +394,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 packed += [pack_vector(*v) for v in vectors([d for _, d in some[a:b]], common, codes)]
         return pa.table([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "vector"])
 
+    def unpacked(packed: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(h, weights_of(tf, code, n_docs)) for h, tf, code in map(unpack_vector, packed)]
+
     @trimmed
     def verify(bucket: pa.Table) -> pa.Table:
-        """Links of a bucket's texts with the smallest id of their component in it."""
+        """Links of a bucket's texts with the smallest id of their component in it; the texts of a large bucket's block as well."""
         order = np.argsort(bucket["id"].to_numpy(), kind="stable")
         ids = bucket["id"].to_numpy()[order]
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         order, ids = order[fresh], ids[fresh]
-        packed, own = bucket["vector"].to_pylist(), []
-        for i in order.tolist():
-            h, tf, code = unpack_vector(packed[i])
-            own.append((h, weights_of(tf, code, n_docs)))
-        to = ids[bucket_components(own, least)]
+        packed = bucket["vector"].to_pylist()
+        to = ids[bucket_components(unpacked([packed[i] for i in order.tolist()]), least)]
         linked = to != ids
-        return pa.table([pa.array(ids[linked], pa.int64()), pa.array(to[linked], pa.int64())], ["a", "b"])
+        n = int(linked.sum())
+        held = np.flatnonzero(np.array(bucket["held"].to_pylist(), bool)).tolist()
+        again = [bucket["id"][i].as_py() for i in held]
+        none = [None] * len(held)
+        return pa.table([pa.array([*ids[linked].tolist(), *again], pa.int64()), pa.array([*to[linked].tolist(), *none], pa.int64()), pa.array([None] * n + [bucket["bucket"][i].as_py() for i in held], pa.int64()), pa.array([None] * n + [packed[i] for i in held], pa.binary())], ["a", "b", "bucket", "vector"])
+
+    @trimmed
+    def cross(pair: pa.Table) -> pa.Table:
+        """Links between components of a large bucket's texts in two of its blocks."""
+        block, i, j = np.array(pair["block"].to_pylist()), pair["i"][0].as_py(), pair["j"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["a", "b"])
+        packed, root = pair["vector"].to_pylist(), pair["root"].to_numpy()
+        before = np.concatenate([root[left], root[right]])
+        after = cross_components(unpacked([packed[x] for x in left.tolist()]), unpacked([packed[x] for x in right.tolist()]), before, least)
+        made = np.unique(np.stack([before, after], 1)[before != after], axis=0)
+        return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+    def met_again(texts: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between the components that large buckets still have, from all pairs of their texts (bucket, a, vector)."""
+        half = BUCKET_MOST // 2
+        member = checkpoint(texts.select("bucket", F.col("a").alias("id")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("root")))
+        sizes = member.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+        many = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("all")).where(F.col("all") > F.col("top.m"))
+        # Blocks of the largest component come first; they need not meet each other.
+        first, rest = F.ceil(F.col("top.m") / half).cast("int"), F.ceil((F.col("all") - F.col("top.m")) / half).cast("int")
+        big = F.col("root") == F.col("top.root")
+        placed = member.join(many.withColumn("first", first).withColumn("rest", rest), "bucket")
+        placed = placed.withColumn("block", F.when(big, F.pmod(F.xxhash64("id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int"))
+        meets = F.when(big, F.sequence("first", F.col("first") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("first") + F.col("rest") - 1))
+        tasks = placed.select("bucket", "id", "root", "block", F.explode(meets).alias("other")).select("bucket", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return tasks.join(texts.select("bucket", F.col("a").alias("id"), "vector"), ["bucket", "id"]).groupBy("bucket", "i", "j").applyInArrow(cross, "a bigint, b bigint")
 
     extra_kind = "g int, kind string, id bigint, data binary"
     sent = docs.where("id is not null").mapInArrow(once, "g int, texts binary").repartition(groups, "g")
@@ -399,13 +456,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     wanted = inside.select("g", F.lit("id").alias("kind"), "id", F.lit(None).cast("binary").alias("data")).distinct()
     vector = sent.groupBy("g").cogroup(frequency.unionByName(wanted).groupBy("g")).applyInArrow(chosen, "id bigint, vector binary")
     blocks = F.ceil(F.col("m") / BUCKET_MOST).cast("int")
-    small = inside.where(F.col("m") <= BUCKET_MOST).select("bucket", F.lit(0).alias("block"), "id")
+    small = inside.where(F.col("m") <= BUCKET_MOST).select("bucket", F.lit(0).alias("block"), "id", F.lit(False).alias("held"))
     large = inside.where(F.col("m") > BUCKET_MOST)
     heads = large.groupBy("bucket").agg(F.max("m").alias("m"), F.expr(f"slice(array_sort(collect_set(if(pmod(xxhash64(id), greatest(1, cast(m / {4 * LEADERS} as int))) = 0, id, null))), 1, {LEADERS})").alias("ids"))
-    dealt = large.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
-    led = heads.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("ids")).select("bucket", "block", F.explode("ids").alias("id"))
-    edges = small.unionByName(dealt).unionByName(led).join(vector, "id").groupBy("bucket", "block").applyInArrow(verify, "a bigint, b bigint")
-    found = components(edges)
+    dealt = large.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", F.lit(True).alias("held"))
+    led = heads.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("ids")).select("bucket", "block", F.explode("ids").alias("id"), F.lit(False).alias("held"))
+    met = checkpoint(small.unionByName(dealt).unionByName(led).join(vector, "id").groupBy("bucket", "block").applyInArrow(verify, "a bigint, b bigint, bucket bigint, vector binary"))
+    found = components(met.select("a", "b"))
+    held = met.where("vector is not null")
+    if held.limit(1).count():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met_again(held.select("bucket", "a", "vector"), found)))
     # Copies of one text share its digest; its least id stands for them.
     digests = docs.select("id", F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5(F.col("text").cast("binary")))).alias("digest"))
     return joined_classes(digests, found, key)

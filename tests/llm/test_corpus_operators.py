@@ -115,6 +115,21 @@ def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()} == {1000}
 
 
+def test_pairs_of_different_blocks_of_a_large_bucket(spark, monkeypatch):
+    """Texts that share every bucket, linked two by two and with no leader."""
+    monkeypatch.setattr(minhash, "BUCKET_MOST", 4)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    monkeypatch.setattr(minhash, "band_keys", lambda signatures: np.tile(np.arange(minhash.BANDS, dtype=np.uint64), (len(signatures), 1)))
+    draw, rows = random.Random(6), {}
+    for i in range(0, 40, 2):
+        rows[i] = prose(draw, 100)
+        rows[i + 1] = rows[i] + " tail"
+    for i in range(40, 52):
+        rows[i] = rows[0] + f" end{i}"
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()}
+    assert got == minhash.brute_force(rows)
+
+
 def test_packed_hashes_round_trip():
     h = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 500, dtype=np.uint64))
     back, rest = minhash.unpack_sorted(minhash.pack_sorted(h) + b"tail")
