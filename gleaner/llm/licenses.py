@@ -3,9 +3,13 @@
 Words are the maximal runs of ASCII letters and digits and of non-ASCII characters after A-Z are lower-cased.
 Base places are those where the words of a base phrase stand consecutively. The same automaton finds further
 notice phrases and the identifier tag; the expression behind a tag is parsed from the whole text and evaluated:
-an `or` offers the labels of either side, an `and` asks for both, a `with` keeps the licence and adds the
-exception. `scan_licenses` keeps each input row: null text counts as empty (no words, no labels, score 0),
-repeated rows give repeated results, further columns are not read.
+an `or` offers the labels of either side, an `and` asks for both, a `with` keeps the licence and adds every
+identifier of the exception. An expression stays a formula: its labels and the number of its alternatives come from one
+pass over the Polish form, whatever that number is. Of a line that isn't well formed, the longest beginning that is counts.
+
+`scan_licenses` keeps each input row: null text counts as empty (no words, no labels, score 0), repeated rows give
+repeated results, further columns are not read, an empty table gives none. A text of any length is scanned whole in time
+proportional to it; a worker holds about four megabytes of text at a time, or one text. Labels of equal places are distinct and sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, table
+from gleaner.llm.common import byte_list, small_batches, table
 from gleaner.operators.sizes import spread
 
 # Base phrases with their labels.
@@ -51,38 +55,49 @@ BINDING = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def parse_expression(expression: str) -> list[str] | None:
-    """Reverse Polish form of a licence expression by the shunting-yard method; None if it isn't well formed."""
-    out, stack, operand = [], [], False
-    for token in re.findall(r"[()]|[^\s()]+", expression):
-        low = token.lower()
+def parse_beginning(expression: str) -> tuple[list[str] | None, int]:
+    """Reverse Polish form of the longest well-formed beginning by the shunting-yard method, and its end; None if there is none.
+
+    One pass: wherever an operand or a closing bracket leaves no bracket open, the tokens so far are well formed.
+    """
+    out: list[str] = []
+    stack: list[str] = []
+    operand, depth, best, end = False, 0, (0, ()), 0
+    for match in re.finditer(r"[()]|[^\s()]+", expression):
+        token, low = match[0], match[0].lower()
         if low in BINDING:
             if not operand:
-                return None
+                break
             while stack and stack[-1] != "(" and BINDING[stack[-1]] >= BINDING[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = False
         elif token == "(":
             if operand:
-                return None
+                break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if not operand:
-                return None
-            while stack and stack[-1] != "(":
+            if not operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         else:
             if operand:
-                return None
+                break
             out.append(token)
             operand = True
-    if not operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if operand and not depth:  # operators still waiting: three at most, of rising strength
+            best, end = (len(out), tuple(stack[::-1])), match.end()
+    return (out[: best[0]] + list(best[1]), end) if end else (None, 0)
+
+
+def parse_expression(expression: str) -> list[str] | None:
+    """Reverse Polish form of a licence expression; None if it isn't well formed."""
+    rpn, end = parse_beginning(expression)
+    return rpn if end and not expression[end:].strip() else None
 
 
 def _family(identifier: str) -> str:
@@ -90,23 +105,21 @@ def _family(identifier: str) -> str:
     return next((FAMILIES[x] for x in sorted(FAMILIES, key=len, reverse=True) if low == x or low.startswith(f"{x}-")), low)
 
 
-def evaluate_expression(rpn: list[str]) -> tuple[set[str], list[set[str]]]:
-    """All labels named, and the alternatives that each satisfy the expression (at most 64 are kept apart)."""
-    stack: list[list[set[str]]] = []
+def evaluate_expression(rpn: list[str]) -> tuple[set[str], int]:
+    """All labels named, and how many alternatives the expression offers, counted without writing them out (2 ** 62 at most)."""
+    stack: list[tuple[list[str], int]] = []
     for token in rpn:
         if token not in BINDING:
-            stack.append([{_family(token)}])
+            stack.append(([_family(token)], 1))
             continue
-        right, left = stack.pop(), stack.pop()
-        if token == "or":
-            made = left + [x for x in right if x not in left]
-        elif token == "and":
-            made = [x | y for x in left for y in right]
-        else:
-            made = [x | {f"with-{next(iter(y))}"} for x in left for y in right]
-        stack.append(made if len(made) <= 64 else [set().union(*made)])
-    options = stack.pop()
-    return set().union(*options), options
+        (right, n), (left, m) = stack.pop(), stack.pop()
+        if token == "with":
+            right, n = [f"with-{x}" for x in right], 1
+        small, large = sorted((left, right), key=len)  # the shorter list moves: n log n in all
+        large.extend(small)
+        stack.append((large, min(m + n if token == "or" else m * n, 1 << 62)))
+    labels, options = stack.pop()
+    return set(labels), options
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -137,15 +150,12 @@ def scan_one(data: bytes, automaton: ahocorasick.Automaton) -> dict:
     expressions, named, best = [], set(), 0.0
     for match in TAG_TEXT.finditer(data) if tags else ():
         said = re.sub(r"\s+", " ", match[1].decode()).strip().rstrip(".")
-        rpn = parse_expression(said)
-        if rpn is None:  # the longest well-formed beginning
-            parts = said.split(" ")
-            said, rpn = next(((" ".join(parts[:n]), x) for n in range(len(parts), 0, -1) if (x := parse_expression(" ".join(parts[:n])))), (said, None))
+        rpn, end = parse_beginning(said)
         if rpn:
             labels, options = evaluate_expression(rpn)
             named |= labels
-            expressions.append(said)
-            best = max(best, 1.0 if len(options) == 1 else 0.95)
+            expressions.append(said[:end])
+            best = max(best, 1.0 if options == 1 or len(labels) == 1 else 0.95)
     base = {label for _, label in places}
     score = max(best, 0.9 if base else 0.0, 0.6 if notices else 0.0)
     return {"n_words": len(words), "places": [{"word": w, "label": x} for w, x in sorted(places)], "labels": sorted(base | notices | named), "expressions": expressions, "score": score}
@@ -159,7 +169,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
+        for batch in small_batches(batches, text):
             found = [scan_one(data, automaton) for data in byte_list(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[name] for x in found], kind) for name, kind in rest.items())], [key, *rest])
 

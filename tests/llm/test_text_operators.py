@@ -62,7 +62,56 @@ def test_license_expressions():
     assert licenses.parse_expression("MIT OR Apache-2.0 AND BSD-2-Clause") == ["MIT", "Apache-2.0", "BSD-2-Clause", "and", "or"]
     assert licenses.parse_expression("(MIT") is None and licenses.parse_expression("MIT MIT") is None and licenses.parse_expression("AND") is None and licenses.parse_expression("") is None
     labels, options = licenses.evaluate_expression(licenses.parse_expression("(MIT OR ISC) AND GPL-2.0 WITH X"))
-    assert options == [{"mit", "gpl", "with-x"}, {"isc", "gpl", "with-x"}] and labels == {"mit", "isc", "gpl", "with-x"}
+    assert options == 2 and labels == {"mit", "isc", "gpl", "with-x"}
+    assert licenses.evaluate_expression(licenses.parse_expression("MIT WITH (a AND b)")) == ({"mit", "with-a", "with-b"}, 1)
+    many = " OR ".join(f"L{i}" for i in range(9))
+    assert licenses.evaluate_expression(licenses.parse_expression(f"({many}) AND ({many})"))[1] == 81
+    assert licenses.parse_beginning("MIT OR (ISC AND X) Y (") == (["MIT", "ISC", "X", "and", "or"], 18) and licenses.parse_beginning("(a OR") == (None, 0)
+
+
+def alternatives(rpn):
+    """All sets of labels that satisfy an expression, written out."""
+    stack = []
+    for token in rpn:
+        if token not in licenses.BINDING:
+            stack.append([frozenset([token])])
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append(left + right if token == "or" else [x | y for x in left for y in right])
+    return stack.pop()
+
+
+def test_license_expressions_equal_written_out_alternatives():
+    draw = random.Random(11)
+
+    def made(depth):
+        if not depth or draw.random() < 0.3:
+            return f"id{draw.randint(0, 10**6)}x"
+        text = f"{made(depth - 1)} {draw.choice(['OR', 'and'])} {made(depth - 1)}"
+        return f"({text})" if draw.random() < 0.5 else text
+
+    for _ in range(200):
+        text = made(4)
+        rpn = licenses.parse_expression(text)
+        labels, options = licenses.evaluate_expression(rpn)
+        want = alternatives(rpn)
+        assert labels == set().union(*want) and options == len(want)
+        words = text.split(" ")
+        for n in range(len(words)):  # broken lines: the longest well-formed beginning, found by trying all
+            cut = " ".join(words[: n + 1])
+            tried = next((" ".join(words[:k]) for k in range(n + 1, 0, -1) if licenses.parse_expression(" ".join(words[:k]))), "")
+            assert cut[: licenses.parse_beginning(cut)[1]] == tried
+
+
+def test_license_scan_is_linear_in_long_texts():
+    import time
+
+    automaton, began = licenses._automaton(), time.time()
+    broken = licenses.scan_one(b"SPDX-License-Identifier: " + b"mit " * 250_000, automaton)
+    deep = licenses.scan_one(b"SPDX-License-Identifier: " + b"(" * 200_000 + b"mit" + b")" * 200_000, automaton)
+    long = licenses.scan_one(b"SPDX-License-Identifier: " + b" AND ".join(b"(a%d OR b)" % i for i in range(50_000)), automaton)
+    assert time.time() - began < 20
+    assert broken["labels"] == ["mit"] and deep["labels"] == ["mit"] and deep["score"] == 1.0 and long["score"] == 0.95 and len(long["labels"]) == 50_001
 
 
 def bpe_texts():
@@ -98,6 +147,17 @@ def test_packing_tokens_equal_the_library():
         assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" + "\n" * 5_000_000 + "b", " \n\t\u3000" * 1_200_000 + "x", "x" + " " * 1_000_000 + "y" + "\r\n" * 600_000, "ab" * 1_000_000])
+def test_packing_takes_very_long_runs(spark, text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(common.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    pieces = packing.pack(frame(spark, [(1, text), (2, "a b")])).where("doc_id = 1").orderBy("start").collect()
+    assert pieces[0]["doc_tokens"] == len(want) + 1 == sum(p["length"] for p in pieces)
+    ids = np.array([*want, packing.END_ID], "<u4")
+    assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
+
+
 def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
