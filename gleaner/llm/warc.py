@@ -5,9 +5,11 @@ into a metadata record (the source's named fields and HTTP headers, links, title
 text). Both carry WARC-Refers-To with the response's id, WARC-Concurrent-To each other's, the target URI and date
 of the source, and digests: the response's payload digest, and each record's own block digest.
 
-Record ids are name-based, so a retried task writes the same bytes. Null url: no target URI. Null html: an empty
-payload, whose conversion is empty. Repeated rows give repeated records with equal ids; an empty table gives none;
-further columns are not read.
+Record ids are name-based, so a retried task writes the same bytes. The format asks for a date, and a table of pages has no
+fetch times: responses made from one carry the `date` given, by default the epoch, which marks an unknown time. A tag ends at its first `>`. Null
+url: no target URI. Null html: an empty payload, whose conversion is empty. Repeated rows give repeated records with
+equal ids; an empty table gives none; further columns are not read. A page of any length is scanned whole, in time
+proportional to it, and held by one worker a few times over.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ from gleaner.operators.sizes import spread
 
 VERSION = b"WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the public namespace of URLs
-DATE = "2024-01-01T00:00:00Z"
+#: Date of responses whose fetch time is not known.
+DATE = "1970-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|title|blockquote|pre|head|body)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_START = re.compile(r"<(?:(!--)|!doctype|(script|style|noscript|template)\b)", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title")}
+#: A tag; its group is a block element, whose tags end lines.
+_TAG = re.compile(r"<(?:/?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|title|blockquote|pre|head|body)\b|[a-zA-Z/!?])[^>]*>", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)>", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*))""", re.I)
 
 
 def sha1(data: bytes) -> str:
@@ -79,9 +84,57 @@ def field(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for n, v in fields if n.lower() == name.lower()), None)
 
 
+def visible(source: str) -> str:
+    """A page without comments, doctypes, scripts, styles and the like; what is never closed goes to the end.
+
+    One pass: a search that finds nothing is not repeated, for behind it there is nothing to find either.
+    """
+    out, at, missing = [], 0, set()
+    for match in iter(lambda: _START.search(source, at), None):
+        out.append(source[at : match.start()])
+        if match[1]:
+            end = source.find("-->", match.end())
+            at = len(source) if end < 0 else end + 3
+        elif ">" in missing or (close := source.find(">", match.end())) < 0:  # a tag without an end is text
+            missing.add(">")
+            out.append(match[0])
+            at = match.end()
+            continue
+        elif match[2]:
+            name = match[2].lower()
+            last = None if name in missing else _CLOSE[name].search(source, close + 1)
+            if last is None:
+                missing.add(name)
+            at = last.end() if last else len(source)
+        else:
+            at = close + 1
+        out.append(" ")
+    return "".join([*out, source[at:]])
+
+
+def tagged(page: str) -> tuple[str, str]:
+    """A page up to its last tag's end, and the rest, which has no tags: where a tag can begin, it also ends."""
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
+
+
+def title_of(page: str) -> str | None:
+    head = tagged(page)[0]
+    first = _TITLE.search(head)
+    last = _CLOSE["title"].search(page, first.end()) if first else None
+    return " ".join(html.unescape(page[first.end() : last.start()]).split()) if last else None
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of the links of a page's visible part, in order."""
+    found = (_HREF.search(tag[1]) for tag in _ANCHOR.finditer(tagged(visible(page))[0]))
+    return [html.unescape(next(x for x in m.groups() if x is not None)) for m in found if m]
+
+
 def plain_text(source: str) -> str:
     """Text of a page: no scripts, styles or comments; block elements end lines; runs of blanks become one."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", source)))
+    head, rest = tagged(visible(source))
+    text = _TAG.sub(lambda tag: "\n" if tag[1] else "", head) + rest
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -107,10 +160,9 @@ def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[dict]:
     source, uri, date = field(fields, "WARC-Record-ID") or "", field(fields, "WARC-Target-URI"), field(fields, "WARC-Date") or DATE
     digest = field(fields, "WARC-Payload-Digest") or sha1(payload)
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
-    title = _TITLE.search(page)
-    links = [html.unescape(next(x for x in m.groups() if x is not None)) for m in _LINK.finditer(_DROP.sub(" ", page))]
+    title, links = title_of(page), links_of(page)
     said = [f"source-{n}: {v}" for n, v in fields] + [f"http-status: {status}"] + [f"http-header: {h}" for h in headers]
-    said += ([f"title: {' '.join(html.unescape(title[1]).split())}"] if title else []) + [f"outlink: {re.sub(r'[\r\n]+', ' ', x)}" for x in links]
+    said += ([f"title: {title}"] if title is not None else []) + [f"outlink: {re.sub(r'[\r\n]+', ' ', x)}" for x in links]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{x}\r\n" for x in said).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
     out = []
     for kind, other in (("metadata", "conversion"), ("conversion", "metadata")):
@@ -120,14 +172,14 @@ def derivatives(fields: list[tuple[str, str]], block: bytes) -> list[dict]:
     return out
 
 
-def responses(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def responses(pages: DataFrame, key: str = "page_id", date: str = DATE) -> DataFrame:
     """One row per page: the key and `record`, its response record."""
     key_type = pages.schema[key].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
             keys, urls, bodies = (batch.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([response_record(*x) for x in zip(keys, urls, bodies, strict=True)], pa.binary())], [key, "record"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([response_record(*x, date) for x in zip(keys, urls, bodies, strict=True)], pa.binary())], [key, "record"])
 
     return pages.select(key, "url", "html").mapInArrow(make, f"`{key}` {key_type}, record binary")
 

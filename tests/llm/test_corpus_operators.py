@@ -2,9 +2,13 @@
 
 import gzip
 import random
+import time
 from collections import Counter
+from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +260,69 @@ def test_warc_records_link_and_parse_back(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+class Plain(HTMLParser):
+    """Title, links and text of a page by the parser of the standard library."""
+
+    BREAKS = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer main title blockquote pre head body".split())
+    SKIPS = {"script", "style", "noscript", "template"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.title, self.inside, self.skipped = "", [], None, False, 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skipped += tag in self.SKIPS
+        if tag == "title" and self.title is None:
+            self.inside, self.title = True, ""
+        if not self.skipped:
+            self.text += "\n" if tag in self.BREAKS else ""
+            self.links += [v for n, v in attrs if tag == "a" and n == "href"][:1]
+
+    def handle_endtag(self, tag):
+        self.skipped -= tag in self.SKIPS
+        self.inside &= tag != "title"
+        self.text += "\n" if tag in self.BREAKS else " " if tag in self.SKIPS else ""
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title += data
+        if not self.skipped:
+            self.text += data
+
+    def handle_comment(self, data):
+        self.text += " "
+
+    def handle_decl(self, decl):
+        self.text += " "
+
+    def lines(self):
+        made = (" ".join(line.split()) for line in self.text.split("\n"))
+        return "\n".join(line for line in made if line)
+
+
+def test_warc_scanners_equal_a_plain_parser():
+    draw, parts = random.Random(4), ["<p>", "</p>", "<br/>", "<div class='a'>", "</div>", "<b>", "</b>", "<!-- x <p> -->", "<script>if (a < b) { c('</p>') }</script>", "<style>p > q {}</style>", '<a href="/a?x=1&amp;y=2">', "</a>", "<a class=k href='b c'>", "<A HREF=plain id=1>", "<a name=x>", "<title>T &amp; U</title>", "one &lt; two", " three\n four ", "&nbsp;", "é 日本", "<h1>", "</h1>", "<img src=x>"]
+    for _ in range(300):
+        page = "<!DOCTYPE html>" + "".join(draw.choice(parts) for _ in range(draw.randint(0, 25)))
+        plain = Plain(page)
+        assert (warc.title_of(page), warc.links_of(page), warc.plain_text(page)) == (" ".join(plain.title.split()) if plain.title is not None else None, plain.links, plain.lines()), page
+    for path in sorted(Path("/root/testdata/sf0.001").glob("pages.parquet")):
+        for page in pq.read_table(path)["html"].to_pylist():
+            plain = Plain(page or "")
+            assert warc.links_of(page or "") == plain.links and warc.plain_text(page or "") == plain.lines()
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a href=", "<script ", "<title>", "<!--", "</script ", "<p ", "<!doctype ", "<script><!--", "&amp", "<a href='", '<a href="x" ', "<"])
+def test_warc_scanners_are_linear(part):
+    began = time.time()
+    for page in (part * (1_000_000 // len(part)), part * (1_000_000 // len(part)) + ">", "<p>" + part * (1_000_000 // len(part)) + "</p>"):
+        fields, block = next(warc.parse(warc.response_record(1, "http://a", page)))
+        assert len(warc.derivatives(fields, block)) == 2
+    assert time.time() - began < 10
+
+
 def test_warc_files(spark, tmp_path):
     records = [warc.response_record(i, f"http://a/{i}", PAGE) for i in range(3)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
