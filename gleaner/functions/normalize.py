@@ -1,15 +1,16 @@
 """Normalisation of short technical texts: an ordered list of Column -> Column steps.
 
 The order matters and is kept: compatibility decomposition runs before the fraction step, so a vulgar fraction glues
-to a digit before it. Null counts as empty. All steps are built-in expressions but `strip_accents_exact`.
+to a digit before it. Null counts as empty. All steps run in the JVM: decomposition and case folding by the Unicode
+library that Spark ships for its collations.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,62 +18,53 @@ from gleaner.functions.stopwords import PORTUGUESE
 
 Step = Callable[[Column], Column]
 
+#: Every mark that combines with the character before it.
+COMBINING = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c))
+# Vulgar fractions.
+FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅐": "1/7", "⅑": "1/9", "⅒": "1/10", "⅓": "1/3", "⅔": "2/3", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
+#: What separates words: blanks of every script.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-def _decomposed() -> tuple[str, str, dict[str, str]]:
-    """Characters below U+0250 that decompose into one plain character, what they become, and those that give several."""
-    single, several = {}, {}
-    for code in range(0xA0, 0x250):
-        char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain != char:
-            (single if len(plain) == 1 else several)[char] = plain
-    return "".join(single), "".join(single.values()), several
 
-
-ACCENTED, PLAIN, EXPANDED = _decomposed()
+def _unicode(c: Column, place: str, name: str) -> Column:
+    """A text through a static method of the Unicode library; `c` is named once, so that chained steps don't multiply."""
+    return F.reflect(F.lit(place), F.lit(name), F.coalesce(c, F.lit("")), F.lit(True))
 
 
 def strip_accents(c: Column) -> Column:
-    """Exact for Latin letters and signs below U+0250."""
-    out = F.translate(c, ACCENTED, PLAIN)
-    for char, plain in EXPANDED.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return out
-
-
-def strip_accents_exact(c: Column) -> Column:
-    """Exact for every script, by Arrow batches."""
-
-    @F.pandas_udf("string")
-    def stripped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
-
-    return stripped(c)
+    """Compatibility decomposition without the marks that combine, for every script."""
+    return F.translate(_unicode(c, "com.ibm.icu.text.Normalizer", "decompose"), COMBINING, "")
 
 
 def fold_case(c: Column) -> Column:
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: stronger than lower case (`ß` becomes `ss`, a final sigma an ordinary one)."""
+    return _unicode(c, "com.ibm.icu.lang.UCharacter", "foldCase")
 
 
 def unify_symbols(c: Column) -> Column:
-    return F.translate(c, "×–—", "x--")
+    return F.translate(c, "×X–—", "xx--")
 
 
 def unify_fractions(c: Column) -> Column:
-    return F.regexp_replace(F.replace(c, F.lit("⁄"), F.lit("/")), r"(?<=\d)\s*/\s*(?=\d)", "/")
+    """Vulgar fractions written out, and blanks around a stroke between digits removed."""
+    out = c
+    for symbol, fraction in FRACTIONS.items():
+        out = F.replace(out, F.lit(symbol), F.lit(fraction))
+    # The stroke, and the pattern.
+    return F.regexp_replace(F.replace(out, F.lit("⁄"), F.lit("/")), rf"(?<=\d)[{BLANK}]*/[{BLANK}]*(?=\d)", "/")
 
 
 def decimal_point(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=\d),(?=\d)", ".")
+    return F.regexp_replace(c, r"(?<=\d),(?=\d)", ".")  # fixed value
 
 
 def drop_noise(c: Column) -> Column:
-    return F.regexp_replace(c, r'(?U)[^\w\s./"-]+', " ")
+    return F.regexp_replace(c, r'(?U)[^\w\s./"-]+', " ")  # fixed value
 
 
 def join_measures(c: Column) -> Column:
     """`2 x 3` becomes `2x3`, `10 mm` becomes `10mm`, `dn 50` becomes `dn50`; matches do not overlap."""
+    # The patterns and their units.
     out = F.regexp_replace(c, r"(?i)(\d)\s*x\s*(\d)", "$1x$2")
     out = F.regexp_replace(out, r"(?i)(\d)\s*(mm|cm|m|v|w|kw|kva|hp)\b", "$1$2")
     return F.regexp_replace(out, r"(?i)\b(dn)\s*(\d)", "$1$2")
@@ -80,7 +72,7 @@ def join_measures(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Tokens between blanks. Matching words is many times faster than splitting at blanks."""
-    return F.regexp_extract_all(c, F.lit(r"\S+"), 0)
+    return F.regexp_extract_all(c, F.lit(f"[^{BLANK}]+"), 0)
 
 
 def drop_stopwords(c: Column, stopwords: Sequence[str] = PORTUGUESE) -> Column:
@@ -88,9 +80,10 @@ def drop_stopwords(c: Column, stopwords: Sequence[str] = PORTUGUESE) -> Column:
 
 
 def single_blanks(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{BLANK}]+", " "))
 
 
+# Names and order of the steps.
 STEPS: tuple[tuple[str, Step], ...] = (
     ("strip_accents", strip_accents),
     ("normalize_case", fold_case),

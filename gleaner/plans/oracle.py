@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.functions.normalize import ACCENTED, EXPANDED, PLAIN
+import unicodedata
+
 from gleaner.functions.stopwords import DOMAIN, PORTUGUESE, TOPIC_EXTRA
 
 
@@ -144,26 +145,35 @@ def quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def normal_steps(x: str) -> list[str]:
-    """SQL of the text after each normalisation step; a lookaround becomes a captured digit, applied twice."""
-    out = [f"coalesce({x}, '')"]
-    plain = f"translate({out[-1]}, {quote(ACCENTED)}, {quote(PLAIN)})"
-    for char, to in EXPANDED.items():
-        plain = f"replace({plain}, {quote(char)}, {quote(to)})"
-    out.append(plain)
+#: Ways of writing the same that the texts of the tables lack.
+VARIANTS = (
+    "cano ⅓ e ⅛ pol, ⅔ ⅕ ⅖ ⅗ ⅘", "ac\u0327o inox, corrosa\u0303o, a\u0300 vista", "ﬁo ﬂexível ﬃ", "ＤＮ ５０ ｔｕｂｏ", "10㎜ 5㎏ 3㎡ 2㎞", "¼ ½ ¾ 3½ ⅐ ⅑ ⅒ ⅙ ⅚ ⅜ ⅝ ⅞", "ΣΑΣ Straße X × 2", "1 X 2 – 3 — 4 №5 ™ ²",
+)
+
+
+def undecorated(x: str) -> str:
+    """SQL of a text in compatibility decomposition without combining marks: the basic plane's characters that become one
+    or none; of those that become several, the ranges of letters, signs, fractions, units and ligatures."""
+    to = {c: "".join(p for p in unicodedata.normalize("NFKD", c) if not unicodedata.combining(p)) for c in map(chr, range(0xA0, 0x10000)) if not "\ud800" <= c <= "\udfff"}
+    one = {c: p for c, p in to.items() if len(p) == 1 and p != c}
+    none = "".join(c for c, p in to.items() if not p)
+    out = f"translate({x}, {quote(''.join(one) + none)}, {quote(''.join(one.values()))})"
+    for low, high in ((0xA0, 0x250), (0x2010, 0x2190), (0x3371, 0x33E0), (0xFB00, 0xFB07)):
+        for c in map(chr, range(low, high)):
+            if len(to[c]) > 1:
+                out = f"replace({out}, {quote(c)}, {quote(to[c])})"
     return out
 
 
 def normal_ctes(source: str, s: str = "s") -> str:
     """CTEs s0 to s9 (or with another letter) with (id, t) after each step, from a query with (id, t)."""
-    accents = normal_steps("t")[1]
     twice = lambda pattern, to: f"regexp_replace(regexp_replace({{t}}, '{pattern}', '{to}', 'g'), '{pattern}', '{to}', 'g')"
     stop = ", ".join(map(quote, PORTUGUESE))
     steps = [
-        accents,
-        "replace(lower(t), 'ß', 'ss')",
-        "translate(t, '×–—', 'x--')",
-        twice(r"(\d)\s*/\s*(\d)", r"\1/\2").format(t="replace(t, '⁄', '/')"),
+        undecorated("t"),
+        "replace(replace(lower(t), 'ß', 'ss'), 'ς', 'σ')",
+        "translate(t, '×X–—', 'xx--')",
+        twice(r"(\d)\s*/\s*(\d)", r"\1/\2").format(t="replace(t, '⁄', '/')"),  # decomposition has left no vulgar fraction
         twice(r"(\d),(\d)", r"\1.\2").format(t="t"),
         r"""regexp_replace(t, '[^\p{L}\p{M}\p{N}_\s./"-]+', ' ', 'g')""",
         r"regexp_replace(regexp_replace(regexp_replace(t, '(?i)(\d)\s*x\s*(\d)', '\1x\2', 'g'), '(?i)(\d)\s*(mm|cm|m|v|w|kw|kva|hp)\b', '\1\2', 'g'), '(?i)\b(dn)\s*(\d)', '\1\2', 'g')",
@@ -173,6 +183,7 @@ def normal_ctes(source: str, s: str = "s") -> str:
     return f"{s}0 AS (SELECT id, coalesce(t, '') AS t FROM ({source})),\n" + ",\n".join(f"{s}{i + 1} AS (SELECT id, {step} AS t FROM {s}{i})" for i, step in enumerate(steps))
 
 
+WRITTEN, WRITTEN_ASKED = (f"SELECT {key} AS id, concat(text, ' ', [{', '.join(map(quote, VARIANTS))}][{key} % {len(VARIANTS)} + 1]) AS t FROM {name}" for key, name in (("doc_id", "documents"), ("item_id", "benchmark")))
 STEP_NAMES = ("strip_accents", "normalize_case", "normalize_symbols", "normalize_fractions", "normalize_decimal_comma", "remove_noise_punct", "normalize_technical_spacing", "remove_stopwords", "normalize_whitespace")
 CLEAN = r"upper(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 CTFIDF = f"""
@@ -281,8 +292,8 @@ def oracle() -> dict[str, str]:
         "length_ecdf": "SELECT n_chars AS value, round(row_number() OVER (ORDER BY n_chars)::DOUBLE / count(*) OVER (), 9) AS share FROM documents WHERE n_chars IS NOT NULL",
         "length_histogram": "WITH e AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM documents) SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((n_chars - lo) / (hi - lo) * 40) + 1, 40) END AS BIGINT) AS bin, count(*) AS count FROM documents, e WHERE n_chars IS NOT NULL GROUP BY bin",
         "length_box": "SELECT lang, min(n_chars) AS low, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75), 6) AS q3, max(n_chars) AS high FROM documents GROUP BY lang",
-        "normalize_text": f"WITH {normal_ctes('SELECT doc_id AS id, text AS t FROM documents')} SELECT id AS item_id, sha256(t) AS normalized_sha256, CAST(length(t) AS BIGINT) AS normalized_chars FROM s9",
-        "normalize_steps": f"WITH {normal_ctes('SELECT item_id AS id, text AS t FROM benchmark')} " + " UNION ALL ".join(f"SELECT a.id AS query_id, '{name}' AS step, a.t AS before, b.t AS after FROM s{i} a JOIN s{i + 1} b ON a.id = b.id WHERE a.t <> b.t" for i, name in enumerate(STEP_NAMES)),
+        "normalize_text": f"WITH {normal_ctes(WRITTEN)} SELECT id AS item_id, sha256(t) AS normalized_sha256, CAST(length(t) AS BIGINT) AS normalized_chars FROM s9",
+        "normalize_steps": f"WITH {normal_ctes(WRITTEN_ASKED)} " + " UNION ALL ".join(f"SELECT a.id AS query_id, '{name}' AS step, a.t AS before, b.t AS after FROM s{i} a JOIN s{i + 1} b ON a.id = b.id WHERE a.t <> b.t" for i, name in enumerate(STEP_NAMES)),
         "stopword_multiset_diff": f"""WITH {normal_ctes("SELECT doc_id AS id, text AS t FROM documents")},
             gone AS (SELECT id, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w IN ({", ".join(map(quote, PORTUGUESE))})) AS r FROM s7)
             SELECT id AS item_id, CAST(len(r) AS BIGINT) AS n_removed, array_to_string(r, ' ') AS removed FROM gone""",

@@ -21,6 +21,10 @@ from gleaner.operators.sizes import broadcast_if_small, spread
 from gleaner.sources.writers import candidate_rows
 
 METHODS = ("dense", "dense_half", "hybrid")
+#: Ways of writing that the texts of the tables lack: fractions, decomposed letters, ligatures, full width, units, signs.
+VARIANTS = (
+    "cano ⅓ e ⅛ pol, ⅔ ⅕ ⅖ ⅗ ⅘", "ac\u0327o inox, corrosa\u0303o, a\u0300 vista", "ﬁo ﬂexível ﬃ", "ＤＮ ５０ ｔｕｂｏ", "10㎜ 5㎏ 3㎡ 2㎞", "¼ ½ ¾ 3½ ⅐ ⅑ ⅒ ⅙ ⅚ ⅜ ⅝ ⅞", "ΣΑΣ Straße X × 2", "1 X 2 – 3 — 4 №5 ™ ²",
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -315,14 +319,20 @@ def length_box(spark, sf_dir):
 # --- texts and corpora
 
 
+def written(df: DataFrame, key: str) -> DataFrame:
+    """Texts with a way of writing that they lack behind each."""
+    return df.withColumn("text", F.concat("text", F.lit(" "), F.get(F.array(*map(F.lit, VARIANTS)), (F.col(key) % len(VARIANTS)).cast("int"))))
+
+
 @query
 def normalize_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("item_id", F.sha2(normalize(F.col("text")), 256).alias("normalized_sha256"), F.length(normalize(F.col("text"))).cast("long").alias("normalized_chars"))
+    made = written(documents(spark, sf_dir), "item_id").select("item_id", normalize(F.col("text")).alias("t"))
+    return made.select("item_id", F.sha2("t", 256).alias("normalized_sha256"), F.length("t").cast("long").alias("normalized_chars"))
 
 
 @query
 def normalize_steps(spark, sf_dir):
-    report = benchmark(spark, sf_dir).select("query_id", F.explode(normalize_report(F.col("text"))["changes"]).alias("c"))
+    report = written(benchmark(spark, sf_dir), "query_id").select("query_id", F.explode(normalize_report(F.col("text"))["changes"]).alias("c"))
     return report.select("query_id", "c.step", "c.before", "c.after")
 
 
