@@ -29,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is made only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir. Where none is set, one is made on a local master only: executors share nothing else."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -44,6 +47,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def groups_for(spark: SparkSession, size: int, group: int) -> int:
+    """Groups so that each holds about `group` of `size` bytes; as many as the session's shuffle partitions, and 16, at least."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group))
+
+
 def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of a column; null counts as empty."""
     return pc.fill_null(column, "").to_pylist()

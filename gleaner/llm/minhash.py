@@ -1,12 +1,13 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles of five words.
 
 A word is a run of bytes that are not ASCII blanks or punctuation, A-Z lower-cased; a text of fewer than five
-words is one shingle. The weight of a shingle in a text is tf * (1 + IDF_SHARE * ln(N / df) / ln N), with N and df
-counted over all documents, copies included. Texts are linked if the weighted Jaccard similarity of their
+words is one shingle. The weight of a shingle in a text is its TF-IDF, tf * (1 + ln(N / df)), with N and df counted over all
+documents, copies included; df is rounded to the nearest STEPS-th of a doubling. Texts are linked if the weighted Jaccard similarity of their
 shingles, sum of minima over sum of maxima, is `least` or more; a class is a connected component of links.
 
 Equal texts are one text from the start: each map task sends a text once. The texts are then dealt to groups by
-digest, once; document frequencies travel as delta-coded blobs (up: all hashes, down: those with df > 1).
+digest, once; there are enough groups for each to hold about GROUP_BYTES of text. Document frequencies travel as
+delta-coded blobs (up: all hashes, down: those with df > 1).
 BANDS bands of ROWS samples each give buckets. Buckets with the same members count once. Within a bucket a text is
 compared with every member of other components, so that no link is lost in a bucket. A bucket over BUCKET_MOST texts
 is dealt in blocks that all hold its first LEADERS members; if that leaves it in several components, all but the
@@ -14,7 +15,7 @@ largest meet each other and the largest in pairs of blocks, and every pair of di
 
 Null text counts as empty. A blank text and a null id are linked with nothing, a text without words with its exact
 copies only. Rows that repeat an id count as copies and share its result. Further columns are not read. An empty
-table gives an empty result.
+table gives an empty result. A text of any length is taken whole; a group holds at least one text.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, checkpoint, components, deal, opened, table, trimmed, values
+from gleaner.llm.common import byte_list, checkpoint, components, deal, groups_for, opened, table, trimmed, values
 
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 10, 3
-IDF_SHARE = 0.25
-BUCKET_MOST, LEADERS = 8192, 64
+#: Steps of frequency codes for each doubling of df: one byte reaches 2 ** 42 documents.
+STEPS = 6
+BUCKET_MOST, LEADERS = 1024, 64
 HASH_BITS = 48
+#: Text of a group of texts, about: a task holds it with its shingles, some thirty times as much at the worst.
+GROUP_BYTES = 32_000_000
+#: A text with this share of all rows or more is hot: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
 #: Bytes of text whose shingles are worked on at once.
 CHUNK = 1_500_000
 
@@ -164,9 +170,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def weights_of(tf: np.ndarray, code: np.ndarray, n_docs: int) -> np.ndarray:
-    """Weights from term frequencies and frequency codes: eight for each doubling of df."""
-    share = 1 - code / 8 * math.log(2) / math.log(max(2, n_docs))
-    return tf * (1 + IDF_SHARE * np.clip(share, 0, 1))
+    """TF-IDF weights from term frequencies and frequency codes."""
+    return tf * (1 + np.maximum(math.log(max(1, n_docs)) - code / STEPS * math.log(2), 0))
 
 
 def similarity_row(h: np.ndarray, w: np.ndarray, all_h: np.ndarray, all_w: np.ndarray, starts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -231,8 +236,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """One row per input row: the key, `class_id` (smallest key of its class) and `kept` (it is that key)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_docs = docs.count()
-    groups = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_docs, groups = size["n"], groups_for(spark, size["bytes"], GROUP_BYTES)
+    slices = max(groups // 4, min(groups, groups_for(spark, 0, GROUP_BYTES)))  # of the hashes: smaller than the text
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A map task's distinct texts, and the least id and the number of each, sealed by group."""
@@ -299,7 +305,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         n = np.add.reduceat(n, at) if len(at) else n
         h = h[at]
-        cut = np.searchsorted(h, (np.arange(1, groups, dtype=np.float64) / groups * 2.0**HASH_BITS).astype(_U))
+        cut = np.searchsorted(h, (np.arange(1, slices, dtype=np.float64) / slices * 2.0**HASH_BITS).astype(_U))
         out = []
         for b, (hh, nn) in enumerate(zip(np.split(h, cut), np.split(n, cut), strict=True)):
             if len(hh):
@@ -321,7 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         total = np.add.reduceat(n, at)
         keep = total > 1
-        common, code = h[at][keep], np.minimum(255, np.rint(8 * np.log2(total[keep]))).astype(np.uint8)
+        common, code = h[at][keep], np.minimum(255, np.rint(STEPS * np.log2(total[keep]))).astype(np.uint8)
         out = []
         for g, own in zip(sources, blobs, strict=True):
             if len(common):
@@ -443,7 +449,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     extra_kind = "g int, kind string, id bigint, data binary"
     sent = docs.where("id is not null").mapInArrow(once, "g int, texts binary").repartition(groups, "g")
-    frequency = sent.groupBy("g").applyInArrow(up, "b int, g int, h binary, n binary").repartition(groups, "b").groupBy("b").applyInArrow(down, extra_kind)
+    frequency = sent.groupBy("g").applyInArrow(up, "b int, g int, h binary, n binary").repartition(slices, "b").groupBy("b").applyInArrow(down, extra_kind)
     signed = sent.groupBy("g").cogroup(frequency.groupBy("g")).applyInArrow(sign, "g int, id bigint, keys array<bigint>")
     # Both uses below share the exchange, so signatures are made once: a Python node on top keeps its columns alike.
     members = signed.repartition(groups, "id").mapInArrow(spread, "g int, id bigint, band int, value bigint")
@@ -467,48 +473,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if held.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(met_again(held.select("bucket", "a", "vector"), found)))
     # Copies of one text share its digest; its least id stands for them.
-    digests = docs.select("id", F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5(F.col("text").cast("binary")))).alias("digest"))
-    return joined_classes(digests, found, key)
-
-
-def joined_classes(digests: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    least = digests.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"))
-    classes = least.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    out = digests.join(classes, "digest", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
+    digests = checkpoint(docs.select("id", F.when(F.col("text").rlike(r"\S"), F.unhex(F.md5(F.col("text").cast("binary")))).alias("digest")))
+    return joined_classes(digests, found, key, n_docs)
+
+
+def joined_classes(digests: DataFrame, found: DataFrame, key: str, n_docs: int) -> DataFrame:
+    """Classes of all rows. A hot text's rows aren't shuffled: hot texts are few by definition, and broadcast."""
+    known = F.col("digest").isNotNull() & F.col("id").isNotNull()
+    least = digests.where(known).groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    classes = checkpoint(least.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"), "n"))
+    is_hot = F.col("n") >= max(2, math.ceil(n_docs * HOT_SHARE))
+    hot, others = F.broadcast(classes.where(is_hot).drop("n")), classes.where(~is_hot).drop("n")  # at most 1 / HOT_SHARE rows
+    there = digests.where(F.col("digest").isNotNull())
+    out = there.join(hot, "digest").unionByName(there.join(hot, "digest", "left_anti").join(others, "digest", "left"))
+    out = out.unionByName(digests.where(F.col("digest").isNull()).withColumn("class_id", F.lit(None).cast("long")))
+    out = out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-def brute_force(texts: dict[int, str | None], least: float = LEAST) -> dict[int, int]:
-    """Class of each id from all pairs of a small table."""
-    data = {i: (t or "").encode() for i, t in texts.items()}
-    hashes = {i: shingle_hashes([d])[0] for i, d in data.items()}
-    frequency: dict[int, int] = {}
-    for h in hashes.values():
-        for x in counted(h)[0].tolist():
-            frequency[x] = frequency.get(x, 0) + 1
-    weight = {}
-    for i, h in hashes.items():
-        own, tf = counted(h)
-        weight[i] = dict(zip(own.tolist(), weights_of(tf, np.array([min(255, round(8 * math.log2(frequency[x]))) for x in own.tolist()]), len(texts)).tolist(), strict=True)) if len(own) else {}
-    parent = {i: i for i in texts}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(texts)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            a, b = weight[i], weight[j]
-            if not a or not b:
-                continue
-            both = sum(min(w, b[x]) for x, w in a.items() if x in b)
-            if both / (sum(a.values()) + sum(b.values()) - both) >= least - 1e-6:
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in ids}

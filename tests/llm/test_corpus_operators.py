@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import common, minhash, suffixes, vectors, warc
+from tests.llm import plain
 from tests.llm.data import frame, prose, texts
 
 
@@ -98,11 +99,7 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     rows = many_texts(seed)
     out = minhash.near_duplicates(frame(spark, list(rows.items())).repartition(5)).collect()
     got = {r["doc_id"]: r["class_id"] for r in out}
-    want = minhash.brute_force(rows)
-    for copies in ({3}, {4, 16}):  # texts without words, and short ones
-        for i in copies:
-            want[i] = min(copies)
-    assert got == want and all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in out)
+    assert got == plain.classes(rows, minhash.LEAST, minhash.STEPS) and all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in out)
     assert got[6] == 5 and got[7] == 5 and got[0] == 0 and got[2] == 2
 
 
@@ -116,7 +113,7 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
 def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_MOST", 8)
     rows = {i: t for i, t in many_texts(1).items() if 1000 <= i < 2000}
-    assert {r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()} == {1000}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()} == plain.classes(rows, minhash.LEAST, minhash.STEPS)
 
 
 def test_pairs_of_different_blocks_of_a_large_bucket(spark, monkeypatch):
@@ -131,7 +128,45 @@ def test_pairs_of_different_blocks_of_a_large_bucket(spark, monkeypatch):
     for i in range(40, 52):
         rows[i] = rows[0] + f" end{i}"
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()}
-    assert got == minhash.brute_force(rows)
+    assert got == plain.classes(rows, minhash.LEAST, minhash.STEPS) and len(set(got.values())) == 20
+
+
+def test_unlike_texts_forced_into_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_MOST", 8)
+    monkeypatch.setattr(minhash, "LEADERS", 2)
+    monkeypatch.setattr(minhash, "band_keys", lambda signatures: np.zeros((len(signatures), minhash.BANDS), np.uint64))
+    draw = random.Random(12)
+    rows = {i: prose(draw, 60) for i in range(30)}
+    rows |= {100 + i: t + " tail" for i, t in rows.items()}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(rows.items()))).collect()}
+    assert got == {i: i % 100 for i in rows}
+
+
+def test_near_duplicates_find_the_links_of_a_table(spark):
+    """Recall over all pairs of a table, counted without the operator's own hashes."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    rows = dict(zip(*(c.to_pylist() for c in pq.read_table(path, columns=["doc_id", "text"]).columns)))
+    pairs = plain.similar_pairs(rows, minhash.LEAST, minhash.STEPS)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(str(path))).collect()}
+    assert len(pairs) > 20 and sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.9
+    loose = plain.classes(rows, minhash.LEAST - 0.001, minhash.STEPS)
+    assert all(loose[i] == loose[c] for i, c in got.items())  # nothing is joined that isn't linked
+
+
+def test_hot_texts_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_SHARE", 0.2)
+    rows = [(i, "a hot text of some six words" if i % 2 else f"{i} text of its own {i}") for i in range(40)] + [(None, "a hot text of some six words"), (90, " ")]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 1 if i % 2 else i for i in range(40)} | {None: 1, 90: 90}
+
+
+def test_very_long_texts_near_duplicates(spark):
+    draw = random.Random(13)
+    long = " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(400_000))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, [(1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, long[: len(long) // 2])])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_packed_hashes_round_trip():
