@@ -87,6 +87,28 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_
             begin = end
 
 
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[at], np.diff(np.append(at, len(h)))
+
+
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Sorted hashes as four-byte differences; the few wider ones have their upper halves apart."""
+    d = np.diff(h, prepend=np.uint64(0)).astype("<u8")
+    wide = np.flatnonzero(d >> np.uint64(32))
+    return len(h).to_bytes(4, "little") + len(wide).to_bytes(4, "little") + (d & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + wide.astype("<u4").tobytes() + (d[wide] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def unpack_sorted(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The hashes, and what stands behind them."""
+    n, m = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    d = np.frombuffer(data, "<u4", n, 8).astype(np.uint64)
+    wide = np.frombuffer(data, "<u4", m, 8 + 4 * n)
+    d[wide] |= np.frombuffer(data, "<u4", m, 8 + 4 * n + 4 * m).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(d, dtype=np.uint64), data[8 + 4 * n + 8 * m :]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node.
 

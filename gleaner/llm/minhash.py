@@ -1,8 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles of five words.
 
 A word is a run of bytes that are not ASCII blanks or punctuation, A-Z lower-cased; a text of fewer than five
-words is one shingle. The weight of a shingle in a text is its TF-IDF, tf * (1 + ln(N / df)), with N and df counted over all
-documents, copies included; df is rounded to the nearest STEPS-th of a doubling. Texts are linked if the weighted Jaccard similarity of their
+words is one shingle. The weight of a shingle in a text is its TF-IDF, tf * (1 + ln((N + s N) / (df + s N))), with N and df counted over
+all documents, copies included, s = SMOOTH, and df rounded to the nearest STEPS-th of a doubling. The smoothing counts every shingle in
+some more documents: what a few per cent of all documents share is common, and weighs less, but a text that has many near copies doesn't
+lose its weight to the edits that tell them apart. Texts are linked if the weighted Jaccard similarity of their
 shingles, sum of minima over sum of maxima, is `least` or more; a class is a connected component of links.
 
 Equal texts are one text from the start: each map task sends a text once. The texts are then dealt to groups by
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, checkpoint, components, deal, groups_for, opened, table, trimmed, values
+from gleaner.llm.common import byte_list, checkpoint, components, counted, deal, groups_for, opened, pack_sorted, table, trimmed, unpack_sorted, values
 
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 10, 3
 #: Steps of frequency codes for each doubling of df: one byte reaches 2 ** 42 documents.
 STEPS = 6
+#: Share of all documents added to each document frequency.
+SMOOTH = 0.03
 BUCKET_MOST, LEADERS = 1024, 64
 HASH_BITS = 48
 #: Text of a group of texts, about: a task holds it with its shingles, some thirty times as much at the worst.
@@ -106,28 +110,6 @@ def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of a sorted array and how often each occurs."""
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[at], np.diff(np.append(at, len(h)))
-
-
-def pack_sorted(h: np.ndarray) -> bytes:
-    """Sorted hashes as four-byte differences; the few wider ones have their upper halves apart."""
-    d = np.diff(h, prepend=_U(0)).astype("<u8")
-    wide = np.flatnonzero(d >> _U(32))
-    return len(h).to_bytes(4, "little") + len(wide).to_bytes(4, "little") + (d & _U(0xFFFFFFFF)).astype("<u4").tobytes() + wide.astype("<u4").tobytes() + (d[wide] >> _U(32)).astype("<u4").tobytes()
-
-
-def unpack_sorted(data: bytes) -> tuple[np.ndarray, bytes]:
-    """The hashes, and what stands behind them."""
-    n, m = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    d = np.frombuffer(data, "<u4", n, 8).astype(_U)
-    wide = np.frombuffer(data, "<u4", m, 8 + 4 * n)
-    d[wide] |= np.frombuffer(data, "<u4", m, 8 + 4 * n + 4 * m).astype(_U) << _U(32)
-    return np.cumsum(d, dtype=_U), data[8 + 4 * n + 8 * m :]
-
-
 def pack_vector(h: np.ndarray, tf: np.ndarray, code: np.ndarray) -> bytes:
     """A text's hashes in six bytes each, frequency codes in one and term frequencies in one, or four if one is large."""
     width = 1 if not len(tf) or tf.max() < 256 else 4
@@ -171,7 +153,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def weights_of(tf: np.ndarray, code: np.ndarray, n_docs: int) -> np.ndarray:
     """TF-IDF weights from term frequencies and frequency codes."""
-    return tf * (1 + np.maximum(math.log(max(1, n_docs)) - code / STEPS * math.log(2), 0))
+    share = np.minimum(2.0 ** (code / STEPS) / max(1, n_docs), 1)
+    return tf * (1 + np.log((1 + SMOOTH) / (share + SMOOTH)))
 
 
 def similarity_row(h: np.ndarray, w: np.ndarray, all_h: np.ndarray, all_w: np.ndarray, starts: np.ndarray, totals: np.ndarray) -> np.ndarray:

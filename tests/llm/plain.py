@@ -15,12 +15,14 @@ def shingles(text):
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def weighted(texts, steps):
-    """id -> shingle -> TF-IDF, with the document frequency rounded to a step-th of a doubling."""
+def weighted(texts, steps, smooth=0.03):
+    """id -> shingle -> TF-IDF, with the document frequency rounded to a step-th of a doubling and smoothed."""
     bags = {i: shingles(t) for i, t in texts.items()}
     df = Counter(s for bag in bags.values() for s in bag)
     rounded = {n: 2 ** (round(steps * math.log2(n)) / steps) for n in set(df.values())}
-    return {i: {s: tf * (1 + max(0.0, math.log(len(texts) / rounded[df[s]]))) for s, tf in bag.items()} for i, bag in bags.items()}
+    n = len(texts)
+    idf = {s: 1 + math.log((n + smooth * n) / (min(rounded[m], n) + smooth * n)) for s, m in df.items()}
+    return {i: {s: tf * idf[s] for s, tf in bag.items()} for i, bag in bags.items()}
 
 
 def similar_pairs(texts, least, steps):

@@ -171,8 +171,8 @@ def test_very_long_texts_near_duplicates(spark):
 
 def test_packed_hashes_round_trip():
     h = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 500, dtype=np.uint64))
-    back, rest = minhash.unpack_sorted(minhash.pack_sorted(h) + b"tail")
-    assert (back == h).all() and rest == b"tail" and len(minhash.unpack_sorted(minhash.pack_sorted(h[:0]))[0]) == 0
+    back, rest = common.unpack_sorted(common.pack_sorted(h) + b"tail")
+    assert (back == h).all() and rest == b"tail" and len(common.unpack_sorted(common.pack_sorted(h[:0]))[0]) == 0
 
 
 def test_samples_collide_as_often_as_texts_are_alike():
