@@ -1,22 +1,33 @@
 """Removal of repeated byte strings by merging the Burrows-Wheeler transforms of shards.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a document with a smaller id, or
-in the same one. Strings lie within one document's UTF-8 bytes and are judged on the input.
-
-Anchors find where to look. An anchor is a place whose GRAM-byte hash is the least in some window of `length` bytes;
-equal windows have equal anchors at equal offsets, so a repeated window shows as a repeated anchor hash. Around an
-anchor, `length` - GRAM bytes on either side form its context. Occurrences with the same hash and context are
-settled at once: all but the first are repeats throughout. What is left is one occurrence for each context of an
-anchor hash with several contexts. Its windows are taken in bands of STEP + 1 neighbouring starts. The bytes that all
-windows of a band hold, length - STEP of them, are its core; bands meet by the hash of the core, so that a very
-common line or passage is dealt to many tasks by what stands around it. There the core becomes one symbol and up to
-STEP bytes on either side stay: windows are STEP + 1 symbols. Shards of such strings get their Burrows-Wheeler
-transforms, an interleave of the shards is refined symbol by symbol until it is sorted to that depth, and the same
-refinement yields the intervals of equal prefixes. The first window of an interval stays, the others are repeats. No
-suffix is sorted again in the merge.
-
-Null text counts as empty; a document shorter than `length` loses nothing. Rows with a null id are given back
-whole. Of rows that repeat an id, the longest text (of equal lengths the least) stands for the id; rows with the same
+in the same one. Strings lie within one document's UTF-8 bytes and are judged on the input. A string of `length`
+bytes is called a window.
+
+Which windows to look at. The anchor of a window is the first of the places in it whose GRAM-byte hash is least; equal
+windows have equal anchors at equal offsets. Groups of documents send the distinct hashes of their anchors to slices
+of the hashes; windows whose anchor occurs once anywhere are left alone, all others go through the transforms.
+
+Shards. Neighbouring windows of an anchor are taken together in bands of `step`. The bytes that all windows of a band hold, its
+core, become one symbol MARK, named by 128 bits of hash; up to `step` bytes on either side, as far as windows of
+this anchor need them, stay as they are, and END follows. So each occurrence of a band is a string of at most
+2 * `step` + 2 symbols, and a window of it is `step` + 1 symbols in a row, MARK among them. A shard is the collection of a
+group's strings of a slice; its task sorts their suffixes, which gives the shard's transform and the windows that
+repeat in the shard. Strings with no window that is new to the shard are taken out of the transform, which leaves a
+transform of the others. So a common text costs each shard one string, not one for each copy.
+
+Merge. A slice gets the transforms of all shards, walks them backwards from the ENDs to learn which string a row
+is in, and refines an interleave of their rows: each round reads the symbols before the rows in the order of the
+interleave and deals the rows to those symbols, stably, so that rows sorted by h symbols become rows sorted by h + 1. Where
+two neighbours first differ, their common prefix is known. After `step` + 1 rounds, rows whose common prefix is a whole
+window and whose cores have one name are one window: its first occurrence stays, the others are repeats. No suffix is
+sorted again.
+
+An anchor with HOT occurrences or more may stand in very many different surroundings: a very common line. Its bands
+are of one window each, so that slices share them by what stands around the anchor.
+
+Null text counts as empty; a document shorter than `length` loses nothing; one of any length is judged whole. Rows with
+a null id are given back whole. Of rows that repeat an id, the longest text (of equal lengths the least) stands for the id; rows with the same
 text share its result, others are given back whole. Further columns are read only if they are to be carried. An empty
 table gives an empty result.
 """
@@ -32,14 +43,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.common import flat_bytes, table, trimmed, values
+from gleaner.llm.common import counted, flat_bytes, groups_for, pack_sorted, table, trimmed, unpack_sorted, values
 
 LENGTH = 100
 GRAM = 50
 STEP = 10
-#: Bytes worked on at once in anchor search.
-CHUNK = 1_000_000
-SHARDS = 8
+#: Occurrences of an anchor from which on each of its windows goes its own way.
+HOT = 200_000
+#: Bytes worked on at once in anchor search; strings of a shard sorted at once; symbols merged at once.
+CHUNK, STRINGS, SYMBOLS = 1_000_000, 60_000, 600_000
+#: Text of a group of documents, about: a task holds it with its strings, some twenty times as much at the worst.
+GROUP_BYTES = 32_000_000
+ANCHOR_BITS = 48
 END, MARK = 0xFE, 0xFF  # no byte of UTF-8
 
 _U = np.uint64
@@ -84,21 +99,13 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def hashes_at(data: np.ndarray, at: np.ndarray, size: int, most: int = 1 << 21) -> np.ndarray:
-    """Hash of the `size` bytes at each of some places."""
-    factor = np.cumprod(np.full(size, 0x9E3779B97F4A7C15, _U))
-    out = np.empty(len(at), _U)
-    rows = max(1, most // size)
-    for begin in range(0, len(at), rows):
-        out[begin : begin + rows] = (_BYTE[data[at[begin : begin + rows, None] + np.arange(size)]] * factor).sum(1, dtype=_U)
-    return mix(mix(out))
-
-
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of anchors in documents that lie one behind the other, and the hash of each place's gram."""
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of documents that lie one behind the other: places, the hashes of their grams, and by how many bytes
+    the last and the first of an anchor's windows begin before it."""
+    none = np.zeros(0, np.int64)
     width = length - gram + 1
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return none, np.zeros(0, _U), none, none
     h = gram_hashes(data, gram)
     rank = (h >> _U(33)).astype(np.uint32) + np.uint32(1)
     least = slide(rank, width, np.minimum)  # of the window at each place
@@ -109,7 +116,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     edge = np.zeros(width - 1, np.uint32)
     most = slide(np.concatenate([edge, least, edge]), width, np.maximum)  # over the windows around each place
     at = np.flatnonzero(rank == most)
-    return at, h
+    # The anchor of each window: the first place from its start on that has the least rank.
+    window = np.flatnonzero(least)
+    of = (np.cumsum(rank == most) - (rank == most))[window]
+    off = np.flatnonzero(rank[at[of]] != least[window])
+    while len(off):
+        of[off] += 1
+        off = off[rank[at[of[off]]] != least[window[off]]]
+    first = np.searchsorted(of, np.arange(len(at)))
+    last = np.searchsorted(of, np.arange(len(at)), side="right") - 1
+    used = last >= first
+    at, first, last = at[used], first[used], last[used]
+    return at, h[at], at - window[last], at - window[first]
 
 
 def pieces(bounds: np.ndarray, most: int, margin: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -124,123 +142,189 @@ def pieces(bounds: np.ndarray, most: int, margin: int) -> Iterator[tuple[int, in
         begin = end
 
 
-def context_hashes(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, h: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Hash of each anchor's context: the anchor and up to length - gram bytes on both sides in its document."""
-    side = length - gram
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    lo, hi = np.maximum(at - side, bounds[doc]), np.minimum(at + length, bounds[doc + 1])
-    out = np.zeros(len(at), _U)
-    whole = (hi - lo == length + side) & (side == gram)
-    p = at[whole]
-    out[whole] = mix(h[p - side] * _MULT[9] + h[p] * _MULT[10] + h[p + gram] * _MULT[11])
-    raw = data.data if data.flags.c_contiguous else data.tobytes()
-    for i in np.flatnonzero(~whole).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(raw[lo[i] : hi[i]], seed=int(at[i] - lo[i]) + 1)
-    return out
-
-
-def shard_transform(text: np.ndarray, string_of: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's places in the order of the `depth` symbols from there, each string read in a circle, and its transform.
-
-    Strings end with END and are at least `depth` long or padded to be so when read over their end.
+def bands(at: np.ndarray, low: np.ndarray, high: np.ndarray, side: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands of the windows that begin `low` to `high` bytes before anchors: places of cores, and by how many bytes the last and the
+    first window of each begin before its core. With a step of 0, each window is a band."""
+    if not step:
+        n = high - low + 1
+        before = np.repeat(high, n) - (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        none = np.zeros(len(before), np.int64)
+        return np.repeat(at, n) - before, none, none
+    out = []
+    for a in range(0, side, step):
+        last = a + step if a + step >= side else a + step - 1
+        i, j = np.maximum(low, a) - a, np.minimum(high, last) - a
+        some = i <= j
+        out.append((at[some] - a, i[some], j[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def strings_of(data: np.ndarray, core: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of each band in a row of a matrix, zeros behind them, and how many there are."""
+    width = 2 * step + 2
+    turn = np.arange(width)
+    sizes = high + step - low + 2
+    place = turn - high[:, None]  # of MARK: 0
+    source = np.where(place < 0, core[:, None] + place, core[:, None] + size + place - 1)
+    out = data[np.clip(source, 0, len(data) - 1)]
+    out[place == 0] = MARK
+    out[turn == sizes[:, None] - 1] = END
+    out[turn >= sizes[:, None]] = 0
+    return out, sizes
+
+
+def core_names(data: np.ndarray, core: np.ndarray, size: int) -> np.ndarray:
+    """128 bits of hash of the `size` bytes at each place, in rows of two numbers."""
+    raw = memoryview(np.ascontiguousarray(data))
+    name = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([name(raw[a : a + size]) for a in core.tolist()]), "<u8").reshape(-1, 2)
+
+
+def order_of(rows: np.ndarray) -> np.ndarray:
+    """Stable order of rows of bytes."""
+    width = -(-rows.shape[1] // 8) * 8
+    full = np.zeros((len(rows), width), np.uint8)
+    full[:, : rows.shape[1]] = rows
+    keys = full.view(">u8").astype(_U)
+    return np.lexsort(keys.T[::-1])
+
+
+def shard_transform(strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's rows in the order of the suffixes: string and offset of each, the symbol before it, and how many symbols it shares with the row before.
+
+    Strings stand in their own order, so that equal suffixes keep it and the transform can be walked. The symbol
+    before a string is its END.
     """
-    n = len(text)
-    # Behind each string its own beginning follows, so that a window never leaves it.
-    sizes = np.diff(np.append(starts, n))
-    spread = np.empty(n + depth * len(starts), np.uint8)
-    place = np.arange(n) + string_of * depth
-    spread[place] = text
-    turn = np.arange(depth)
-    head = starts[:, None] + turn % sizes[:, None]
-    spread[(starts + sizes + np.arange(len(starts)) * depth)[:, None] + turn] = text[head]
-    windows = np.lib.stride_tricks.sliding_window_view(np.append(spread, np.zeros(1, np.uint8)), depth)[place]
-    order = np.argsort(np.ascontiguousarray(windows).view(f"S{depth}").reshape(-1), kind="stable")
-    before = np.arange(n) - 1
-    before[starts] = starts + sizes - 1
-    return order, text[before[order]]
-
-
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of shards in the order of `depth` symbols, and the interval of equal prefixes of each slot.
-
-    Each round reads the transforms' symbols in the order of the interleave and deals the slots to the symbols, stably:
-    slots sorted by h symbols become slots sorted by h + 1. Intervals split where the new first symbol or the old
-    interval differs. It ends early once neither changes.
+    n, width = strings.shape
+    room = np.zeros((n, 2 * width), np.uint8)
+    room[:, :width] = strings
+    whole = np.arange(width) < sizes[:, None]
+    string, offset = np.nonzero(whole)
+    suffixes = np.lib.stride_tricks.sliding_window_view(room, width, axis=1)[:, :width][whole]
+    before = np.full((n, width), END, np.uint8)
+    before[:, 1:] = strings[:, :-1]
+    order = order_of(suffixes)
+    suffixes = suffixes[order]
+    differ = np.ones((len(order), width + 1), bool)
+    differ[1:, :width] = suffixes[1:] != suffixes[:-1]
+    common = differ.argmax(1)
+    common[:1] = 0
+    return string[order], offset[order], before[whole][order], common
+
+
+def walk(symbols: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of transforms that lie one behind the other: the row of the suffix one symbol longer, the string that the
+    row is in, counted over all shards, and how many symbols of the string follow the row's first, END included."""
+    order = np.lexsort((symbols, shard))
+    longer = np.empty(len(symbols), np.int64)
+    longer[order] = np.arange(len(symbols))
+    row = longer[symbols == END]  # rows of ENDs, in the order of their strings
+    # A row's symbol stands before it, so the ENDs' rows are where the rows of whole strings lead to.
+    string, after = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    number, far = np.arange(len(row)), 0
+    while len(row):
+        string[row], after[row] = number, far
+        on = symbols[row] != END
+        row, number, far = longer[row[on]], number[on], far + 1
+    return longer, string, after
+
+
+def merge_transforms(symbols: np.ndarray, longer: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all shards in the order of `depth` symbols, and how many symbols each shares with the one before, `depth` at most.
+
+    The interleave begins as the shards one behind the other. Rows of one shard never overtake each other.
     """
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    symbols = np.concatenate(transforms)
-    interval = np.zeros(len(shard), np.int32)
-    read = np.empty_like(symbols)
-    for _ in range(depth):
-        read[np.argsort(shard, kind="stable")] = symbols
+    rows = np.arange(len(symbols))
+    common = np.full(len(rows), depth, np.int64)
+    common[:1] = 0
+    block = np.zeros(len(rows), np.int32)
+    for h in range(depth):
+        read = symbols[rows]
         order = np.argsort(read, kind="stable")
-        after, first, old = shard[order], read[order], interval[order]
+        first, old = read[order], block[order]
+        rows = longer[rows[order]]
         fresh = (first[1:] != first[:-1]) | (old[1:] != old[:-1])
-        now = np.zeros_like(interval)
+        now = np.zeros_like(block)
         np.cumsum(fresh, out=now[1:])
-        if np.array_equal(now, interval) and np.array_equal(after, shard):
+        common[1:][fresh & (common[1:] == depth)] = h
+        if now[-1:].sum() == len(now) - 1:  # all told apart: further symbols change nothing
             break
-        shard, interval = after, now
-    return shard, interval
+        block = now
+    return rows, common
+
+
+def repeats(block: np.ndarray, names: np.ndarray, docs: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which windows also start earlier: windows are equal if their blocks and the names of their cores are."""
+    order = np.lexsort((begins, docs, names[:, 1], names[:, 0], block))
+    b, n, d, p = block[order], names[order], docs[order], begins[order]
+    out = np.zeros(len(order), bool)
+    if len(order):
+        head = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (n[1:] != n[:-1]).any(1)]))
+        first = np.repeat(head, np.diff(np.append(head, len(order))))
+        out[order] = (d != d[first]) | (p != p[first])
+    return out
 
 
-def repeated_windows(text: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np.ndarray, depth: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """Strings and offsets in them of windows that also start earlier.
+def shard_of(strings: np.ndarray, sizes: np.ndarray, high: np.ndarray, names: np.ndarray, docs: np.ndarray, cores: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """A shard's transform without the strings whose windows all repeat earlier ones of the shard.
 
-    text: contexts, each with MARK for its anchor and END behind it; sizes: their lengths with END; lefts: symbols
-    before MARK; keys: anchor hashes; docs and places: where the anchors are.
+    Gives the repeated windows (docs, begins), then the rows left (their strings, the symbols before them) and the numbers of the strings
+    left, in the order of the transform's ENDs.
+    """
+    rank = order_of(strings)
+    string, offset, symbols, common = shard_transform(strings[rank], sizes[rank])
+    depth = step + 1
+    block = np.cumsum(common < depth)
+    held = high[rank][string]
+    window = np.flatnonzero((offset <= held) & (offset + depth < sizes[rank][string]) & (offset + depth > held))
+    of = rank[string[window]]
+    begins = cores[of] - held[window] + offset[window]
+    again = repeats(block[window], names[of], docs[of], begins)
+    left = np.zeros(len(strings), bool)
+    left[of[~again]] = True
+    rows = left[rank[string]]
+    number = np.cumsum(left[rank]) - 1
+    return docs[of[again]], begins[again], number[string[rows]], symbols[rows], rank[left[rank]]
+
+
+def merged_repeats(symbols: np.ndarray, shard: np.ndarray, names: np.ndarray, docs: np.ndarray, cores: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings and begins of the windows that also start earlier, from the transforms of shards that lie one behind the other.
+
+    names, docs and cores of the strings: of each shard in the order of its ENDs.
     """
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    string_of = np.repeat(np.arange(len(sizes)), sizes)
-    cut = np.unique(np.linspace(0, len(sizes), min(shards, len(sizes)) + 1).astype(int))
-    orders, transforms = [], []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        lo, hi = starts[a], starts[b - 1] + sizes[b - 1]
-        order, symbols = shard_transform(text[lo:hi], string_of[lo:hi] - a, starts[a:b] - lo, depth)
-        orders.append(order + lo)
-        transforms.append(symbols)
-    shard, interval = merge_transforms(transforms, depth)
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate(orders)
-    string = string_of[place]
-    offset = place - starts[string]
-    # A window holds MARK and none of it is END.
-    window = (offset <= lefts[string]) & (offset + depth > lefts[string]) & (offset + depth < sizes[string])
-    size = np.bincount(interval)
-    window &= size[interval] > 1
-    string, offset, interval = string[window], offset[window], interval[window]
-    begin = places[string] - lefts[string] + offset
-    order = np.lexsort((begin, docs[string], keys[string], interval))
-    string, offset, interval, begin = string[order], offset[order], interval[order], begin[order]
-    if not len(order):
-        return string, offset
-    same = (interval[1:] == interval[:-1]) & (keys[string[1:]] == keys[string[:-1]])
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    first = np.repeat(head, np.diff(np.append(head, len(order))))
-    later = (docs[string] != docs[string[first]]) | (begin != begin[first])
-    return string[later], offset[later]
-
-
-def settle(keys: np.ndarray, contexts: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that repeat an earlier context, and first rows of contexts whose anchor hash has several."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    again = np.zeros(len(k), bool)
-    again[1:] = k[1:] == k[:-1]
-    again[:-1] |= again[1:]
-    order = order[again]
-    order = order[np.lexsort((places[order], docs[order], contexts[order], keys[order]))]
-    k, c, d, p = keys[order], contexts[order], docs[order], places[order]
-    if not len(order):
-        return order, order
-    fresh_key = np.concatenate([[True], k[1:] != k[:-1]])
-    fresh = fresh_key | np.concatenate([[True], c[1:] != c[:-1]])
-    head = np.flatnonzero(fresh)
-    first = np.repeat(head, np.diff(np.append(head, len(order))))
-    repeat = (d != d[first]) | (p != p[first])
-    group = np.cumsum(fresh_key) - 1
-    several = np.bincount(group, weights=fresh)[group] > 1
-    return order[repeat], order[fresh & several]
+    longer, string, after = walk(symbols, shard)
+    marked = np.empty(len(names), np.int64)
+    first = np.empty(len(symbols), np.uint8)
+    first[longer] = symbols
+    marked[string[first == MARK]] = after[first == MARK]
+    # Cores with one name stay together, so parts of the strings can be merged by themselves: their rows alone are transforms too.
+    parts = max(1, len(symbols) // SYMBOLS)
+    part = (names[:, 1] % _U(parts)).astype(np.int64)
+    by_part = np.argsort(part[string], kind="stable")
+    bound = np.searchsorted(part[string][by_part], np.arange(parts + 1))
+    place = np.empty(len(symbols), np.int64)
+    place[by_part] = np.arange(len(symbols))
+    depth, found = step + 1, []
+    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        own = by_part[a:b]
+        rows, common = merge_transforms(symbols[own], place[longer[own]] - a, depth)
+        rows, block = own[rows], np.cumsum(common < depth)
+        before = after[rows] - marked[string[rows]]  # bytes before the core
+        window = (before >= 0) & (before <= step) & (marked[string[rows]] - 1 >= step - before)
+        window &= np.bincount(block)[block] > 1
+        rows, block, before = rows[window], block[window], before[window]
+        of = string[rows]
+        again = repeats(block, names[of], docs[of], cores[of] - before)
+        found.append((of[again], (cores[of] - before)[again]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def runs(docs: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, start, end) of windows, those that begin one behind the other as one."""
+    order = np.lexsort((begins, docs))
+    d, p = docs[order], begins[order]
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else order
+    return d[head], p[head], p[np.append(head[1:], len(d)) - 1] + length if len(d) else p
 
 
 def cut_part(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -293,22 +377,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] * bool(carry))
     rest = ["rest"] * bool(carry)
     rest_type = to_arrow_type(docs.schema["rest"].dataType) if carry else None
-    groups = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = groups_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], GROUP_BYTES)
+    slices = max(groups // 4, groups_for(spark, 0, GROUP_BYTES))
     side = length - gram
     blob_kind = "g int, kind string, data binary"
-    slices = np.array([(i << 64) // groups for i in range(1, groups)], _U)  # bounds of the slices of the hashes
+    bounds_of_slices = (np.arange(1, slices, dtype=np.float64) / slices * 2.0**ANCHOR_BITS).astype(_U)
 
     def blobs(rows: list[tuple], first: str = "g") -> pa.Table:
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary()))], [first, "kind", "data"])
 
-    def dealt(g: int, kind: str, k: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-        """Rows for each slice of the hashes; columns follow the hashes."""
-        order = np.argsort(k, kind="stable")
-        k = k[order]
-        cut = np.concatenate([[0], np.searchsorted(k, slices), [len(k)]])
-        source = np.array([g], "<i4").tobytes()
-        return [(b, kind, source + _pack(k[lo:hi], *(c[order[lo:hi]] for c in columns))) for b, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if hi > lo]
-
     def bytes_of(texts: pa.Table, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids in rising order, all bytes, bounds, the rows' numbers, and which rows have the text that stands for their id.
 
@@ -328,127 +405,123 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         data, bounds = flat_bytes(texts["text"].take(pa.array(order)))
         return ids[order], data, bounds, order, same
 
+    def anchors_of(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Shortened hashes and places of the anchors of a group's documents, and by how many bytes their windows begin before them."""
+        found = []
+        for first, last, lo, hi, keep_lo, keep_hi in pieces(bounds, CHUNK, length + side):
+            at, h, low, high = anchors(data[lo:hi], np.clip(bounds[first : last + 1], lo, hi) - lo, length, gram)
+            own = (at + lo >= keep_lo) & (at + lo < keep_hi)
+            # Anchors have small hashes: mixed again, they spread over all slices.
+            found.append([mix(h[own] * _MULT[8]) >> _U(64 - ANCHOR_BITS), at[own] + lo, low[own], high[own]])
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
     @trimmed
     def find(texts: pa.Table) -> pa.Table:
-        """Anchors of a group of documents for the slices; repeats inside the group are settled here."""
-        g = texts["g"][0].as_py()
-        ids, data, bounds, _, _ = bytes_of(texts)
-        found: list[list[np.ndarray]] = []
-        for first, last, lo, hi, keep_lo, keep_hi in pieces(bounds, CHUNK, length + side):
-            part, own = data[lo:hi], np.clip(bounds[first : last + 1], lo, hi) - lo
-            at, h = anchors(part, own, length, gram)
-            at = at[(at + lo >= keep_lo) & (at + lo < keep_hi)]
-            if len(at):
-                doc = np.searchsorted(own, at, side="right") - 1
-                # Anchors have small hashes: mixed again, they spread over all slices.
-                found.append([mix(h[at] * _MULT[8]), context_hashes(part, own, at, h, length, gram), ids[first + doc], at + lo - bounds[first + doc]])
-        if not found:
-            return blobs([], "b")
-        k, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True))
-        repeat, _ = settle(k, c, d, p)
-        left = np.ones(len(k), bool)
-        left[repeat] = False
-        rows = [(int(d[repeat[0]]) % groups, kind, data) for _, kind, data in _spans(np.full(len(repeat), g), d[repeat], p[repeat] - side, p[repeat] + length)] if len(repeat) else []
-        rows = [(b, kind, np.array([g], "<i4").tobytes() + data) for b, kind, data in rows]
-        return blobs(rows + dealt(g, "anchor", k[left], [c[left], d[left].astype("<i8"), p[left].astype("<i4")]), "b")
+        """A group's distinct anchors for the slices, and how often those occur that occur again."""
+        _, data, bounds, _, _ = bytes_of(texts)
+        keys, n = counted(np.sort(anchors_of(data, bounds)[0]))
+        cut, out = np.searchsorted(keys, bounds_of_slices), []
+        source = np.array([texts["g"][0].as_py()], "<i4").tobytes()
+        for b, (k, m) in enumerate(zip(np.split(keys, cut), np.split(n, cut), strict=True)):
+            if len(k):
+                often = np.flatnonzero(m > 1)
+                out.append((b, "anchor", source + pack_sorted(k) + often.astype("<u4").tobytes() + np.minimum(m[often], 2**32 - 1).astype("<u4").tobytes()))
+        return blobs(out, "b")
 
     @trimmed
     def meet(slice_: pa.Table) -> pa.Table:
-        """Settles a slice of the hashes: spans of repeats, and the occurrences whose contexts must be compared."""
-        rows, parts = [], []
-        for kind, data in zip(slice_["kind"].to_pylist(), slice_["data"].to_pylist(), strict=True):
-            g = int(np.frombuffer(data, "<i4", 1)[0])
-            if kind == "span":
-                rows.append((g, kind, data[4:]))
-            else:
-                columns, _ = _unpack(data[4:], "<u8", "<u8", "<i8", "<i4")
-                parts.append([*columns, np.full(len(columns[0]), g, np.int32)])
-        if parts:
-            k, c, d, p, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-            repeat, want = settle(k, c, d, p.astype(np.int64))
-            rows += _spans(g[repeat], d[repeat], p[repeat].astype(np.int64) - side, p[repeat].astype(np.int64) + length)
-            want = want[np.argsort(g[want], kind="stable")]
-            for part in np.split(want, np.flatnonzero(np.diff(g[want])) + 1) if len(want) else []:
-                rows.append((int(g[part[0]]), "want", _pack(k[part], d[part].astype("<i8"), p[part].astype("<i4"))))
-        return blobs(rows)
+        """For each group, a bit for each of its anchors of a slice, in their order: whether it occurs again anywhere; and the numbers of hot ones."""
+        b, sources, keys, many = slice_["b"][0].as_py(), [], [], []
+        for data in slice_["data"].to_pylist():
+            k, rest = unpack_sorted(data[4:])
+            n, often = np.ones(len(k), np.int64), np.frombuffer(rest, "<u4")
+            n[often[: len(often) // 2]] = often[len(often) // 2 :]
+            sources.append(int(np.frombuffer(data, "<i4", 1)[0]))
+            keys.append(k)
+            many.append(n)
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        k = flat[order]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        total = np.empty(len(k), np.int64)
+        total[order] = np.repeat(np.add.reduceat(np.concatenate(many)[order], head), np.diff(np.append(head, len(k))))
+        out = []
+        for g, n in zip(sources, np.split(total, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+            bits, hot = np.packbits(n > 1), np.flatnonzero(n >= HOT)
+            out.append((g, "bits", np.array([b, len(n)], "<i4").tobytes() + bits.tobytes() + hot.astype("<u4").tobytes()))
+        return blobs(out)
 
     @trimmed
-    def fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        """Contexts that are asked for, to the slices of their hashes; spans pass."""
-        rows, parts = [], []
-        for g, kind, data in zip(*(values(asked, c) for c in ("g", "kind", "data")), strict=True):
-            if kind == "span":
-                rows.append(((g + len(rows)) * 7919 % groups, kind, np.array([g], "<i4").tobytes() + data))
-            else:
-                parts.append(_unpack(data, "<u8", "<i8", "<i4")[0])
-        if parts:
-            g = asked["g"][0].as_py()
-            ids, data, bounds, _, _ = bytes_of(texts)
-            _, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            doc = np.searchsorted(ids, d)
-            lo, hi = bounds[doc], bounds[doc + 1]
-            columns = []
-            for a in range(0, side, step):  # windows that start a to a + step bytes before the anchor
-                core, end = lo + p - a, lo + p + gram + side - a - min(step, side - a)
-                inside = (core >= lo) & (end <= hi)
-                columns.append([core[inside], end[inside], lo[inside], hi[inside], d[inside]])
-            core, end, lo, hi, d = (np.concatenate(x) for x in zip(*columns, strict=True))
-            k = hashes_at(data, core, length - step)
-            left, right = np.minimum(core - lo, step), np.minimum(hi - end, step)
-            turn = np.arange(2 * step)
-            source = np.where(turn < step, core[:, None] - step + turn, end[:, None] + turn - step)
-            around = data[np.clip(source, 0, len(data) - 1)]
-            around[(turn < step) & (step - turn > left[:, None])] = END
-            around[(turn >= step) & (turn - step >= right[:, None])] = END
-            # Equal surroundings of one core: the first here stands for all in this group.
-            key = k ^ mix(hashes_at(around.reshape(-1), np.arange(len(k)) * 2 * step, 2 * step))
-            place = core - lo
-            repeat, _ = settle(key, key, d, place)
-            rows += [(x[0] + 1 if x[0] + 1 < groups else 0, x[1], np.array([g], "<i4").tobytes() + x[2]) for x in _spans(np.full(len(repeat), g), d[repeat], place[repeat] - left[repeat], place[repeat] + length - step + right[repeat])]
-            keep = np.ones(len(k), bool)
-            keep[repeat] = False
-            rows += dealt(g, "context", k[keep], [d[keep].astype("<i8"), place[keep].astype("<i4"), np.ascontiguousarray(around[keep]).view(f"V{2 * step}").reshape(-1)])
-        return blobs(rows, "b")
+    def shard(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        """Transforms of a group's strings for the slices, and spans of what repeats inside the group."""
+        if not texts.num_rows:
+            return blobs([], "b")
+        g = texts["g"][0].as_py()
+        ids, data, bounds, _, _ = bytes_of(texts)
+        key, at, low, high = anchors_of(data, bounds)
+        keys, _ = counted(np.sort(key))
+        again, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        starts = np.concatenate([[0], np.searchsorted(keys, bounds_of_slices)])
+        for blob in values(asked, "data"):
+            b, n = np.frombuffer(blob, "<i4", 2).tolist()
+            size = -(-n // 8)
+            again[starts[b] : starts[b] + n] = np.unpackbits(np.frombuffer(blob, np.uint8, size, 8), count=n)
+            hot[starts[b] + np.frombuffer(blob[8 + size :], "<u4")] = True
+        number = np.searchsorted(keys, key)
+        source, out, spans = np.array([g], "<i4").tobytes(), [], []
+        for own, width in ((again & ~hot, step), (again & hot, 0)):
+            chosen = own[number]
+            core, i, j = bands(at[chosen], low[chosen], high[chosen], side, width)
+            names = core_names(data, core, length - width)
+            # Parts of the names are shards by themselves.
+            parts = max(1, -(-len(core) // STRINGS))
+            by_part = np.argsort(names[:, 1] % _U(parts), kind="stable")
+            cut = np.searchsorted((names[:, 1] % _U(parts))[by_part], np.arange(parts + 1))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if b > a:
+                    some = by_part[a:b]
+                    doc = np.searchsorted(bounds, core[some], side="right") - 1
+                    place = core[some] - bounds[doc]
+                    strings, sizes = strings_of(data, core[some], i[some], j[some], length - width, width)
+                    gone, begin, string, symbols, left = shard_of(strings, sizes, j[some], names[some], doc, place, width)
+                    spans.append((gone, begin))
+                    # Rows of a slice's strings alone are its transform.
+                    slice_of = (names[some[left], 0] >> _U(33)).astype(np.int64) * slices >> 31
+                    order, rows = np.argsort(slice_of, kind="stable"), np.argsort(slice_of[string], kind="stable")
+                    left = left[order]
+                    edge = np.flatnonzero(np.diff(slice_of[order], prepend=-1))
+                    ends, last = np.append(edge[1:], len(order)), np.searchsorted(slice_of[string][rows], slice_of[order[edge]], side="right")
+                    for lo, hi, r_lo, r_hi in zip(edge.tolist(), ends.tolist(), [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                        these = left[lo:hi]
+                        packed = _pack(np.ascontiguousarray(names[some[these]]).view("V16").reshape(-1), ids[doc[these]].astype("<i8"), place[these].astype("<i4"))
+                        out.append((int(slice_of[order[lo]]), "shard" if width else "hot", source + packed + symbols[rows[r_lo:r_hi]].tobytes()))
+        if spans:
+            gone, begin = (np.concatenate(x) for x in zip(*spans, strict=True))
+            d, s, e = runs(gone, begin, length)
+            out += [((g + n) * 7919 % slices, kind, source + blob) for n, (_, kind, blob) in enumerate(_spans(np.full(len(d), g), ids[d], s, e))]
+        return blobs(out, "b")
 
     @trimmed
-    def compare(slice_: pa.Table) -> pa.Table:
-        """Repeats among the contexts of a slice, by merged transforms; spans pass."""
-        rows, parts = [], []
-        for kind, data in zip(slice_["kind"].to_pylist(), slice_["data"].to_pylist(), strict=True):
-            g = int(np.frombuffer(data, "<i4", 1)[0])
-            if kind == "span":
-                rows.append((g, kind, data[4:]))
-            else:
-                columns, _ = _unpack(data[4:], "<u8", "<i8", "<i4", f"V{2 * step}")
-                parts.append([*columns, np.full(len(columns[0]), g, np.int32)])
-        if parts:
-            k, d, p, around, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-            p, around = p.astype(np.int64), around.view(np.uint8).reshape(-1, 2 * step)
-            # Cores that occur once, and surroundings that only repeat others', need no comparison.
-            _, group, size = np.unique(k, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(size[group] > 1)
-            k, d, p, around, g = k[some], d[some], p[some], around[some], g[some]
-            left, right = (around[:, :step] != END).sum(1), (around[:, step:] != END).sum(1)
-            key = k ^ mix(hashes_at(around.reshape(-1), np.arange(len(k)) * 2 * step, 2 * step))
-            repeat, _ = settle(key, key, d, p)
-            rows += _spans(g[repeat], d[repeat], p[repeat] - left[repeat], p[repeat] + length - step + right[repeat])
-            keep = np.ones(len(k), bool)
-            keep[repeat] = False
-            k, d, p, around, g, lefts, right = (x[keep] for x in (k, d, p, around, g, left, right))
-        if parts and len(k):
-            # Bytes before the core, MARK, bytes behind it, END.
-            whole = np.full((len(k), 2 * step + 2), END, np.uint8)
-            whole[:, :step], whole[:, step], whole[:, step + 1 : -1] = around[:, :step], MARK, around[:, step:]
-            used = np.concatenate([around[:, :step] != END, np.ones((len(k), 1), bool), around[:, step:] != END, np.ones((len(k), 1), bool)], 1)
-            sizes = used.sum(1)
-            string, offset = repeated_windows(whole[used], sizes, lefts, k, d, p, step + 1)
-            order = np.lexsort((offset, string))
-            string, offset = string[order], offset[order]
-            begin = p[string] - lefts[string] + offset
-            if len(string):
-                head = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (begin[1:] != begin[:-1] + 1)]))
-                last = np.append(head[1:], len(string)) - 1
-                rows += _spans(g[string[head]], d[string[head]], begin[head], begin[last] + length)
+    def merge(slice_: pa.Table) -> pa.Table:
+        """Spans of what repeats among the shards of a slice; spans pass."""
+        rows = []
+        kinds, found = slice_["kind"].to_pylist(), slice_["data"].to_pylist()
+        rows += [(int(np.frombuffer(data, "<i4", 1)[0]), kind, data[4:]) for kind, data in zip(kinds, found, strict=True) if kind == "span"]
+        for wanted, width in (("shard", step), ("hot", 0)):
+            parts, symbols, groups_of = [], [], []
+            for data in (d for k, d in zip(kinds, found, strict=True) if k == wanted):
+                columns, rest = _unpack(data[4:], "V16", "<i8", "<i4")
+                parts.append(columns)
+                symbols.append(np.frombuffer(rest, np.uint8))
+                groups_of.append(int(np.frombuffer(data, "<i4", 1)[0]))
+            if parts:
+                names, d, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+                g = np.repeat(groups_of, [len(x[0]) for x in parts])
+                of = np.repeat(np.arange(len(parts)), [len(x) for x in symbols])
+                string, begin = merged_repeats(np.concatenate(symbols), of, names.view("<u8").reshape(-1, 2), d, core.astype(np.int64), width)
+                doc, s, e = runs(d[string], begin, length)
+                known, at = np.unique(d, return_index=True)
+                rows += _spans(g[at[np.searchsorted(known, doc)]], doc, s, e)
         return blobs(rows)
 
     @trimmed
@@ -481,9 +554,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     grouped = docs.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text", *rest).repartition(groups, "g")
     slice_kind = blob_kind.replace("g int", "b int")
-    asked = grouped.groupBy("g").applyInArrow(find, slice_kind).repartition(groups, "b").groupBy("b").applyInArrow(meet, blob_kind)
-    contexts = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(fetch, slice_kind)
-    spans = contexts.repartition(groups, "b").groupBy("b").applyInArrow(compare, blob_kind)
+    asked = grouped.groupBy("g").applyInArrow(find, slice_kind).repartition(slices, "b").groupBy("b").applyInArrow(meet, blob_kind)
+    shards = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(shard, slice_kind)
+    spans = shards.repartition(slices, "b").groupBy("b").applyInArrow(merge, blob_kind)
     out = grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary" + (f", rest {docs.schema['rest'].dataType.simpleString()}" if carry else ""))
     whole = F.col("text").cast("binary")
     alone = docs.where("id is null").select("id", F.length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), whole.alias("kept"), *rest)

@@ -57,41 +57,95 @@ def test_repeats_with_null_and_repeated_ids(spark):
     assert all(r["rest"]["rest"] == "r" and r["rest"]["id"] == 1 for r in carried) and len(carried) == 7
 
 
-def test_pieces_of_long_documents_find_the_same_anchors():
+def test_hot_anchors_go_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "STRINGS", 50)
+    rows = many_texts(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_repeats(frame(spark, list(rows.items())).repartition(5)).collect()}
+    assert got == suffixes.brute_force(rows)
+
+
+def test_very_long_texts_lose_their_repeats(spark):
+    draw = random.Random(14)
+    long = "".join(chr(draw.randint(97, 122)) for _ in range(2_500_000))
+    rows = [(1, "x" * 1_200_000), (2, long), (3, long[1_000_000:1_000_500] + "!" * 30), (4, "ab" * 600_000)]
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    # Of a period, the first period and a window stay: every window but the first of each phase starts earlier.
+    assert got == {1: (1_199_999, b"x"), 2: (0, long.encode()), 3: (500, b"!" * 30), 4: (1_199_998, b"ab")}
+
+
+def test_anchors_of_windows_and_of_pieces():
     draw = random.Random(5)
-    data = np.frombuffer((prose(draw, 900) + prose(draw, 5) * 60).encode(), np.uint8)
+    data = np.frombuffer((prose(draw, 900) + prose(draw, 5) * 60 + "a" * 300).encode(), np.uint8)
     bounds = np.array([0, 40, 40, 5000, len(data)])
-    at, h = suffixes.anchors(data, bounds, 100, 50)
-    want = dict(zip(at.tolist(), zip(h[at].tolist(), suffixes.context_hashes(data, bounds, at, h, 100, 50).tolist())))
-    got = {}
+    at, h, low, high = suffixes.anchors(data, bounds, 100, 50)
+    rank = (suffixes.gram_hashes(data, 50) >> np.uint64(33)).tolist()
+    want = {}
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        for s in range(a, b - 99):
+            want.setdefault(min(range(s, s + 51), key=lambda p: (rank[p], p)), []).append(s)
+    assert {p: list(range(p - j, p - i + 1)) for p, i, j in zip(at.tolist(), low.tolist(), high.tolist())} == want
+    got = []
     for first, last, lo, hi, keep_lo, keep_hi in suffixes.pieces(bounds, 1000, 150):
-        own = np.clip(bounds[first : last + 1], lo, hi) - lo
-        a, g = suffixes.anchors(data[lo:hi], own, 100, 50)
-        a = a[(a + lo >= keep_lo) & (a + lo < keep_hi)]
-        got |= dict(zip((a + lo).tolist(), zip(g[a].tolist(), suffixes.context_hashes(data[lo:hi], own, a, g, 100, 50).tolist())))
-    assert got == want
-
-
-def test_merged_transforms_order_suffixes():
-    draw = np.random.default_rng(1)
-    strings = [bytes(draw.integers(97, 99, draw.integers(11, 30)).tolist()) + b"\xfe" for _ in range(40)]
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(s) for s in strings])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    circle = lambda i, p: (strings[i][p:] + strings[i] * 9)[:8]
-    orders, transforms = [], []
-    for a, b in ((0, 7), (7, 25), (25, 40)):
-        lo, hi = starts[a], starts[b - 1] + sizes[b - 1]
-        order, symbols = suffixes.shard_transform(text[lo:hi], np.repeat(np.arange(b - a), sizes[a:b]), starts[a:b] - lo, 8)
-        orders.append(order + lo)
-        transforms.append(symbols)
-    shard, interval = suffixes.merge_transforms(transforms, 8)
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate(orders)
-    of = np.searchsorted(starts, place, side="right") - 1
-    keys = [circle(i, p - starts[i]) for i, p in zip(of.tolist(), place.tolist())]
-    assert keys == sorted(keys)
-    assert [b == a for a, b in zip(keys, keys[1:])] == (np.diff(interval) == 0).tolist()
+        a, g, i, j = suffixes.anchors(data[lo:hi], np.clip(bounds[first : last + 1], lo, hi) - lo, 100, 50)
+        own = (a + lo >= keep_lo) & (a + lo < keep_hi)
+        got += zip((a[own] + lo).tolist(), g[own].tolist(), i[own].tolist(), j[own].tolist())
+    assert got == list(zip(at.tolist(), h.tolist(), low.tolist(), high.tolist()))
+    for step in (0, 7, 10, 50):
+        core, i, j = suffixes.bands(at, low, high, 50, step)
+        windows = [c - x for c, a, b in zip(core.tolist(), i.tolist(), j.tolist()) for x in range(a, b + 1)]
+        assert sorted(windows) == sorted(s for w in want.values() for s in w) and (j <= step).all() and (i >= 0).all()
+
+
+def shards_of(seed, counts, step=10):
+    """Strings of some shards as symbols, MARK and END among them."""
+    draw = np.random.default_rng(seed)
+    out = []
+    for n in counts:
+        low = draw.integers(0, step, n)
+        high = np.array([draw.integers(x, step + 1) for x in low])
+        data = draw.integers(97, 99, 4000).astype(np.uint8)
+        core = draw.integers(200, 3000, n)
+        out.append((*suffixes.strings_of(data, core, low, high, 90, step), high))
+    return out
+
+
+def test_walked_and_merged_transforms_order_suffixes():
+    flat, symbols, shard, n = [], [], [], 0
+    for k, (strings, sizes, _) in enumerate(shards_of(1, (7, 1, 40, 12))):
+        rank = suffixes.order_of(strings)
+        string, offset, before, common = suffixes.shard_transform(strings[rank], sizes[rank])
+        whole = [bytes(strings[i][: sizes[i]]) for i in rank]
+        rows = [whole[i][o:] for i, o in zip(string.tolist(), offset.tolist())]
+        assert rows == sorted(rows) and [whole[i][o - 1] for i, o in zip(string.tolist(), offset.tolist())] == before.tolist()
+        for a, b, c in zip(rows, rows[1:], common[1:].tolist()):
+            assert a[:c] == b[:c] and (a[c : c + 1] != b[c : c + 1] or a == b)
+        flat += [(n + i, whole[i], o) for i, o in zip(string.tolist(), offset.tolist())]
+        n += len(whole)
+        symbols.append(before)
+        shard.append(np.full(len(before), k))
+    symbols, shard = np.concatenate(symbols), np.concatenate(shard)
+    longer, string, after = suffixes.walk(symbols, shard)
+    assert [(i, len(w) - 1 - o) for i, w, o in flat] == list(zip(string.tolist(), after.tolist()))
+    assert all(flat[r][0] == flat[x][0] for x, r in enumerate(longer.tolist()))
+    order, common = suffixes.merge_transforms(symbols, longer, 11)
+    circle = [((flat[r][1] * 3)[flat[r][2] :])[:11] for r in order.tolist()]
+    assert circle == sorted(circle)
+    shared = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 11) for a, b in zip(circle, circle[1:])]
+    assert common[1:].tolist() == shared
+
+
+def test_transform_without_some_strings_is_that_of_the_others():
+    (strings, sizes, high), = shards_of(2, (60,))
+    names = np.repeat(np.arange(60, dtype=np.uint64)[:, None] % np.uint64(3), 2, axis=1)
+    strings[30:45], sizes[30:45], high[30:45], names[30:45] = strings[:15], sizes[:15], high[:15], names[:15]
+    docs, cores = np.arange(60), np.full(60, 500)
+    gone, begins, string, symbols, left = suffixes.shard_of(strings, sizes, high, names, docs, cores, 10)
+    assert set(range(30, 45)).isdisjoint(left.tolist()) and len(gone) >= 15
+    rank = suffixes.order_of(strings[left])
+    assert (rank == np.arange(len(left))).all()
+    want = suffixes.shard_transform(strings[left], sizes[left])
+    assert (want[0] == string).all() and (want[2] == symbols).all()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
