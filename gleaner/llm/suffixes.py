@@ -12,8 +12,8 @@ Shards. Neighbouring windows of an anchor are taken together in bands of `step`.
 core, become one symbol MARK, named by 128 bits of hash; up to `step` bytes on either side, as far as windows of
 this anchor need them, stay as they are, and END follows. So each occurrence of a band is a string of at most
 2 * `step` + 2 symbols, and a window of it is `step` + 1 symbols in a row, MARK among them. A shard is the collection of a
-group's strings of a slice; its task sorts their suffixes, which gives the shard's transform and the windows that
-repeat in the shard. Strings with no window that is new to the shard are taken out of the transform, which leaves a
+group's distinct strings of a slice, each at its first place; its task sorts their suffixes, which gives the shard's transform and the
+windows that repeat in the shard. Strings with no window that is new to the shard are taken out of the transform, which leaves a
 transform of the others. So a common text costs each shard one string, not one for each copy.
 
 Merge. A slice gets the transforms of all shards, walks them backwards from the ENDs to learn which string a row
@@ -51,7 +51,7 @@ STEP = 10
 #: Occurrences of an anchor from which on each of its windows goes its own way.
 HOT = 200_000
 #: Bytes worked on at once in anchor search; strings of a shard sorted at once; symbols merged at once.
-CHUNK, STRINGS, SYMBOLS = 1_000_000, 60_000, 600_000
+CHUNK, STRINGS, SYMBOLS = 1_000_000, 60_000, 250_000
 #: Text of a group of documents, about: a task holds it with its strings, some twenty times as much at the worst.
 GROUP_BYTES = 32_000_000
 ANCHOR_BITS = 48
@@ -116,18 +116,21 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     edge = np.zeros(width - 1, np.uint32)
     most = slide(np.concatenate([edge, least, edge]), width, np.maximum)  # over the windows around each place
     at = np.flatnonzero(rank == most)
-    # The anchor of each window: the first place from its start on that has the least rank.
-    window = np.flatnonzero(least)
-    of = (np.cumsum(rank == most) - (rank == most))[window]
-    off = np.flatnonzero(rank[at[of]] != least[window])
-    while len(off):
-        of[off] += 1
-        off = off[rank[at[of[off]]] != least[window[off]]]
-    first = np.searchsorted(of, np.arange(len(at)))
-    last = np.searchsorted(of, np.arange(len(at)), side="right") - 1
+    # Windows in a row with one least rank have one anchor, or several of equal rank, each up to its own place.
+    start = np.flatnonzero(np.diff(least, prepend=np.uint32(0) if least[0] else np.uint32(1)))
+    last = np.append(start[1:], len(least)) - 1
+    value, own = least[start], rank[at]
+    run = np.searchsorted(start, at, side="right") - 1
+    off = np.flatnonzero(value[run] != own)
+    while len(off):  # a smaller rank follows the anchor closely: its windows are in an earlier row
+        run[off] -= 1
+        off = off[value[run[off]] != own[off]]
+    first = np.maximum(start[run], at - width + 1)
+    first[1:] = np.maximum(first[1:], np.where(own[1:] == own[:-1], at[:-1] + 1, 0))
+    last = np.minimum(last[run], at)
     used = last >= first
     at, first, last = at[used], first[used], last[used]
-    return at, h[at], at - window[last], at - window[first]
+    return at, h[at], at - last, at - first
 
 
 def pieces(bounds: np.ndarray, most: int, margin: int) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -180,48 +183,49 @@ def core_names(data: np.ndarray, core: np.ndarray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join([name(raw[a : a + size]) for a in core.tolist()]), "<u8").reshape(-1, 2)
 
 
-def order_of(rows: np.ndarray) -> np.ndarray:
-    """Stable order of rows of bytes."""
-    width = -(-rows.shape[1] // 8) * 8
-    full = np.zeros((len(rows), width), np.uint8)
-    full[:, : rows.shape[1]] = rows
-    keys = full.view(">u8").astype(_U)
-    return np.lexsort(keys.T[::-1])
+def keys_of(rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """Numbers in the order of the `width` bytes from each place of each row on, eight bytes in each; rows have room for them."""
+    n, room = rows.shape
+    return [np.ndarray((n, room - width), ">u8", rows, 8 * k, (room, 1)) for k in range(width // 8)]
 
 
-def shard_transform(strings: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's rows in the order of the suffixes: string and offset of each, the symbol before it, and how many symbols it shares with the row before.
+def shard_transform(strings: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """The order of a shard's strings; and the shard's rows in the order of the suffixes: string (in that order) and offset of each,
+    the symbol before it, and the number of its block, in which rows share their first `depth` symbols.
 
-    Strings stand in their own order, so that equal suffixes keep it and the transform can be walked. The symbol
-    before a string is its END.
+    Equal suffixes stand in the order of their strings, so that the transform can be walked. The symbol before a
+    string is its END.
     """
-    n, width = strings.shape
-    room = np.zeros((n, 2 * width), np.uint8)
-    room[:, :width] = strings
-    whole = np.arange(width) < sizes[:, None]
+    n, most = strings.shape
+    width = -(-most // 8) * 8
+    rows = np.zeros((n, most + width), np.uint8)
+    rows[:, :most] = strings
+    rank = np.lexsort([k[:, 0].astype(_U) for k in keys_of(rows, width)][::-1])
+    rows, sizes = rows[rank], sizes[rank]
+    whole = np.arange(most) < sizes[:, None]
     string, offset = np.nonzero(whole)
-    suffixes = np.lib.stride_tricks.sliding_window_view(room, width, axis=1)[:, :width][whole]
-    before = np.full((n, width), END, np.uint8)
-    before[:, 1:] = strings[:, :-1]
-    order = order_of(suffixes)
-    suffixes = suffixes[order]
-    differ = np.ones((len(order), width + 1), bool)
-    differ[1:, :width] = suffixes[1:] != suffixes[:-1]
-    common = differ.argmax(1)
-    common[:1] = 0
-    return string[order], offset[order], before[whole][order], common
+    keys = [k[whole].astype(_U) for k in keys_of(rows, width)]
+    before = np.full((n, most), END, np.uint8)
+    before[:, 1:] = rows[:, : most - 1]
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(order), bool)
+    for k, key in enumerate(keys[: -(-depth // 8)]):
+        sorted_key = key[order] >> _U(8 * max(0, 8 * (k + 1) - depth))
+        fresh[1:] |= sorted_key[1:] != sorted_key[:-1]
+    return rank, string[order].astype(np.int32), offset[order].astype(np.int32), before[whole][order], np.cumsum(fresh, dtype=np.int32)
 
 
 def walk(symbols: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the rows of transforms that lie one behind the other: the row of the suffix one symbol longer, the string that the
     row is in, counted over all shards, and how many symbols of the string follow the row's first, END included."""
-    order = np.lexsort((symbols, shard))
-    longer = np.empty(len(symbols), np.int64)
-    longer[order] = np.arange(len(symbols))
-    row = longer[symbols == END]  # rows of ENDs, in the order of their strings
-    # A row's symbol stands before it, so the ENDs' rows are where the rows of whole strings lead to.
-    string, after = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
-    number, far = np.arange(len(row)), 0
+    order = np.argsort(symbols, kind="stable")
+    order = order[np.argsort(shard[order], kind="stable")]
+    kind = np.int32 if len(symbols) < 2**31 else np.int64
+    longer = np.empty(len(symbols), kind)
+    longer[order] = np.arange(len(symbols), dtype=kind)
+    row = longer[symbols == END]  # rows of ENDs, in the order of their strings: the rows of whole strings lead to them
+    string, after = np.empty(len(symbols), kind), np.empty(len(symbols), np.int16)
+    number, far = np.arange(len(row), dtype=kind), 0
     while len(row):
         string[row], after[row] = number, far
         on = symbols[row] != END
@@ -234,57 +238,67 @@ def merge_transforms(symbols: np.ndarray, longer: np.ndarray, depth: int) -> tup
 
     The interleave begins as the shards one behind the other. Rows of one shard never overtake each other.
     """
-    rows = np.arange(len(symbols))
-    common = np.full(len(rows), depth, np.int64)
+    rows = np.arange(len(symbols), dtype=longer.dtype)
+    common = np.full(len(rows), depth, np.int16)
     common[:1] = 0
     block = np.zeros(len(rows), np.int32)
     for h in range(depth):
         read = symbols[rows]
-        order = np.argsort(read, kind="stable")
+        order = np.argsort(read, kind="stable").astype(longer.dtype)
         first, old = read[order], block[order]
         rows = longer[rows[order]]
         fresh = (first[1:] != first[:-1]) | (old[1:] != old[:-1])
-        now = np.zeros_like(block)
-        np.cumsum(fresh, out=now[1:])
+        block = np.zeros_like(block)
+        np.cumsum(fresh, out=block[1:])
         common[1:][fresh & (common[1:] == depth)] = h
-        if now[-1:].sum() == len(now) - 1:  # all told apart: further symbols change nothing
+        if len(block) and block[-1] == len(block) - 1:  # all told apart: further symbols change nothing
             break
-        block = now
     return rows, common
 
 
-def repeats(block: np.ndarray, names: np.ndarray, docs: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Which windows also start earlier: windows are equal if their blocks and the names of their cores are."""
-    order = np.lexsort((begins, docs, names[:, 1], names[:, 0], block))
-    b, n, d, p = block[order], names[order], docs[order], begins[order]
-    out = np.zeros(len(order), bool)
-    if len(order):
-        head = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (n[1:] != n[:-1]).any(1)]))
-        first = np.repeat(head, np.diff(np.append(head, len(order))))
-        out[order] = (d != d[first]) | (p != p[first])
+def places(names: np.ndarray, docs: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of strings by the names of their cores and where they stand, and the numbers of the names."""
+    order = np.lexsort((cores, docs, names[:, 1], names[:, 0]))
+    rank, name = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    sorted_names = names[order]
+    fresh = np.zeros(len(order), bool)
+    fresh[1:] = (sorted_names[1:] != sorted_names[:-1]).any(1)
+    name[order] = np.cumsum(fresh)
+    return rank, name
+
+
+def repeats(block: np.ndarray, rank: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which windows also start earlier, from their blocks and their strings' ranks and names: windows are equal if their blocks and
+    names are. MARK is at one offset in equal windows, so that where their strings stand says which is first."""
+    some = np.flatnonzero(np.bincount(block)[block] > 1) if len(block) else np.zeros(0, np.int64)
+    span = int(rank.max()) + 1 if len(rank) else 1
+    order = some[np.argsort(block[some].astype(np.int64) * span + rank[some])]
+    b, n = block[order], name[order]
+    out = np.zeros(len(block), bool)
+    out[order[1:]] = (b[1:] == b[:-1]) & (n[1:] == n[:-1])
     return out
 
 
-def shard_of(strings: np.ndarray, sizes: np.ndarray, high: np.ndarray, names: np.ndarray, docs: np.ndarray, cores: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
-    """A shard's transform without the strings whose windows all repeat earlier ones of the shard.
+def shard_of(strings: np.ndarray, sizes: np.ndarray, high: np.ndarray, names: np.ndarray, cores: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """A shard's transform without the strings whose windows all repeat earlier ones of the shard. Strings stand in the order of their cores.
 
-    Gives the repeated windows (docs, begins), then the rows left (their strings, the symbols before them) and the numbers of the strings
+    Gives the repeated windows' begins, then the rows left (their strings, the symbols before them) and the numbers of the strings
     left, in the order of the transform's ENDs.
     """
-    rank = order_of(strings)
-    string, offset, symbols, common = shard_transform(strings[rank], sizes[rank])
     depth = step + 1
-    block = np.cumsum(common < depth)
+    rank, string, offset, symbols, block = shard_transform(strings, sizes, depth)
     held = high[rank][string]
     window = np.flatnonzero((offset <= held) & (offset + depth < sizes[rank][string]) & (offset + depth > held))
     of = rank[string[window]]
-    begins = cores[of] - held[window] + offset[window]
-    again = repeats(block[window], names[of], docs[of], begins)
+    by_place, name = places(names, np.zeros(len(names), np.int8), cores)
+    again = repeats(block[window], by_place[of], name[of])
     left = np.zeros(len(strings), bool)
     left[of[~again]] = True
-    rows = left[rank[string]]
+    rows = left[rank][string]
     number = np.cumsum(left[rank]) - 1
-    return docs[of[again]], begins[again], number[string[rows]], symbols[rows], rank[left[rank]]
+    gone = window[again]
+    return cores[of[again]] - held[gone] + offset[gone], number[string[rows]], symbols[rows], rank[left[rank]]
 
 
 def merged_repeats(symbols: np.ndarray, shard: np.ndarray, names: np.ndarray, docs: np.ndarray, cores: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,38 +307,64 @@ def merged_repeats(symbols: np.ndarray, shard: np.ndarray, names: np.ndarray, do
     names, docs and cores of the strings: of each shard in the order of its ENDs.
     """
     longer, string, after = walk(symbols, shard)
-    marked = np.empty(len(names), np.int64)
+    marked = np.empty(len(names), np.int16)
     first = np.empty(len(symbols), np.uint8)
     first[longer] = symbols
     marked[string[first == MARK]] = after[first == MARK]
-    # Cores with one name stay together, so parts of the strings can be merged by themselves: their rows alone are transforms too.
+    rank, name = places(names, docs, cores)
+    # Rows of some strings alone are transforms too. Cores that no other string has are left out, and cores with one
+    # name stay together, so that parts of the strings are merged by themselves.
     parts = max(1, len(symbols) // SYMBOLS)
-    part = (names[:, 1] % _U(parts)).astype(np.int64)
-    by_part = np.argsort(part[string], kind="stable")
-    bound = np.searchsorted(part[string][by_part], np.arange(parts + 1))
-    place = np.empty(len(symbols), np.int64)
-    place[by_part] = np.arange(len(symbols))
+    part = (names[:, 1] % _U(parts)).astype(np.uint16 if parts < 2**16 else np.int64)
+    part = part[string]
+    some = np.flatnonzero(np.bincount(name)[name][string] > 1)
+    by_part = some[np.argsort(part[some], kind="stable")]
+    bound = np.searchsorted(part[by_part], np.arange(parts + 1))
+    place = np.empty(len(symbols), longer.dtype)
+    place[by_part] = np.arange(len(by_part), dtype=longer.dtype)
     depth, found = step + 1, []
     for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
         own = by_part[a:b]
-        rows, common = merge_transforms(symbols[own], place[longer[own]] - a, depth)
-        rows, block = own[rows], np.cumsum(common < depth)
-        before = after[rows] - marked[string[rows]]  # bytes before the core
-        window = (before >= 0) & (before <= step) & (marked[string[rows]] - 1 >= step - before)
-        window &= np.bincount(block)[block] > 1
-        rows, block, before = rows[window], block[window], before[window]
+        rows, common = merge_transforms(symbols[own], place[longer[own]] - longer.dtype.type(a), depth)
+        rows, block = own[rows], np.cumsum(common < depth, dtype=np.int32)
         of = string[rows]
-        again = repeats(block, names[of], docs[of], cores[of] - before)
-        found.append((of[again], (cores[of] - before)[again]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        end = marked[of]
+        before = after[rows] - end  # bytes before the core
+        window = np.flatnonzero((before >= 0) & (before <= step) & (end - 1 >= step - before))
+        of, before = of[window], before[window]
+        again = repeats(block[window], rank[of], name[of])
+        found.append((of[again], cores[of[again]] - before[again]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def distinct(strings: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which strings are the first of their kind: equal ones have equal symbols and names of their cores."""
+    n, most = strings.shape
+    width = -(-most // 8) * 8
+    rows = np.zeros((n, width), np.uint8)
+    rows[:, :most] = strings
+    h = names[:, 0].copy()
+    for k, key in enumerate(rows.view(_U).T):
+        h = mix(h * _MULT[k] + key)
+    order = np.argsort(h, kind="stable")
+    # Strings that only have the hash in common are told apart by all that they are; at worst equal ones stay twice.
+    same = (names[order[1:]] == names[order[:-1]]).all(1) & (rows[order[1:]] == rows[order[:-1]]).all(1)
+    out = np.ones(n, bool)
+    out[order[1:][same]] = False
+    return out
 
 
-def runs(docs: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of windows, those that begin one behind the other as one."""
-    order = np.lexsort((begins, docs))
-    d, p = docs[order], begins[order]
-    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else order
-    return d[head], p[head], p[np.append(head[1:], len(d)) - 1] + length if len(d) else p
+def runs(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, start, end), those that touch or overlap as one."""
+    order = np.lexsort((starts, docs))
+    d, s, e = docs[order], starts[order], ends[order]
+    if not len(d):
+        return d, s, e
+    fresh = np.concatenate([[True], d[1:] != d[:-1]])
+    room = int(e.max()) + 1
+    reach = np.maximum.accumulate((np.cumsum(fresh) - 1) * room + e) - (np.cumsum(fresh) - 1) * room  # within the document
+    head = np.flatnonzero(fresh | np.concatenate([[True], s[1:] > reach[:-1]]))
+    return d[head], s[head], reach[np.append(head[1:], len(d)) - 1]
 
 
 def cut_part(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -472,32 +512,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for own, width in ((again & ~hot, step), (again & hot, 0)):
             chosen = own[number]
             core, i, j = bands(at[chosen], low[chosen], high[chosen], side, width)
-            names = core_names(data, core, length - width)
-            # Parts of the names are shards by themselves.
+            by_core = np.argsort(core, kind="stable")
+            core, i, j = core[by_core], i[by_core], j[by_core]
+            # Parts of the cores are shards by themselves.
+            names = np.concatenate([core_names(data, core[a : a + STRINGS], length - width) for a in range(0, len(core), STRINGS)] or [np.zeros((0, 2), _U)])
             parts = max(1, -(-len(core) // STRINGS))
-            by_part = np.argsort(names[:, 1] % _U(parts), kind="stable")
-            cut = np.searchsorted((names[:, 1] % _U(parts))[by_part], np.arange(parts + 1))
+            part = names[:, 1] % _U(parts)
+            by_part = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[by_part], np.arange(parts + 1))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b > a:
                     some = by_part[a:b]
-                    doc = np.searchsorted(bounds, core[some], side="right") - 1
-                    place = core[some] - bounds[doc]
                     strings, sizes = strings_of(data, core[some], i[some], j[some], length - width, width)
-                    gone, begin, string, symbols, left = shard_of(strings, sizes, j[some], names[some], doc, place, width)
-                    spans.append((gone, begin))
+                    kinds = distinct(strings, names[some])
+                    again = some[~kinds]
+                    spans.append((core[again] - j[again], core[again] - i[again] + length))
+                    some = some[kinds]
+                    begin, string, symbols, left = shard_of(strings[kinds], sizes[kinds], j[some], names[some], core[some], width)
+                    spans.append((begin, begin + length))
                     # Rows of a slice's strings alone are its transform.
                     slice_of = (names[some[left], 0] >> _U(33)).astype(np.int64) * slices >> 31
                     order, rows = np.argsort(slice_of, kind="stable"), np.argsort(slice_of[string], kind="stable")
-                    left = left[order]
+                    left = some[left[order]]
                     edge = np.flatnonzero(np.diff(slice_of[order], prepend=-1))
                     ends, last = np.append(edge[1:], len(order)), np.searchsorted(slice_of[string][rows], slice_of[order[edge]], side="right")
+                    doc = np.searchsorted(bounds, core[left], side="right") - 1
+                    packed = np.ascontiguousarray(names[left]).view("V16").reshape(-1), ids[doc].astype("<i8"), (core[left] - bounds[doc]).astype("<i4")
+                    symbols = symbols[rows].tobytes()
                     for lo, hi, r_lo, r_hi in zip(edge.tolist(), ends.tolist(), [0, *last[:-1].tolist()], last.tolist(), strict=True):
-                        these = left[lo:hi]
-                        packed = _pack(np.ascontiguousarray(names[some[these]]).view("V16").reshape(-1), ids[doc[these]].astype("<i8"), place[these].astype("<i4"))
-                        out.append((int(slice_of[order[lo]]), "shard" if width else "hot", source + packed + symbols[rows[r_lo:r_hi]].tobytes()))
+                        out.append((int(slice_of[order[lo]]), "shard" if width else "hot", source + _pack(*(x[lo:hi] for x in packed)) + symbols[r_lo:r_hi]))
         if spans:
-            gone, begin = (np.concatenate(x) for x in zip(*spans, strict=True))
-            d, s, e = runs(gone, begin, length)
+            s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
+            doc = np.searchsorted(bounds, s, side="right") - 1
+            d, s, e = runs(doc, s - bounds[doc], e - bounds[doc])
             out += [((g + n) * 7919 % slices, kind, source + blob) for n, (_, kind, blob) in enumerate(_spans(np.full(len(d), g), ids[d], s, e))]
         return blobs(out, "b")
 
@@ -517,9 +564,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             if parts:
                 names, d, core = (np.concatenate(x) for x in zip(*parts, strict=True))
                 g = np.repeat(groups_of, [len(x[0]) for x in parts])
-                of = np.repeat(np.arange(len(parts)), [len(x) for x in symbols])
+                of = np.repeat(np.arange(len(parts), dtype=np.uint16 if len(parts) < 2**16 else np.int64), [len(x) for x in symbols])
                 string, begin = merged_repeats(np.concatenate(symbols), of, names.view("<u8").reshape(-1, 2), d, core.astype(np.int64), width)
-                doc, s, e = runs(d[string], begin, length)
+                doc, s, e = runs(d[string], begin, begin + length)
                 known, at = np.unique(d, return_index=True)
                 rows += _spans(g[at[np.searchsorted(known, doc)]], doc, s, e)
         return blobs(rows)

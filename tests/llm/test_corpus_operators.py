@@ -113,17 +113,15 @@ def shards_of(seed, counts, step=10):
 def test_walked_and_merged_transforms_order_suffixes():
     flat, symbols, shard, n = [], [], [], 0
     for k, (strings, sizes, _) in enumerate(shards_of(1, (7, 1, 40, 12))):
-        rank = suffixes.order_of(strings)
-        string, offset, before, common = suffixes.shard_transform(strings[rank], sizes[rank])
+        rank, string, offset, before, block = suffixes.shard_transform(strings, sizes, 11)
         whole = [bytes(strings[i][: sizes[i]]) for i in rank]
         rows = [whole[i][o:] for i, o in zip(string.tolist(), offset.tolist())]
         assert rows == sorted(rows) and [whole[i][o - 1] for i, o in zip(string.tolist(), offset.tolist())] == before.tolist()
-        for a, b, c in zip(rows, rows[1:], common[1:].tolist()):
-            assert a[:c] == b[:c] and (a[c : c + 1] != b[c : c + 1] or a == b)
+        assert [a[:11] == b[:11] for a, b in zip(rows, rows[1:])] == (np.diff(block) == 0).tolist()
         flat += [(n + i, whole[i], o) for i, o in zip(string.tolist(), offset.tolist())]
         n += len(whole)
         symbols.append(before)
-        shard.append(np.full(len(before), k))
+        shard.append(np.full(len(before), k, np.uint16))
     symbols, shard = np.concatenate(symbols), np.concatenate(shard)
     longer, string, after = suffixes.walk(symbols, shard)
     assert [(i, len(w) - 1 - o) for i, w, o in flat] == list(zip(string.tolist(), after.tolist()))
@@ -139,15 +137,20 @@ def test_transform_without_some_strings_is_that_of_the_others():
     (strings, sizes, high), = shards_of(2, (60,))
     names = np.repeat(np.arange(60, dtype=np.uint64)[:, None] % np.uint64(3), 2, axis=1)
     strings[30:45], sizes[30:45], high[30:45], names[30:45] = strings[:15], sizes[:15], high[:15], names[:15]
-    docs, cores = np.arange(60), np.full(60, 500)
-    gone, begins, string, symbols, left = suffixes.shard_of(strings, sizes, high, names, docs, cores, 10)
-    assert set(range(30, 45)).isdisjoint(left.tolist()) and len(gone) >= 15
-    rank = suffixes.order_of(strings[left])
+    assert not suffixes.distinct(strings, names)[30:45].any() and suffixes.distinct(strings[:30], np.arange(60, dtype=np.uint64).reshape(30, 2)).all()
+    begins, string, symbols, left = suffixes.shard_of(strings, sizes, high, names, np.arange(60) * 1000, 10)
+    assert set(range(30, 45)).isdisjoint(left.tolist()) and len(begins) >= 15
+    rank, *want = suffixes.shard_transform(strings[left], sizes[left], 11)
     assert (rank == np.arange(len(left))).all()
-    want = suffixes.shard_transform(strings[left], sizes[left])
     assert (want[0] == string).all() and (want[2] == symbols).all()
 
 
+def test_spans_become_one():
+    docs, starts, ends = (np.array(x) for x in ([2, 1, 1, 1, 2, 1], [0, 5, 0, 9, 300, 60], [100, 50, 10, 20, 400, 70]))
+    assert [x.tolist() for x in suffixes.runs(docs, starts, ends)] == [[1, 1, 2, 2], [0, 60, 0, 300], [50, 70, 100, 400]]
+    assert [len(x) for x in suffixes.runs(docs[:0], starts[:0], ends[:0])] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_equal_brute_force(spark, seed):
     rows = many_texts(seed)
@@ -308,7 +311,7 @@ def test_links_count_every_pair_that_shares_a_shard(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_AIM", 20)
     monkeypatch.setattr(vectors, "CANDIDATES", 8)
     placed, whole = [], vectors.shards
-    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(whole(nodes)) or placed[0])
+    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(common.checkpoint(whole(nodes))) or placed[0])
     rows = [r for r in vector_rows(3) if r[0] < 500]
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(vector_frame(spark, [(i, v, 0) for i, v, _ in rows])).collect()}
     cells, x = {}, vectors._unit(np.array([v for _, v, _ in rows]))
