@@ -1,20 +1,25 @@
 """Near-duplicate vectors by range search over robust-pruned graphs.
 
 Vectors are compared only with vectors of an equal label and length, by cosine in double precision; a pair is linked
-if it is `least` or more. Equal vectors are one node with a multiplicity. Nodes are dealt to overlapping cluster
+if it is `least` or more. Equal vectors are one node, with a number of its own and a multiplicity. Nodes are dealt to overlapping cluster
 shards: a shard over SHARD_MOST nodes is split around pivots (a bounded sample of it, no two of them closer than
 PIVOT_GAP, so that a dense cluster has one), each node going to its two nearest. Each shard builds a robust-pruned
-graph; a node's lists from all its shards are united. In each shard every node is then searched for: a greedy search
+graph, choosing each node's candidates by one block product, which for shards of this size costs less than searching
+for them; a node's lists from all its shards are united. In each shard every node is then searched for: a greedy search
 from the shard's medoid and the node's own list finds the neighbourhood, which is expanded through all nodes within
 reach. What is found is verified by the cosine itself.
 
+Vectors keep the precision in which they come until they are compared, and a shard's vectors are shuffled once for
+building and searching. No shuffle is by label alone, so that a hot label is split from the start.
+
 The search finds every link of a shard if pruning had all nodes within reach of a node to choose from and dropped one
 only for a kept one nearer to it by ALPHA: from a node a path leads to each linked one, ever nearer to it, hence inside
 `reach`. Nodes with more within reach than CANDIDATES or DEGREE hold are `cut`; a shard that has one is compared by
 full products instead. So all pairs in a shard are seen, and a pair in several counts in the first that both share.
 
-A dense shard that pivots cannot split is compared in pairs of blocks of at most BLOCK nodes.
-`audit` measures recall against all rows for a bounded set of queries.
+A dense shard that pivots cannot split is compared in pairs of blocks of at most BLOCK nodes: as links are counted, its work
+grows with the number of links. `audit` measures recall against all rows for a bounded set of queries; the query
+does so and fails under RECALL_LEAST. Only pairs that no shard holds together can be missed.
 
 Null, zero, null-holding and non-finite vectors, null labels and null ids are linked with nothing. Rows that repeat
 an id are vectors of their own and share its result, their links added up. Further columns are not read. An empty table gives an empty result.
@@ -28,18 +33,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.llm.common import checkpoint, components, table
+from gleaner.operators.sizes import BROADCAST_ROWS
 
 LEAST = 0.93
 SHARD_MOST, SHARD_AIM = 1200, 400
-PIVOTS = 64
+PIVOTS = 1024
 PIVOT_GAP = 0.7
 LEVELS = 8
 BLOCK = 2048
 DEAL = 20_000
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 BEAM = 12
+RECALL_LEAST = 0.9
+#: A cell's rows are met by its count in so many tasks.
+SALTS = 64
 #: Vectors nearer than this (their cosine) have distances too short to be compared.
 SAME = 1 - 5e-13
 
@@ -177,19 +187,31 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Rows (id, label, v) that can have links; v in doubles."""
+    """Rows (id, label, v) that can have links; v in four bytes an element if it comes so, else in doubles."""
     v = F.col("v")
+    kept = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast(kept).alias("v"))
     return rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
 
 
+def with_count(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (cell, ...) with `m`, the number of rows of their cell if it is over `most`, else null."""
+    counts = checkpoint(rows.groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > most))
+    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts), "cell", "left")
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"], "left").drop("salt")
+
+
 def shards(nodes: DataFrame) -> DataFrame:
     """Nodes (id, v) with their `cell`s: a row for each. `nodes` has a first cell for each node."""
+    kind = nodes.schema["v"].dataType.simpleString()
+    v_type = to_arrow_type(nodes.schema["v"].dataType)
 
     def nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"cell": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64())), "whole": pa.array([], pa.bool_())})
+            return pa.table({"cell": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], v_type), "whole": pa.array([], pa.bool_())})
         cell, kept = rows["cell"][0].as_py(), []
         if pivots.num_rows:
             order = np.argsort(pivots["p_id"].to_numpy(), kind="stable")
@@ -199,39 +221,37 @@ def shards(nodes: DataFrame) -> DataFrame:
                     kept.append(i)
         if len(kept) < 2:  # dense: it stays whole
             return pa.table([rows["cell"].combine_chunks(), rows["id"].combine_chunks(), rows["v"].combine_chunks(), pa.array([True] * rows.num_rows)], ["cell", "id", "v", "whole"])
-        sims = _unit(matrix(rows["v"])) @ p[kept].T
-        two = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+        x, centres = _unit(matrix(rows["v"])), p[kept].T
+        two = np.concatenate([np.argsort(-(x[a : a + 2048] @ centres), axis=1, kind="stable")[:, :2] for a in range(0, len(x), 2048)])
         made = np.array([hash((cell, int(names[k]))) for k in kept], np.int64)
         order = pa.array(np.repeat(np.arange(rows.num_rows), 2))
         return pa.table([pa.array(made[two.reshape(-1)]), rows["id"].take(order).combine_chunks(), rows["v"].take(order).combine_chunks(), pa.array([False] * (2 * rows.num_rows))], ["cell", "id", "v", "whole"])
 
     done, open_ = [], nodes.withColumn("whole", F.lit(False))
     for level in range(LEVELS):
-        counts = open_.groupBy("cell").agg(F.count("*").alias("m"))
-        sized = checkpoint(open_.join(counts, "cell"))
-        settled = (F.col("m") <= SHARD_MOST) | F.col("whole")
-        done.append(sized.where(settled).drop("m", "whole"))
-        big = sized.where(~settled)
+        sized = with_count(open_, SHARD_MOST)
+        large = F.col("m").isNotNull() & ~F.col("whole")
+        done.append(sized.where(~large).drop("m", "whole"))
+        big = sized.where(large)
         if not big.limit(1).count():
             break
         deals = F.ceil(F.col("m") / DEAL)
         dealt = big.withColumn("deal", F.pmod(F.xxhash64("id"), deals))
         wanted = F.least(F.lit(4 * PIVOTS), F.ceil(2 * F.col("m") / SHARD_AIM) + 6)
         pivots = big.where(F.pmod(F.xxhash64(F.lit(level), "id"), F.col("m")) < wanted).select(F.col("cell").alias("p_cell"), F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("p_deal"), F.col("id").alias("p_id"), F.col("v").alias("p_v"))
-        open_ = dealt.select("cell", "deal", "id", "v").groupBy("cell", "deal").cogroup(pivots.groupBy("p_cell", "p_deal")).applyInArrow(nearest, "cell bigint, id bigint, v array<double>, whole boolean")
+        open_ = checkpoint(dealt.select("cell", "deal", "id", "v").groupBy("cell", "deal").cogroup(pivots.groupBy("p_cell", "p_deal")).applyInArrow(nearest, f"cell bigint, id bigint, v {kind}, whole boolean"))
     else:
         done.append(open_.drop("whole"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.dropDuplicates(["cell", "id"])
+    return out
 
 
 def tasks(placed: DataFrame) -> DataFrame:
-    """Adds `task`, `block` and the blocks `i`, `j` whose pairs a task counts; large cells meet in pairs of blocks."""
-    counts = placed.groupBy("cell").agg(F.count("*").alias("m"))
-    n = F.when(F.col("m") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-    rows = placed.join(counts, "cell").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("n")).cast("int"))
+    """Adds `block` and the blocks `i`, `j` whose pairs a task counts; large cells meet in pairs of blocks."""
+    n = F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
+    rows = with_count(placed, 2 * BLOCK).withColumn("n", n).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("m", "n", "other")
 
@@ -240,33 +260,38 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """One row per input row: the key, n_links, component_id (smallest key reachable by links), kept (it is that key)."""
     rows = usable(vectors, key, vector, label)
     same = rows.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    name = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(17), "v", "label").alias("h2")]
-    nodes = checkpoint(same.select("id", "n", "v", *name, F.xxhash64(F.lit(5), "label", F.size("v")).alias("cell")))
-    # An id may stand for several nodes if it repeats: nodes have names of their own.
-    nodes = nodes.withColumn("node", F.col("h1"))
-    placed = checkpoint(shards(nodes.select("cell", F.col("node").alias("id"), "v")))
-    cells = placed.groupBy("id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    name = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(17), "v", "label").alias("h2")]  # 128 bits: rows find their nodes by them
+    # An id may stand for several nodes if it repeats: nodes are numbered, and the checkpoint makes the numbers last.
+    nodes = checkpoint(same.select(F.monotonically_increasing_id().alias("node"), "id", "n", "v", *name, F.xxhash64(F.lit(5), "label", F.size("v")).alias("cell")))
+    dealt = tasks(shards(nodes.select("cell", F.col("node").alias("id"), "v"))).select("cell", "i", "j", "block", "id", "v")
+    spots = checkpoint(dealt.select("cell", "i", "j", "id"))
+    cells = spots.groupBy("id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+
+    def once(shard: pa.Table, name: str = "id") -> pa.Table:
+        """A shard's rows by id, each node once: two of its cells may have one name."""
+        return shard.take(pa.array(np.unique(shard[name].to_numpy(), return_index=True)[1]))
 
     def build(shard: pa.Table) -> pa.Table:
+        shard = once(shard)
         ids = shard["id"].to_numpy()
         lists, cut = robust_prune(_unit(matrix(shard["v"])), least)
         return pa.table([pa.array(ids), pa.array([ids[v] for v in lists], pa.list_(pa.int64())), pa.array(cut)], ["id", "near", "cut"])
 
-    def search(shard: pa.Table) -> pa.Table:
-        order = np.argsort(shard["id"].to_numpy(), kind="stable")
-        shard = shard.take(pa.array(order))
+    def search(shard: pa.Table, lists: pa.Table) -> pa.Table:
+        if not shard.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, ["id", "links", "root"])
+        shard, lists = once(shard), once(lists, "r_id")  # both have the same ids
         ids, x = shard["id"].to_numpy(), _unit(matrix(shard["v"]))
         cell, i, j = (shard[c][0].as_py() for c in ("cell", "i", "j"))
         block = shard["block"].to_numpy()
 
         def walked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            near = shard["near"].combine_chunks()
+            near = lists["near"].combine_chunks()
             flat, size = near.flatten().to_numpy(zero_copy_only=False), near.value_lengths().to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
             here = ids[at] == flat  # neighbours in other shards only are no use in this one
             of = np.repeat(np.arange(len(ids)), size)[here]
-            lists = np.split(at[here], np.searchsorted(of, np.arange(1, len(ids))))
-            found = range_search(x, lists, least)
+            found = range_search(x, np.split(at[here], np.searchsorted(of, np.arange(1, len(ids)))), least)
             a, b = np.repeat(np.arange(len(ids)), [len(f) for f in found]), np.concatenate(found).astype(np.int64)
             pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))  # what either end has found
             a, b = pairs // len(ids), pairs % len(ids)
@@ -274,13 +299,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             yield a[mine], b[mine]
 
         # The pair counts here if no earlier cell holds both.
-        own = shard["cells"].to_pylist()
+        own = lists["cells"].to_pylist()
         width = max(map(len, own))
         some = np.array([[c for c in cs if c < cell] + [None] * (width - sum(c < cell for c in cs)) for cs in own], object)
         earlier = np.where(some == None, 0, some).astype(np.int64) if width else np.zeros((len(ids), 0), np.int64)  # noqa: E711
         real = some != None  # noqa: E711
-        n, total, parent = shard["n"].to_numpy(), np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a, b in products(x, np.flatnonzero(block == i), np.flatnonzero(block == j), least) if any(shard["cut"].to_pylist()) else walked():
+        n, total, parent = lists["n"].to_numpy(), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in products(x, np.flatnonzero(block == i), np.flatnonzero(block == j), least) if any(lists["cut"].to_pylist()) else walked():
             counts = np.ones(len(a), bool)
             for u in range(width):
                 for w in range(width):
@@ -289,11 +314,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             parent = merged(parent, a, b)
         return pa.table([pa.array(ids), pa.array(total), pa.array(ids[parent])], ["id", "links", "root"])
 
-    dealt = tasks(placed)
-    lists = dealt.select("cell", "i", "j", "id", "v").groupBy("cell", "i", "j").applyInArrow(build, "id bigint, near array<bigint>, cut boolean")
+    # Building and searching share the exchange of the vectors.
+    held = dealt.groupBy("cell", "i", "j")
+    lists = held.applyInArrow(build, "id bigint, near array<bigint>, cut boolean")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.max("cut").alias("cut"))
-    ready = dealt.join(cells, "id").join(united, "id").join(nodes.select(F.col("node").alias("id"), "n"), "id")
-    found = checkpoint(ready.groupBy("cell", "i", "j").applyInArrow(search, "id bigint, links bigint, root bigint"))
+    ready = spots.join(united, "id").join(cells, "id").join(nodes.select(F.col("node").alias("id"), "n"), "id")
+    ready = ready.select(F.col("cell").alias("r_cell"), F.col("i").alias("r_i"), F.col("j").alias("r_j"), F.col("id").alias("r_id"), "near", "cut", "cells", "n")
+    found = checkpoint(held.cogroup(ready.groupBy("r_cell", "r_i", "r_j")).applyInArrow(search, "id bigint, links bigint, root bigint"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     # Components of nodes, named by their smallest id.
@@ -332,7 +359,12 @@ def audit(vectors: DataFrame, result: DataFrame, key: str = "vec_id", vector: st
 
 
 def op1_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    """All rows, after an audit of a bounded set of queries against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    out = checkpoint(near_duplicates(vectors))
+    if (share := audit(vectors, out)) < RECALL_LEAST:
+        raise RuntimeError(f"op1_vector_near_dedup: recall {share:.3f}")
+    return out
 
 
 #: Rows of op1_vector_near_dedup; its rows have links of a few steps only at the size where this runs.

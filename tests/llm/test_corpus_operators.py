@@ -145,6 +145,13 @@ def test_transform_without_some_strings_is_that_of_the_others():
     assert (want[0] == string).all() and (want[2] == symbols).all()
 
 
+def test_stable_order_equals_a_sort_of_tuples():
+    draw = np.random.default_rng(8)
+    for n in (0, 1, 2, 500):
+        keys = [draw.integers(0, top, n).astype(kind) for top, kind in ((4, np.uint64), (3, np.int8), (1, np.int64), (5, np.int64))]
+        assert suffixes.stable_order(keys).tolist() == sorted(range(n), key=lambda i: tuple(int(k[i]) for k in keys))
+
+
 def test_spans_become_one():
     docs, starts, ends = (np.array(x) for x in ([2, 1, 1, 1, 2, 1], [0, 5, 0, 9, 300, 60], [100, 50, 10, 20, 400, 70]))
     assert [x.tolist() for x in suffixes.runs(docs, starts, ends)] == [[1, 1, 2, 2], [0, 60, 0, 300], [50, 70, 100, 400]]
