@@ -1,4 +1,19 @@
-"""A training corpus from documents in stages, each written as Parquet and read again by the next."""
+"""A training corpus from documents in stages, each written as Parquet and read again by the next.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns, whatever
+their names; all but the last give the columns of their input back. What such cases give:
+
+* null text counts as empty. An empty or blank text is judged by the quality model like any other, has no near
+  copies, repeats or secrets, and is packed as its final token.
+* Rows that repeat an id: equal texts are copies, of which the near-duplicate stage keeps one; unlike texts are documents
+  of their own there. Rows without an id are documents like others but never stand for a class with an id.
+* Of ties in a class of near-duplicates the smallest id stays, of equal rows any.
+* An empty table stays empty, a table without labels keeps all documents at the quality stage.
+* Texts of any length go through whole.
+
+The folders of the stages lie below spark.checkpoint.dir; each is removed when the next stage has been written. The last
+holds the rows that `run` returns and stays.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, packing, quality, secrets, suffixes
-from gleaner.llm.common import rows_of_ids, shared_folder, table
+from gleaner.llm.common import checkpoint, rows_of_ids, shared_folder, table
+from gleaner.operators.sizes import broadcast_if_small
+
+#: Keys of documents that have no id of their own begin here.
+OWN_KEYS = 1 << 62
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +36,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality.score(F.col("text"), model) >= quality.THRESHOLD)
 
 
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id.
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """Documents with a key: their id, or a number of their own if they have none or if unlike texts share it."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    unlike = checkpoint(docs.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b or doc_id is null").select(F.col("doc_id").alias(f"{key}_of"), F.lit(True).alias(f"{key}_own")))
+    if not unlike.limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    marked = docs.join(broadcast_if_small(unlike), F.col("doc_id").eqNullSafe(F.col(f"{key}_of")), "left")
+    own = F.lit(OWN_KEYS) + F.monotonically_increasing_id()
+    return checkpoint(marked.withColumn(key, F.when(F.col(f"{key}_own"), own).otherwise(F.col("doc_id").cast("long"))).drop(f"{key}_of", f"{key}_own"))
+
 
-    Rows that repeat an id are copies: the one with the least text stays. Nothing is known of rows without an id: they stay.
-    """
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return rows_of_ids(docs, kept, "doc_id", "text").unionByName(docs.where("doc_id is null"))
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id."""
+    key = next(name for name in map("key{}".format, range(len(docs.columns) + 1)) if not any(c.startswith(name) for c in docs.columns))
+    rows = keyed(docs, key)
+    kept = minhash.near_duplicates(rows, key=key).where("kept").select(key).distinct()
+    return rows_of_ids(rows, kept, key, "text").drop(key)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
