@@ -5,7 +5,9 @@ them, so the fragments between such cuts are encoded independently and their ids
 repeat far more than pre-tokens do, which makes a bounded memo of fragments pay.
 
 `encode_ids`/`decode_ids` are exact: they give what the tokenizers library gives for the same vocabulary file.
-Null text counts as empty and has no ids; repeated rows give repeated results; further columns are not read.
+Null text counts as empty and has no ids; repeated rows give repeated results; further columns are not read; an empty
+table gives an empty result. A text of any length is encoded whole, a long fragment in n log n; a worker holds the ids
+of about four megabytes of text, or of one text. Of pairs of equal rank the leftmost is merged first.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm.common import byte_list, table, text_list, tokenizer_path
+from gleaner.llm.common import byte_list, small_batches, table, text_list, tokenizer_path
 from gleaner.operators.sizes import spread
 
 # Fixed value: the published pre-token pattern of byte-level BPE.
@@ -156,7 +158,7 @@ def encode_table(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary or tokenizer_path())
-        for batch in batches:
+        for batch in small_batches(batches, text):
             for begin in range(0, batch.num_rows, 500):  # ids are held as numbers of Python: few texts at a time
                 part = batch.slice(begin, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(bpe.encode(x), np.int32) for x in text_list(part.column(1))], pa.list_(pa.int32()))], [key, "ids"])
@@ -183,10 +185,10 @@ def digest_table(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary or tokenizer_path())
-        for batch in batches:
+        for batch in small_batches(batches, text):
             counts, of_ids, of_text = [], [], []
-            for text in text_list(batch.column(1)):
-                ids = bpe.encode(text)
+            for whole in text_list(batch.column(1)):
+                ids = bpe.encode(whole)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -8,7 +8,8 @@ Both work on many frames at once: step i of every frame of a chunk is one array
 
 `encode_payloads` accepts any bytes whose length is a positive multiple of 576; `to_payload` pads a text so (null
 counts as empty). A damaged stream raises ValueError. Equal payloads give equal streams. Repeated rows give
-repeated results; further columns are not read.
+repeated results; further columns are not read; an empty table gives an empty result. A text of any length is one
+stream, worked on in chunks of frames. Of predictors that cost the same, the simplest is taken.
 """
 
 from __future__ import annotations

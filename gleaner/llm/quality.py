@@ -8,7 +8,8 @@ training documents that separates the labels best; a scale fitted on the same ro
 
 `fit` reads a bounded sample of labelled rows (`most_labelled`, by a hash of the id, all of them if there are
 fewer). Scoring reads whole texts and nothing else: not labels, lang, source or ids. Null text counts as empty
-and has a score like any other; repeated rows get equal scores; an empty table, or one whose labels miss a
+and has a score like any other; repeated rows, and texts with equal measures, get equal scores; a text of any length is
+measured whole; an empty table, or one whose labels miss a
 class, gives a model that accepts everything.
 """
 

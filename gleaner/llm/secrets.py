@@ -2,7 +2,7 @@
 
 `scan_secrets` keeps every input row and works row by row: null text counts as empty and gives no spans, repeated
 rows give repeated results, an empty table an empty one. Only the key and the text are read, so further columns
-never clash. Offsets are code points of the whole text, ends exclusive. Every kind is leftmost and
+never clash. A text of any length is scanned whole, in time proportional to it. Offsets are code points of the whole text, ends exclusive. Every kind is leftmost and
 non-overlapping by itself; spans of different kinds may overlap. `redact_secrets` replaces spans in a column.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, table
+from gleaner.llm.common import byte_list, small_batches, table
 from gleaner.operators.sizes import spread
 
 #: Base kinds come first; the order breaks ties of equal starts.
@@ -121,7 +121,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small_batches(batches, text):
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in find_spans(data, automaton)] for data in byte_list(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], [key, "found"])
 

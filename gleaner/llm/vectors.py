@@ -342,15 +342,20 @@ def audit(vectors: DataFrame, result: DataFrame, key: str = "vec_id", vector: st
         return 1.0
     queries = [(r["id"], r["label"], _unit(np.array([r["v"]]))[0]) for r in some]
 
+    asked: dict = {}
+    for at, (_, own, q) in enumerate(queries):
+        asked.setdefault((own, len(q)), []).append(at)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(queries), np.int64)
         for batch in batches:
-            labels, lengths = batch.column(0).to_pylist(), batch.column(1).value_lengths().to_numpy()
-            data = batch.column(1).to_pylist()
-            for k, (_, own, q) in enumerate(queries):
-                of = [i for i, x in enumerate(labels) if x == own and lengths[i] == len(q)]
-                if of:
-                    total[k] += int((_unit(np.array([data[i] for i in of])) @ q >= least).sum())
+            groups: dict = {}
+            for i, found in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist(), strict=True)):
+                if found in asked:
+                    groups.setdefault(found, []).append(i)
+            for found, of in groups.items():
+                x = _unit(matrix(batch.column(1).take(pa.array(of))))
+                total[asked[found]] += (x @ np.stack([queries[at][2] for at in asked[found]]).T >= least).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in queries]), pa.array(total)], ["id", "total"])
 
     truth = rows.select("label", "v").mapInArrow(count, "id bigint, total bigint").groupBy("id").agg((F.sum("total") - 1).alias("total"))

@@ -2,7 +2,9 @@
 
 import gzip
 import random
+import re
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 from pathlib import Path
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import common, minhash, suffixes, vectors, warc
+from gleaner.llm import common, minhash, quality, suffixes, vectors, warc
 from tests.llm import plain
 from tests.llm.data import frame, prose, texts
 
@@ -438,7 +440,9 @@ def test_warc_files(spark, tmp_path):
 def test_pipeline_stages_take_edge_cases(spark, tmp_path):
     labels = [(i, int(i % 3 > 0), 0) for i in range(40)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    rows = [*texts().items(), (None, None), (None, "x y"), (5, texts()[5]), (77, "password=abcdefghijkl " + prose(random.Random(9), 30))]
+    draw = random.Random(9)
+    unlike = prose(draw, 40)
+    rows = [*texts().items(), (None, None), (None, "x y"), (None, "x y"), (5, texts()[5]), (6, unlike), (77, "password=abcdefghijkl " + prose(draw, 30)), (78, prose(draw, 100_000))]
     docs = frame(spark, rows)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
@@ -450,8 +454,43 @@ def test_pipeline_stages_take_edge_cases(spark, tmp_path):
         if stage is not corpus_pipeline.keep_quality:  # learnt from nonsense here: what it keeps is no test
             docs = spark.read.parquet(path)
     pieces = docs.collect()
-    assert {p["doc_id"] for p in pieces} >= {0, 1, 77, None} and 6 not in {p["doc_id"] for p in pieces}
+    kept = Counter(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "keep_one_of_near_copies")).collect())
+    # 5 and a copy of it, 6 the same text and an unlike one, two rows without id and text, two with one text.
+    assert kept[5] == 1 and kept[6] == 1 and kept[None] == 2 and kept[77] == kept[78] == 1
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "keep_one_of_near_copies")).where("doc_id = 6").collect()] == [unlike]
+    assert {p["doc_id"] for p in pieces} >= {0, 1, 77, None}
     assert Counter(p["doc_id"] for p in pieces if p["start"] == 0)[5] == 1
     hidden = spark.read.parquet(str(tmp_path / "hide_secrets")).where("doc_id = 77").first()
     assert "[assign]" in hidden["text"] and hidden["n_chars"] == len(hidden["text"])
     assert spark.read.parquet(str(tmp_path / "drop_repeats")).where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+def test_pipeline_equals_a_plain_chain(spark, tmp_path):
+    """run() row by row against the stages one after the other in plain Python."""
+    from tokenizers import Tokenizer
+
+    draw = random.Random(21)
+    rows = {i: t for i, t in many_texts(5).items() if t is not None}
+    rows |= {3000 + i: re.sub(" ", "!!! ", prose(draw, draw.randint(20, 120)).upper()) for i in range(40)}
+    rows |= {4000 + i: f"{prose(draw, 30)} token=abcdefghijkl{i:04d} AKIAABCDEFGHIJKLMN{i:02d} {prose(draw, 10)}" for i in range(20)}
+    labels = [(i, int(not 3000 <= i < 4000), 0) for i in rows if i % 2]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame(spark, list(rows.items()), extra=False).selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = quality.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    good = {i: t for i, t in rows.items() if model.scores(np.array([quality.measures(t)]))[0] >= quality.THRESHOLD}
+    assert 0 < len(good) < len(rows)
+    of = plain.classes(good, minhash.LEAST, minhash.STEPS)
+    one = {i: t for i, t in good.items() if of[i] == i}
+    left = {i: kept.decode("utf-8", "ignore") for i, (_, _, _, kept) in suffixes.brute_force(one).items()}
+    hidden = {i: re.sub(r"token=abcdefghijkl\d{4}", "[assign]", re.sub(r"AKIAABCDEFGHIJKLMN\d\d", "[access]", t)) for i, t in left.items()}
+    library = Tokenizer.from_file(common.tokenizer_path())
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in hidden.items()}
+    pieces = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda p: (p["doc_id"], p["start"]))
+    assert {p["doc_id"] for p in pieces} == set(ids) and len(one) < len(good) and any(left[i] != one[i] for i in one) and any(hidden[i] != left[i] for i in one)
+    at = Counter()
+    for p in pieces:
+        part = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert p["start"] == at[p["doc_id"]] and p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and p["doc_tokens"] == len(ids[p["doc_id"]]), (p["doc_id"], hidden[p["doc_id"]])
+        at[p["doc_id"]] += p["length"]
+    assert all(at[i] == len(x) for i, x in ids.items())

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -200,6 +201,53 @@ def test_packing_cuts_cost_least():
         assert sum(20 - g for g in gaps) + sum(pen[c] for c in chosen) == best_cost(places.tolist(), cuts.tolist(), 20)
 
 
+def test_very_long_texts_in_the_other_operators(spark):
+    """A few megabytes: encoded, stored as media, scanned for secrets and licences, scored."""
+    draw = random.Random(15)
+    long = prose(draw, 300_000) + " token=abcdefghijklmnop MIT license " + "0123456789abcdef" * 60_000
+    docs = frame(spark, [(1, long), (2, None)])
+    assert {r["doc_id"]: r["decoded_sha256"] for r in bpe.digest_table(docs).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    media = {r["doc_id"]: r for r in flac.digest_table(flac.encode_table(docs)).collect()}
+    assert media[1]["payload_sha256"] == hashlib.sha256(flac.to_payload(long.encode())).hexdigest() and media[1]["n_bytes"] == len(long)
+    found = {r["doc_id"]: r for r in secrets.digest(secrets.scan_secrets(docs)).collect()}
+    want = secrets.brute_force(long)
+    assert {k: found[1][k] for k in want} == want and found[1]["n_hex"] == 1 and found[1]["n_assign"] == 1
+    assert {r["doc_id"]: [p["label"] for p in r["places"]] for r in licenses.scan_licenses(docs).collect()} == {1: ["mit"], 2: []}
+    model = quality.fit(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert all(0 <= r["s"] <= 1 for r in docs.select(quality.score(docs["text"], model).alias("s")).collect())
+
+
+def plain_score(text, model):
+    """Score of one text, measured character by character and summed bin by bin."""
+    data = (text or "").encode()
+    n, words = max(1, len(data)), data.split()
+    w = max(1, len(words))
+    share = lambda chars: sum(b in chars for b in data) / n
+    classes = [range(65, 91), b"#$%&*+/<=>@[\\]^_`{|}~!", b"\"'(),-.:;?", range(48, 58), b" \t\n\r\x0b\x0c", range(128, 256)]
+    lines = data.split(b"\n")
+    values = [*map(share, classes), len(data) / w, len(set(words)) / w, max((words.count(x) for x in set(words)), default=0) / w, sum(x == y for x, y in zip(words, words[1:])) / w, len(set(lines)) / len(lines), len(zlib.compress(data, 1)) / (n + 20), math.log(1 + len(words))]
+    strength, begin = 0.0, 0
+    for value, edges in zip(values, model.edges, strict=True):
+        strength += model.weights[begin + sum(e <= value for e in edges)]
+        begin += len(edges) + 1
+    return 1 / (1 + math.exp(-model.scale * (strength - model.threshold) - math.log(0.3 / 0.7)))
+
+
+def test_quality_scores_equal_plain_sums(spark):
+    draw = random.Random(18)
+    good = [(i, prose(draw, draw.randint(20, 90)).capitalize() + ".") for i in range(80)]
+    bad = [(1000 + i, re.sub(" ", "!!! ", prose(draw, draw.randint(20, 90)).upper())) for i in range(40)]
+    docs = frame(spark, [*good, *bad, *((5000 + i, t) for i, t in texts().items())])
+    labels = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad]
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    for row in docs.select("text", quality.score(docs["text"], model).alias("s")).collect():
+        assert row["s"] == pytest.approx(plain_score(row["text"], model), abs=1e-9), row["text"]
+    # Preferences are learnt: most pairs of a better and a worse text outside the fold are ordered so.
+    scores = {i: plain_score(t, model) for i, t in [*good, *bad]}
+    won = [scores[i] > scores[j] for i, _ in good for j, _ in bad if zlib.crc32(str(i).encode()) % 5 == 0 == zlib.crc32(str(j).encode()) % 5]
+    assert len(won) > 20 and sum(won) / len(won) > 0.95
+
+
 def payloads():
     draw = np.random.default_rng(0)
     data = [(t or "").encode() for t in texts().values()] + [b"a" * 576, draw.integers(0, 256, 9000).astype(np.uint8).tobytes(), b"\xff\xf8\x24\x02" * 500, bytes(range(256)) * 400, (np.sin(np.arange(90_000) / 9) * 100 + 128).astype(np.uint8).tobytes()]
