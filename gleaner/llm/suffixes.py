@@ -51,7 +51,9 @@ STEP = 10
 #: Occurrences of an anchor from which on each of its windows goes its own way.
 HOT = 200_000
 #: Bytes worked on at once in anchor search; strings of a shard sorted at once; symbols merged at once.
-CHUNK, STRINGS, SYMBOLS = 1_000_000, 60_000, 250_000
+CHUNK, STRINGS, SYMBOLS = 1_000_000, 15_000, 250_000
+#: Shares of a slice that are merged one after the other.
+SHARES = 16
 #: Text of a group of documents, about: a task holds it with its strings, some twenty times as much at the worst.
 GROUP_BYTES = 32_000_000
 ANCHOR_BITS = 48
@@ -183,6 +185,40 @@ def core_names(data: np.ndarray, core: np.ndarray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join([name(raw[a : a + size]) for a in core.tolist()]), "<u8").reshape(-1, 2)
 
 
+def stable_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The stable order of rows by several keys, the first before all. Only rows that are still tied meet the next key:
+    a plain sort of one number a row is many times faster than a stable one of several."""
+    order = np.argsort(keys[0])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = keys[0][order[1:]] != keys[0][order[:-1]]
+    for key in (*keys[1:], None):
+        tied = ~fresh
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        rows, group = order[at], np.cumsum(fresh[at])
+        if key is None:
+            second = rows
+        else:
+            value = key[rows]
+            by_value = np.argsort(value)
+            steps = np.zeros(len(rows), np.int64)
+            steps[1:] = value[by_value[1:]] != value[by_value[:-1]]
+            second = np.empty(len(rows), np.int64)
+            second[by_value] = np.cumsum(steps)
+        both = (group << 32) | second
+        by_both = np.argsort(both)
+        order[at], both = rows[by_both], both[by_both]
+        fresh[at[1:]] = both[1:] != both[:-1]
+    return order
+
+
+def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n equal ranges that hashes are in."""
+    return (hashes >> _U(33)).astype(np.int64) * n >> 31
+
+
 def keys_of(rows: np.ndarray, width: int) -> list[np.ndarray]:
     """Numbers in the order of the `width` bytes from each place of each row on, eight bytes in each; rows have room for them."""
     n, room = rows.shape
@@ -200,14 +236,14 @@ def shard_transform(strings: np.ndarray, sizes: np.ndarray, depth: int) -> tuple
     width = -(-most // 8) * 8
     rows = np.zeros((n, most + width), np.uint8)
     rows[:, :most] = strings
-    rank = np.lexsort([k[:, 0].astype(_U) for k in keys_of(rows, width)][::-1])
+    rank = stable_order([k[:, 0].astype(_U) for k in keys_of(rows, width)])
     rows, sizes = rows[rank], sizes[rank]
     whole = np.arange(most) < sizes[:, None]
     string, offset = np.nonzero(whole)
     keys = [k[whole].astype(_U) for k in keys_of(rows, width)]
     before = np.full((n, most), END, np.uint8)
     before[:, 1:] = rows[:, : most - 1]
-    order = np.lexsort(keys[::-1])
+    order = stable_order(keys)
     fresh = np.zeros(len(order), bool)
     for k, key in enumerate(keys[: -(-depth // 8)]):
         sorted_key = key[order] >> _U(8 * max(0, 8 * (k + 1) - depth))
@@ -258,7 +294,7 @@ def merge_transforms(symbols: np.ndarray, longer: np.ndarray, depth: int) -> tup
 
 def places(names: np.ndarray, docs: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of strings by the names of their cores and where they stand, and the numbers of the names."""
-    order = np.lexsort((cores, docs, names[:, 1], names[:, 0]))
+    order = stable_order([names[:, 0], names[:, 1], docs, cores])
     rank, name = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     sorted_names = names[order]
@@ -346,7 +382,7 @@ def distinct(strings: np.ndarray, names: np.ndarray) -> np.ndarray:
     h = names[:, 0].copy()
     for k, key in enumerate(rows.view(_U).T):
         h = mix(h * _MULT[k] + key)
-    order = np.argsort(h, kind="stable")
+    order = stable_order([h])
     # Strings that only have the hash in common are told apart by all that they are; at worst equal ones stay twice.
     same = (names[order[1:]] == names[order[:-1]]).all(1) & (rows[order[1:]] == rows[order[:-1]]).all(1)
     out = np.ones(n, bool)
@@ -418,7 +454,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rest = ["rest"] * bool(carry)
     rest_type = to_arrow_type(docs.schema["rest"].dataType) if carry else None
     groups = groups_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], GROUP_BYTES)
-    slices = max(groups // 4, groups_for(spark, 0, GROUP_BYTES))
+    slices = groups  # of the anchors' hashes, and of the cores' names
     side = length - gram
     blob_kind = "g int, kind string, data binary"
     bounds_of_slices = (np.arange(1, slices, dtype=np.float64) / slices * 2.0**ANCHOR_BITS).astype(_U)
@@ -514,12 +550,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             core, i, j = bands(at[chosen], low[chosen], high[chosen], side, width)
             by_core = np.argsort(core, kind="stable")
             core, i, j = core[by_core], i[by_core], j[by_core]
-            # Parts of the cores are shards by themselves.
             names = np.concatenate([core_names(data, core[a : a + STRINGS], length - width) for a in range(0, len(core), STRINGS)] or [np.zeros((0, 2), _U)])
-            parts = max(1, -(-len(core) // STRINGS))
-            part = names[:, 1] % _U(parts)
+            # Ranges of the names are shards by themselves: shares of a slice are in one or two of them.
+            ranges = max(1, -(-len(core) // STRINGS))
+            part = dealt(names[:, 0], ranges)
             by_part = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[by_part], np.arange(parts + 1))
+            cut = np.searchsorted(part[by_part], np.arange(ranges + 1))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b > a:
                     some = by_part[a:b]
@@ -531,16 +567,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     begin, string, symbols, left = shard_of(strings[kinds], sizes[kinds], j[some], names[some], core[some], width)
                     spans.append((begin, begin + length))
                     # Rows of a slice's strings alone are its transform.
-                    slice_of = (names[some[left], 0] >> _U(33)).astype(np.int64) * slices >> 31
+                    slice_of = dealt(names[some[left], 0], slices * SHARES)
                     order, rows = np.argsort(slice_of, kind="stable"), np.argsort(slice_of[string], kind="stable")
                     left = some[left[order]]
                     edge = np.flatnonzero(np.diff(slice_of[order], prepend=-1))
                     ends, last = np.append(edge[1:], len(order)), np.searchsorted(slice_of[string][rows], slice_of[order[edge]], side="right")
                     doc = np.searchsorted(bounds, core[left], side="right") - 1
                     packed = np.ascontiguousarray(names[left]).view("V16").reshape(-1), ids[doc].astype("<i8"), (core[left] - bounds[doc]).astype("<i4")
-                    symbols = symbols[rows].tobytes()
+                    symbols, parcels = symbols[rows].tobytes(), {}
                     for lo, hi, r_lo, r_hi in zip(edge.tolist(), ends.tolist(), [0, *last[:-1].tolist()], last.tolist(), strict=True):
-                        out.append((int(slice_of[order[lo]]), "shard" if width else "hot", source + _pack(*(x[lo:hi] for x in packed)) + symbols[r_lo:r_hi]))
+                        slice_, share = divmod(int(slice_of[order[lo]]), SHARES)
+                        parcel = _pack(*(x[lo:hi] for x in packed)) + symbols[r_lo:r_hi]
+                        parcels.setdefault(slice_, []).append(np.array([share, len(parcel)], "<u4").tobytes() + parcel)
+                    out += [(slice_, "shard" if width else "hot", source + b"".join(x)) for slice_, x in parcels.items()]
         if spans:
             s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
             doc = np.searchsorted(bounds, s, side="right") - 1
@@ -554,13 +593,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         rows = []
         kinds, found = slice_["kind"].to_pylist(), slice_["data"].to_pylist()
         rows += [(int(np.frombuffer(data, "<i4", 1)[0]), kind, data[4:]) for kind, data in zip(kinds, found, strict=True) if kind == "span"]
-        for wanted, width in (("shard", step), ("hot", 0)):
-            parts, symbols, groups_of = [], [], []
-            for data in (d for k, d in zip(kinds, found, strict=True) if k == wanted):
-                columns, rest = _unpack(data[4:], "V16", "<i8", "<i4")
+        shares: dict[tuple, list] = {}
+        repeated = []
+        for kind, data in zip(kinds, found, strict=True):
+            g, at = int(np.frombuffer(data, "<i4", 1)[0]), 4
+            while kind != "span" and at < len(data):
+                share, size = np.frombuffer(data, "<u4", 2, at).tolist()
+                shares.setdefault((kind, share), []).append((g, data[at + 8 : at + 8 + size]))
+                at += 8 + size
+        for kind, share in sorted(shares):
+            width, parts, symbols, groups_of = step if kind == "shard" else 0, [], [], []
+            for g, parcel in shares.pop((kind, share)):
+                columns, rest = _unpack(parcel, "V16", "<i8", "<i4")
                 parts.append(columns)
                 symbols.append(np.frombuffer(rest, np.uint8))
-                groups_of.append(int(np.frombuffer(data, "<i4", 1)[0]))
+                groups_of.append(g)
             if parts:
                 names, d, core = (np.concatenate(x) for x in zip(*parts, strict=True))
                 g = np.repeat(groups_of, [len(x[0]) for x in parts])
@@ -568,7 +615,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 string, begin = merged_repeats(np.concatenate(symbols), of, names.view("<u8").reshape(-1, 2), d, core.astype(np.int64), width)
                 doc, s, e = runs(d[string], begin, begin + length)
                 known, at = np.unique(d, return_index=True)
-                rows += _spans(g[at[np.searchsorted(known, doc)]], doc, s, e)
+                repeated.append((g[at[np.searchsorted(known, doc)]], doc, s, e))
+        if repeated:
+            rows += _spans(*(np.concatenate(x) for x in zip(*repeated, strict=True)))
         return blobs(rows)
 
     @trimmed
