@@ -24,6 +24,18 @@ def term_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("item_id", F.col("len").cast("long").alias("doc_len"), F.size(F.array_distinct("tokens")).cast("long").alias("distinct_terms"))
 
 
+def term_counts(tokens: Column) -> Column:
+    """Array of (token, tf): runs in the sorted tokens, without leaving the row."""
+
+    def counted(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        # Each array is bound to a name before lambdas use it, or they would make it again for each element.
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), n) - i).alias("tf"))))[0]
+
+    return F.when(F.size(tokens) > 0, F.transform(F.array(F.array_sort(tokens)), counted)[0])
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n items and avgdl, 0 for an empty corpus."""
     return tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
@@ -38,17 +50,18 @@ def idf(tokens: DataFrame) -> DataFrame:
 def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B, tokenizer: Callable[[Column], Column] = normalized_tokens) -> DataFrame:
     """(query_id, item_id, score) of every pair that shares a term; repeated query terms count once.
 
-    The corpus is read and tokenized once. Tokens that no query has go before the only large shuffle, which is by item:
-    frequencies, joined terms and sums of an item then stay in one task. An empty token for each item rides along and
-    carries the corpus statistics; all three uses share the exchange.
+    The corpus is read and tokenized once, and terms are counted inside the rows. Terms that no query has go before the
+    only large shuffle, which is by item: joined terms and sums of an item then stay in one task. An empty term for
+    each item rides along and carries the corpus statistics; all three uses share the exchange.
     """
     tokens = tokenized(corpus, tokenizer)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("token"))
     small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda df: df
     vocabulary = terms.select("token").union(queries.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
-    rows = tokens.select("item_id", "len", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).join(hint(vocabulary), "token", "left_semi").repartition("item_id")
-    tf = rows.groupBy("item_id", "len", "token").agg(F.count("*").alias("tf"))
+    ride = F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("tf")))
+    rows = tokens.select("item_id", "len", F.explode(F.concat(ride, F.coalesce(term_counts(F.col("tokens")), F.slice(ride, 1, 0)))).alias("t")).select("item_id", "len", "t.token", "t.tf")
+    tf = rows.join(hint(vocabulary), "token", "left_semi").repartition("item_id").groupBy("item_id", "len", "token").agg(F.sum("tf").alias("tf"))
     whole = F.col("token") == ""
     stats = tf.agg(F.count_if(whole).alias("n"), F.avg(F.when(whole, F.col("len"))).alias("avgdl"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.normalize import clean_upper, single_blanks
+from gleaner.operators.lineage import checkpoint
+from gleaner.operators.ranges import quantiles, same
 
 
 def combine(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("left", "right")) -> DataFrame:
@@ -58,8 +60,11 @@ def first_codes(rows: DataFrame, most: int | None = None, codes: list[int] | Non
 
 def length_stats(texts: DataFrame, tokenizer: Callable[[Column], Column], by: str, short: int = 30) -> DataFrame:
     """Number, lengths in tokens and characters, and share of short texts, by group."""
-    rows = texts.select(by, F.length("text").alias("chars"), F.size(tokenizer(F.col("text"))).alias("tokens"))
-    return rows.groupBy(by).agg(F.count("*").alias("docs"), F.sum("tokens").cast("long").alias("tokens"), F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.avg("tokens").alias("mean_tokens"), F.median("tokens").alias("median_tokens"), (100 * F.avg((F.col("chars") <= short).cast("double"))).alias("short_pct"))
+    rows = checkpoint(texts.select(by, F.length("text").alias("chars"), F.size(tokenizer(F.col("text"))).alias("tokens")))
+    out = rows.groupBy(by).agg(F.count("*").alias("docs"), F.sum("tokens").cast("long").alias("sum"), F.avg("chars").alias("mean_chars"), F.avg("tokens").alias("mean_tokens"), (100 * F.avg((F.col("chars") <= short).cast("double"))).alias("short_pct"))
+    for c in ("chars", "tokens"):
+        out = same(out, quantiles(rows, c, [0.5], [by]).select(by, F.col("q")[0].alias(f"median_{c}")), [by])
+    return out.select(by, "docs", F.col("sum").alias("tokens"), "mean_chars", "median_chars", "mean_tokens", "median_tokens", "short_pct")
 
 
 def vocabulary_overlap(texts: DataFrame, tokenizer: Callable[[Column], Column], by: str, a: str, b: str) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import clamp, finite
+from gleaner.operators.lineage import checkpoint
+from gleaner.operators.ranges import running
+from gleaner.operators.ranking import query_keys
+from gleaner.operators.sizes import broadcast_if_small
 
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -19,15 +23,16 @@ def _points(by: Sequence[str]) -> list[Column]:
 
 def _totals(flagged: DataFrame, relevant: DataFrame, by: Sequence[str]) -> DataFrame:
     """Relevant items of all queries of each method, found or not."""
-    return flagged.select(*by, "query_id").distinct().join(relevant, "query_id").groupBy(*by).agg(F.sum("relevant").alias("total"))
+    keys = query_keys(flagged, relevant)
+    return flagged.select(*by, *keys).distinct().join(relevant, keys).groupBy(*by).agg(F.sum("relevant").alias("total"))
 
 
 def by_rank(flagged: DataFrame, relevant: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """A point for each rank cutoff, and the leading one (rank 0, precision 1, recall 0)."""
     counts = flagged.groupBy(*by, "rank").agg(F.sum("flag").alias("h"), F.count("*").alias("n"))
     over = Window.partitionBy(*by).orderBy("rank").rowsBetween(*UP_TO_HERE)  # one row for each rank: few
-    running = counts.withColumn("hits", F.sum("h").over(over)).withColumn("returned", F.sum("n").over(over)).join(_totals(flagged, relevant, by), list(by))
-    points = running.select(*_points(by), F.col("rank").cast("long").alias("rank"))
+    summed = counts.withColumn("hits", F.sum("h").over(over)).withColumn("returned", F.sum("n").over(over)).join(_totals(flagged, relevant, by), list(by))
+    points = summed.select(*_points(by), F.col("rank").cast("long").alias("rank"))
     zero = F.lit(0).cast("long")
     return points.unionByName(flagged.select(*by).distinct().select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), zero.alias("hits"), zero.alias("returned"), zero.alias("rank")))
 
@@ -35,16 +40,29 @@ def by_rank(flagged: DataFrame, relevant: DataFrame, by: Sequence[str] = ("metho
 def by_threshold(flagged: DataFrame, relevant: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """A point for each distinct score, tied rows together, and the leading one (null threshold, precision 1, recall 0).
 
-    Rows are added up by score first, so that the running sums see distinct scores only. Scores that are null, NaN
-    or infinite are left out.
+    Rows are added up by score first, so that the running sums see distinct scores only, by ranges if they are many.
+    Scores that are null, NaN or infinite are left out.
     """
-    usable = flagged.where(finite(F.col("score")))
-    counts = usable.groupBy(*by, "score").agg(F.sum("flag").alias("h"), F.count("*").alias("n"))
-    over = Window.partitionBy(*by).orderBy(F.col("score").desc()).rangeBetween(*UP_TO_HERE)
-    running = counts.withColumn("hits", F.sum("h").over(over)).withColumn("returned", F.sum("n").over(over)).join(_totals(flagged, relevant, by), list(by))
-    points = running.select(*_points(by), F.col("score").alias("threshold"), F.col("total").cast("long").alias("total_relevant"))
+    return pooled_by_threshold([(flagged, relevant)], by)
+
+
+def pooled_by_threshold(sets: Sequence[tuple[DataFrame, DataFrame]], by: Sequence[str] = ("method",)) -> DataFrame:
+    """The threshold curve of several sets of queries (their flagged rankings and relevant counts) pooled into one: the scores of all
+    sets meet in one list, and totals add up. A query that is in two sets counts in both."""
+    counts, totals = None, None
+    for flagged, relevant in sets:
+        flagged = checkpoint(flagged.select(*by, *query_keys(flagged), "score", "flag"))
+        n = flagged.where(finite(F.col("score"))).groupBy(*by, "score").agg(F.sum("flag").alias("h"), F.count("*").alias("n"))
+        t = _totals(flagged, relevant, by)
+        counts, totals = n if counts is None else counts.unionByName(n), t if totals is None else totals.unionByName(t)
+    if len(sets) > 1:
+        counts = counts.groupBy(*by, "score").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
+        totals = totals.groupBy(*by).agg(F.sum("total").alias("total"))
+    totals = checkpoint(totals)
+    points = running(counts, "score", {"hits": "h", "returned": "n"}, by, descending=True).join(totals, list(by))
+    points = points.select(*_points(by), F.col("score").alias("threshold"), F.col("total").cast("long").alias("total_relevant"))
     zero = F.lit(0).cast("long")
-    lead = _totals(flagged, relevant, by).select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), zero.alias("hits"), zero.alias("returned"), F.lit(None).cast("double").alias("threshold"), F.col("total").cast("long").alias("total_relevant"))
+    lead = totals.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), zero.alias("hits"), zero.alias("returned"), F.lit(None).cast("double").alias("threshold"), F.col("total").cast("long").alias("total_relevant"))
     return points.unionByName(lead)
 
 
@@ -58,17 +76,18 @@ def step_ap(curve: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
 def interpolated(curve: DataFrame, by: Sequence[str] = ("method",), levels: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """(by, recall, precision): the best precision at this recall or more, at all levels; 0 beyond the last.
 
-    levels: one column `recall`; by default the recalls of all curves, 0 and 1. Points and levels are sorted once, and
-    one suffix maximum serves both.
+    levels: one column `recall`; by default the recalls of all curves, 0 and 1. Points and levels are one list, and
+    one running maximum from its end serves both.
     """
-    points = curve.groupBy(*by, F.round(clamp(F.col("recall")), digits).alias("recall")).agg(F.max(clamp(F.col("precision"))).alias("p"))
+    points = checkpoint(curve.groupBy(*by, F.round(clamp(F.col("recall")), digits).alias("recall")).agg(F.max(clamp(F.col("precision"))).alias("p")))
     spark = curve.sparkSession
     ends = spark.range(2).select(F.col("id").cast("double").alias("recall"))
     levels = (points.select("recall").union(ends) if levels is None else levels.select(F.round(clamp(F.col("recall")), digits).alias("recall"))).distinct()
-    wanted = points.select(*by).distinct().crossJoin(F.broadcast(levels) if levels.count() <= 100_000 else levels)  # methods are few
+    wanted = points.select(*by).distinct().crossJoin(broadcast_if_small(levels))  # methods are few
     both = points.withColumn("wanted", F.lit(0)).unionByName(wanted.withColumn("p", F.lit(None).cast("double")).withColumn("wanted", F.lit(1)))
-    best = F.max("p").over(Window.partitionBy(*by).orderBy("recall").rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumn("precision", F.coalesce(best, F.lit(0.0))).where("wanted = 1").select(*by, "recall", "precision")
+    once = both.groupBy(*by, "recall").agg(F.max("p").alias("p"), F.max("wanted").alias("wanted"))
+    best = running(once, "recall", {"best": "p"}, by, descending=True, most=True)
+    return best.where("wanted = 1").select(*by, "recall", F.coalesce("best", F.lit(0.0)).alias("precision"))
 
 
 def wide(curve: DataFrame, methods: Sequence[str], column: str = "method") -> DataFrame:

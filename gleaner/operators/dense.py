@@ -1,4 +1,8 @@
-"""Exact dense retrieval: blocks of queries against partitions of vectors, the local best of each kept."""
+"""Exact dense retrieval: blocks of queries meet blocks of vectors, the best of each task kept.
+
+Blocks are rows of a DataFrame: numbers and a matrix of doubles. Blocks of queries are broadcast if they are few, a
+checked number; else each block of vectors is sent to every block of queries by an exchange.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,11 @@ from pyspark.sql import functions as F
 from gleaner.operators.ranking import top_k
 
 QUERY_BLOCK = 4096
+#: Blocks of queries that are broadcast; a block of 1,024 dimensions has 32 MB.
+BLOCKS_MOST = 8
 #: Local candidates beyond k, so that scores which tie once rounded are not cut by chance.
 MARGIN = 1e-6
+BLOCK = "ids binary, rows binary"
 
 
 def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
@@ -22,41 +29,94 @@ def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
     return flat.reshape(len(column), -1)[:, :dims]
 
 
+def _packed(ids: pa.Array, vectors: pa.Array, dims: int | None) -> tuple[list[bytes], list[bytes]]:
+    return [ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()], [np.ascontiguousarray(_matrix(vectors, dims)).tobytes()]
+
+
+def _unpacked(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids, "<i8")
+    return numbers, np.frombuffer(rows, np.float64).reshape(len(numbers), -1)
+
+
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dims: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) by dot product in doubles. queries: (query_id, embedding); corpus: (item_id, embedding).
 
-    Queries travel in blocks of QUERY_BLOCK, whose size bounds what a task holds; null vectors are left out. Each
-    task sends k rows and ties for a query at most.
+    Null vectors are left out. A task holds a block of queries and one of vectors at a time, and sends k rows and ties
+    for each of its queries at most.
     """
     queries, corpus = (df.where(F.col("embedding").isNotNull()) for df in (queries, corpus))
-    total, found = queries.count(), None
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.select("query_id", "embedding").toPandas()
-        if rows.empty:
-            continue
-        ids, q = rows["query_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)[:, :dims]
-        more = corpus.select("item_id", "embedding").mapInArrow(_local_best(ids, q, k, dims), "query_id bigint, item_id bigint, score double")
-        found = more if found is None else found.unionByName(more)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, score double")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
+    def seal(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, rows = _packed(group["query_id"].combine_chunks(), group["embedding"].combine_chunks(), dims)
+        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array(ids, pa.binary()), pa.array(rows, pa.binary())], ["block", "q_ids", "q_rows"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(begin, QUERY_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _packed(part.column(0), part.column(1), dims)], ["ids", "rows"])
+
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding").groupBy("block").applyInArrow(seal, "block int, q_ids binary, q_rows binary")
+    parts = corpus.select("item_id", "embedding").mapInArrow(cut, BLOCK)
+    if blocks <= BLOCKS_MOST:
+        met = parts.crossJoin(F.broadcast(asked))  # at most BLOCKS_MOST rows
+    else:
+        met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
+    found = met.select("block", "q_ids", "q_rows", "ids", "rows").mapInArrow(_local_best(k), "query_id bigint, item_id bigint, score double")
     return top_k(found, k)
 
 
-def _local_best(ids: np.ndarray, q: np.ndarray, k: int, dims: int | None) -> Callable:
+class Best:
+    """The k best items and ties of each query of a block, over all blocks of vectors that a task meets."""
+
+    def __init__(self, ids: bytes, rows: bytes, k: int):
+        (self.ids, self.q), self.k = _unpacked(ids, rows), k
+        self.least = np.full(len(self.ids), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def meet(self, items: np.ndarray, x: np.ndarray) -> None:
+        s = self.q @ x.T
+        if len(items) > self.k:  # no item below the k-th of this block is among the k best
+            self.least = np.maximum(self.least, np.partition(s, len(items) - self.k, axis=1)[:, len(items) - self.k])
+        a, b = np.nonzero(s >= self.least[:, None] - MARGIN)
+        self.held.append((a, items[b], s[a, b]))
+        self.size += len(a)
+        if self.size > 4 * self.k * len(self.ids):
+            self.prune()
+
+    def prune(self) -> None:
+        a, items, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-s, a))
+        a, items, s = a[order], items[order], s[order]
+        start = np.searchsorted(a, np.arange(len(self.ids)))
+        last = start + self.k - 1
+        full = np.bincount(a, minlength=len(self.ids)) >= self.k
+        self.least[full] = np.maximum(self.least[full], s[last[full]])
+        keep = s >= self.least[a] - MARGIN
+        self.held, self.size = [(a[keep], items[keep], s[keep])], int(keep.sum())
+
+    def rows(self) -> pa.RecordBatch:
+        self.prune()
+        a, items, s = self.held[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(items), pa.array(s)], ["query_id", "item_id", "score"])
+
+
+def _local_best(k: int) -> Callable:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, Best] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, items = _matrix(batch.column(1), dims), batch.column(0).to_numpy()
-            s = q @ x.T
-            if len(items) > k:
-                least = np.partition(s, len(items) - k, axis=1)[:, len(items) - k]
-                a, b = np.nonzero(s >= least[:, None] - MARGIN)
-            else:
-                a, b = np.nonzero(np.ones_like(s, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(items[b]), pa.array(s[a, b])], ["query_id", "item_id", "score"])
+            for i in range(batch.num_rows):
+                block, q_ids, q_rows, ids, rows = (c[i].as_py() for c in batch.columns)
+                if block not in blocks:
+                    if len(blocks) >= BLOCKS_MOST:
+                        yield blocks.pop(next(iter(blocks))).rows()
+                    blocks[block] = Best(q_ids, q_rows, k)
+                blocks[block].meet(*_unpacked(ids, rows))
+        for one in blocks.values():
+            yield one.rows()
 
     return best
 

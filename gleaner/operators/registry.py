@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
-from collections.abc import Callable, Iterable
-from threading import Timer
+from collections.abc import Callable, Iterable, Iterator
+from threading import Event, Thread
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import bm25, dense, fusion
+from gleaner.operators.lineage import checkpoint
 
 #: A retriever takes queries (query_id, text, embedding), a corpus (item_id, text, embedding) and k.
 Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -58,6 +60,29 @@ def parse_ids(text: str | None) -> list[int]:
     return [int(x) for x in (text or "").split(",") if x.strip()]
 
 
+@contextlib.contextmanager
+def ended_after(spark: SparkSession, timeout_s: float | None) -> Iterator[None]:
+    """Cancels the jobs that are started inside once the time is over, those that begin later as well."""
+    if not timeout_s:
+        yield
+        return
+    tag, over = f"method-{uuid.uuid4().hex}", Event()
+
+    def watch() -> None:
+        late = not over.wait(timeout_s)
+        while late:
+            spark.sparkContext.cancelJobsWithTag(tag)
+            late = not over.wait(0.5)
+
+    spark.sparkContext.addJobTag(tag)
+    Thread(target=watch, daemon=True).start()
+    try:
+        yield
+    finally:
+        over.set()
+        spark.sparkContext.removeJobTag(tag)
+
+
 def run(queries: DataFrame, corpus: DataFrame, methods: Iterable[str] = DEFAULTS, k: int = 100, timeout_s: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Rankings of all methods (with `method`), and one row (query_id, method, success, error, elapsed_ms) for each query and method.
 
@@ -68,21 +93,13 @@ def run(queries: DataFrame, corpus: DataFrame, methods: Iterable[str] = DEFAULTS
     rankings, outcomes = spark.createDataFrame([], f"{RANKED}, method string"), None
     n = max(1, queries.count())
     for method in methods:
-        began, error, tag = time.perf_counter(), "", f"method-{uuid.uuid4().hex}"
-        spark.addTag(tag)
-        timer = Timer(timeout_s, lambda t=tag: spark.interruptTag(t)) if timeout_s else None
+        began, error = time.perf_counter(), ""
         try:
-            if timer:
-                timer.start()
-            ranked = RETRIEVERS[method](queries, corpus, k).persist()
-            ranked.count()
+            with ended_after(spark, timeout_s):
+                ranked = checkpoint(RETRIEVERS[method](queries, corpus, k))
             rankings = rankings.unionByName(ranked.withColumn("method", F.lit(method)).select(*rankings.columns))
         except Exception as e:  # noqa: BLE001  a failed method is a result
             error = f"{type(e).__name__}: {str(e)[:300]}"
-        finally:
-            if timer:
-                timer.cancel()
-            spark.removeTag(tag)
         rows = queries.select("query_id").withColumn("method", F.lit(method)).withColumn("success", F.lit(not error)).withColumn("error", F.lit(error)).withColumn("elapsed_ms", F.lit((time.perf_counter() - began) * 1000 / n))
         outcomes = rows if outcomes is None else outcomes.unionByName(rows)
     return rankings, outcomes

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokens import jaccard
 from gleaner.operators import curves
-from gleaner.operators.ranking import flags_drop, relevant_counts
+from gleaner.operators.lineage import checkpoint
+from gleaner.operators.ranges import counts_below, quantiles
+from gleaner.operators.ranking import flags_drop, query_keys, relevant_counts
 
 LOWER, UPPER = "lower", "upper"
 
@@ -30,7 +32,8 @@ def wide_metric(metrics: DataFrame, methods: Sequence[str], value: str = "map",
 
 def median_split(per_query: DataFrame, value: str = "jaccard") -> DataFrame:
     """Adds `half`: below the (interpolated) median of all rows or not."""
-    median = per_query.agg(F.median(value).alias("_median"))
+    per_query = checkpoint(per_query)
+    median = quantiles(per_query, value, [0.5]).select(F.col("q")[0].alias("_median"))
     return per_query.crossJoin(F.broadcast(median)).withColumn("half", F.when(F.col(value) < F.col("_median"), LOWER).otherwise(UPPER)).drop("_median")  # broadcast: one row
 
 
@@ -48,26 +51,12 @@ def verdict(summary: DataFrame) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, shares: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), name: str = "bin") -> DataFrame:
     """Adds the number of the right-closed interval between linear quantiles; the least value is in the first, equal edges become one."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, shares)))).alias("_edges"))
+    df = checkpoint(df)
+    edges = quantiles(df, value, shares).select(F.array_distinct("q").alias("_edges"))
     above = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(above, F.lit(1)))).drop("_edges")  # broadcast: one row
 
 
-def counts_below(counts: DataFrame, value: str) -> DataFrame:
-    """Adds `_b`, the sum of `_c` over all smaller values, to rows of distinct numbers and their counts `_c`.
-
-    Values are dealt to ranges between approximate quantiles; only the ranges' totals are summed in one place.
-    """
-    ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = sorted(set(counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.01)))
-    inside = F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value)))
-    dealt = counts.withColumn("_r", inside)
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = dealt.groupBy("_r").agg(F.sum("_c").alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    within = Window.partitionBy("_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(F.broadcast(offsets), "_r").withColumn("_b", F.col("_o") + F.coalesce(F.sum("_c").over(within), F.lit(0))).drop("_r", "_o")
-
-
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds ranks from 1, ties sharing their mean rank. Values are counted first."""
     counts = counts_below(df.groupBy(value).agg(F.count("*").alias("_c")), value)
@@ -77,15 +66,19 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: rank correlation of two columns."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).persist()  # two numbers a row, read six times; lost blocks are made again
+    pairs = checkpoint(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))  # two numbers a row, read several times
     ranked = average_ranks(average_ranks(pairs, a, "_ra"), b, "_rb")
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
-def pooled_curves(ranked: DataFrame, qrels: DataFrame, halves: DataFrame, level_count: int | None = None) -> DataFrame:
-    """Interpolated curve of each method and half, over queries that have a half. Repeats of an item are dropped."""
-    flagged = flags_drop(ranked, qrels).join(halves.select("query_id", "half"), "query_id")
-    curve = curves.by_threshold(flagged, relevant_counts(qrels), ("method", "half"))
+def pooled_curves(ranked: DataFrame, qrels: DataFrame, halves: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
+    """Interpolated curve of each method and half, over queries that have a half. Repeats of an item are dropped.
+
+    If the rankings and the halves have a `source`, a query is known by both its source and its id.
+    """
+    keys = query_keys(ranked, halves)
+    flagged = flags_drop(ranked, qrels).join(halves.select(*keys, "half"), keys)
+    curve = curves.by_threshold(flagged, relevant_counts(qrels) if relevant is None else relevant, ("method", "half"))
     return curves.interpolated(curve, ("method", "half"))
 
 
@@ -110,8 +103,8 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Least, quartiles and largest value of each group."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(F.min(value).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("high"))
+    found = quantiles(df, value, (0.25, 0.5, 0.75), by)
+    return found.select(*by, "low", *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))], "high")
 
 
 def extremes(df: DataFrame, value: str, n: int, order: str) -> DataFrame:

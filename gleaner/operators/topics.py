@@ -9,7 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.tokens import ngrams
+from gleaner.functions.tokens import ngrams, preprocess_topics
+from gleaner.operators.ranking import query_keys
 from gleaner.operators.strata import row_mean
 
 OUTLIER = -1
@@ -67,15 +68,27 @@ def distribution(rows: DataFrame, by: str = "topic") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(by, "n", (100.0 * F.col("n") / F.col("_t")).alias("pct"))  # broadcast: one row
 
 
+def largest(sizes: DataFrame, n: int, by: str = "topic") -> DataFrame:
+    """The n topics with the most rows (by, n, ...); ties by topic."""
+    return sizes.orderBy(F.col("n").desc(), by).limit(n)
+
+
+def long_enough(items: DataFrame, least: int = 3, text: str = "text", prepared: Callable[[Column], Column] = preprocess_topics) -> DataFrame:
+    """Items whose prepared text has `least` characters or more."""
+    return items.where(F.length(prepared(F.col(text))) >= least)
+
+
 def attach(rows: DataFrame, item_topics: DataFrame, key: str) -> DataFrame:
-    """Adds the topic of an item; OUTLIER where it has none."""
-    return rows.join(item_topics.select(F.col("item_id").alias(key), "topic"), key, "left").fillna(OUTLIER, ["topic"])
+    """Adds the topic of an item; OUTLIER where it has none. If both tables have a `source`, an item is known by its source and id."""
+    keys = [*["source"] * ("source" in rows.columns and "source" in item_topics.columns), key]
+    return rows.join(item_topics.withColumnRenamed("item_id", key).select(*keys, "topic"), keys, "left").fillna(OUTLIER, ["topic"])
 
 
 def query_topics(benchmark: DataFrame, item_topics: DataFrame, target_rule: str = "relevant") -> DataFrame:
     """(query_id, topic) by the first relevant item, or by the entry's own code."""
     target = F.try_element_at("relevant_item_ids", F.lit(1)) if target_rule == "relevant" else F.col("codigo")
-    return attach(benchmark.select("query_id", target.alias("target")), item_topics, "target").select("query_id", "topic")
+    keys = query_keys(benchmark)
+    return attach(benchmark.select(*keys, target.alias("target")), item_topics, "target").select(*keys, "topic")
 
 
 def code_maps(items: DataFrame) -> DataFrame:
@@ -85,10 +98,14 @@ def code_maps(items: DataFrame) -> DataFrame:
 
 
 def quality_by_topic(metrics: DataFrame, topics: DataFrame, methods: Sequence[str], value: str = "map", least: int = 5) -> DataFrame:
-    """Means of each method by topic with enough queries, their mean, and the number of queries."""
-    joined = metrics.join(topics, "query_id")
+    """Means of each method by topic with enough queries, their mean, and the number of queries.
+
+    If both tables have a `source`, a query is known by its source and id.
+    """
+    keys = query_keys(metrics, topics)
+    joined = metrics.join(topics.select(*keys, "topic"), keys)
     means = joined.groupBy("topic").pivot("method", list(methods)).agg(F.avg(value))
-    counts = joined.select("query_id", "topic").distinct().groupBy("topic").agg(F.count("*").alias("n_queries"))
+    counts = joined.select(*keys, "topic").distinct().groupBy("topic").agg(F.count("*").alias("n_queries"))
     return means.join(counts, "topic", "left").fillna(0, ["n_queries"]).where(F.col("n_queries") >= least).withColumn("mean_quality", row_mean(*methods))
 
 

@@ -38,5 +38,5 @@ def run_benchmark(
         writers.append_metrics(writers.round_floats(out["summary"]), f"{path}/summary")
         for name in ("rank_curve", "threshold_curve", "interpolated"):
             writers.write_curve(out[name], f"{path}/{name}")
-        writers.write_results(f"{path}/results", metrics=out["metrics"], ap=out["ap"])
+        writers.write_results(path, results=out["metrics"], curves=threshold.select("method", "recall", "precision", "threshold"), ap=out["ap"])
     return out

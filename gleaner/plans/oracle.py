@@ -201,7 +201,7 @@ terms AS (
   ) WHERE rank <= 10
 )"""
 TOPIC_MAP = """
-asked AS (SELECT q.query_id, coalesce(CAST(regexp_extract(d.source, '(\\d+)', 1) AS INTEGER), -1) AS topic FROM qv q LEFT JOIN documents d ON d.doc_id = q.query_id),
+asked AS (SELECT q.query_id, CASE WHEN d.doc_id IS NULL THEN -1 ELSE CAST(d.doc_id // 20 % 6 AS INTEGER) END AS topic FROM qv q LEFT JOIN documents d ON d.doc_id = q.query_id),
 by_topic AS (
   SELECT topic, avg(CASE WHEN method = 'dense' THEN round(map, 6) END) AS dense, avg(CASE WHEN method = 'dense_half' THEN round(map, 6) END) AS dense_half,
          avg(CASE WHEN method = 'hybrid' THEN round(map, 6) END) AS hybrid, count(DISTINCT m.query_id) AS n_queries
@@ -257,6 +257,13 @@ def oracle() -> dict[str, str]:
             SELECT method, round(hits::DOUBLE / returned, 6) AS precision, round(hits::DOUBLE / total, 6) AS recall, CAST(hits AS BIGINT) AS hits, CAST(returned AS BIGINT) AS returned, rank FROM running JOIN totals USING (method)
             UNION ALL SELECT method, 1.0, 0.0, 0, 0, 0 FROM totals"""),
         "pr_by_threshold": dense(f"{THRESHOLD} SELECT method, round(precision, 6) AS precision, round(recall, 6) AS recall, hits, returned, round(threshold, 12) AS threshold, total_relevant FROM curve"),
+        "pr_pooled_sets": dense(f"""{FLAGGED},
+            merged AS (SELECT * FROM flagged WHERE query_id % 40 = 0 UNION ALL SELECT * FROM flagged WHERE query_id % 60 = 0),
+            totals AS (SELECT method, sum(relevant) AS total FROM (SELECT DISTINCT 40 AS s, method, query_id FROM flagged WHERE query_id % 40 = 0 UNION ALL SELECT DISTINCT 60, method, query_id FROM flagged WHERE query_id % 60 = 0) JOIN relevant USING (query_id) GROUP BY method),
+            steps AS (SELECT method, score, sum(flag) AS h, count(*) AS n FROM merged GROUP BY method, score),
+            running AS (SELECT method, score, sum(h) OVER w AS hits, sum(n) OVER w AS returned FROM steps WINDOW w AS (PARTITION BY method ORDER BY score DESC))
+            SELECT method, round(hits::DOUBLE / returned, 6) AS precision, round(hits::DOUBLE / total, 6) AS recall, CAST(hits AS BIGINT) AS hits, CAST(returned AS BIGINT) AS returned, round(score, 12) AS threshold, CAST(total AS BIGINT) AS total_relevant FROM running JOIN totals USING (method)
+            UNION ALL SELECT method, 1.0, 0.0, 0, 0, NULL, CAST(total AS BIGINT) FROM totals"""),
         "ap_from_curve": dense(f"{THRESHOLD}, gained AS (SELECT method, precision, recall - lag(recall, 1, 0.0) OVER (PARTITION BY method ORDER BY returned) AS gain FROM curve) SELECT method, round(sum(CASE WHEN gain > 0 THEN gain * precision ELSE 0 END), 6) AS ap FROM gained GROUP BY method"),
         "pr_interpolated": dense(f"{THRESHOLD}, {interpolated()} SELECT recall, " + ", ".join(f"round(max(CASE WHEN method = '{m}' THEN precision END), 9) AS {m}" for m in ("dense", "dense_half", "hybrid")) + " FROM inter GROUP BY recall"),
         "auc_interpolated": dense(f"{THRESHOLD}, {interpolated()}, w AS (SELECT method, precision, recall - lag(recall, 1, 0.0) OVER (PARTITION BY method ORDER BY recall) AS width FROM inter) SELECT method, round(sum(width * precision), 6) AS auc FROM w GROUP BY method"),
@@ -315,6 +322,9 @@ def oracle() -> dict[str, str]:
         "different_correlations": "SELECT * FROM (SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_name ELSE upper(p_name) END AS other FROM part) WHERE p_name <> other",
         "first_n_codes": "WITH f AS (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY min(o_orderkey) LIMIT 100) SELECT o_custkey AS codigo, o_orderkey AS pos, o_orderstatus FROM orders WHERE o_custkey IN (SELECT o_custkey FROM f)",
         "topic_distribution": "SELECT source AS topic, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) AS pct FROM documents GROUP BY source",
+        "largest_topics": "SELECT source AS topic, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) AS pct FROM documents GROUP BY source ORDER BY n DESC, topic LIMIT 3",
+        "long_enough_texts": f"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '\\S+') AS t FROM conversations)
+            SELECT conv_id, turn FROM w WHERE length(array_to_string(list_filter(t, lambda x: x NOT IN ({", ".join(map(quote, dict.fromkeys((*PORTUGUESE, *TOPIC_EXTRA, *DOMAIN))))}) AND NOT regexp_full_match(x, '[\\d,./\\-]+') AND length(x) > 1), ' ')) >= 100""",
         "ctfidf_terms": f"WITH {CTFIDF} SELECT topic, term, weight, rank FROM terms",
         "topic_info": f"WITH {CTFIDF}, k AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS keywords FROM terms WHERE rank <= 5 GROUP BY topic) SELECT s.topic, s.size, coalesce(k.keywords, '') AS keywords FROM (SELECT source AS topic, count(*) AS size FROM documents GROUP BY source) s LEFT JOIN k ON k.topic = s.topic",
         "ngram_vocab": f"""WITH t AS (SELECT doc_id, {tokens("text")} AS t FROM documents),

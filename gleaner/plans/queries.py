@@ -17,7 +17,8 @@ from gleaner.functions.normalize import STEPS, normalize, normalize_report
 from gleaner.functions.tokens import jaccard, preprocess_topics, simple_tokens
 from gleaner.functions.tokens import punctuated_tokens as punctuated
 from gleaner.operators import bm25, corpus, curves, dense, fusion, metrics, ranking, strata, text, topics
-from gleaner.operators.sizes import broadcast_if_small, spread
+from gleaner.operators.lineage import checkpoint
+from gleaner.operators.sizes import spread
 from gleaner.sources.writers import candidate_rows
 
 METHODS = ("dense", "dense_half", "hybrid")
@@ -59,8 +60,7 @@ def lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the stated set of queries."""
-    queries = broadcast_if_small(benchmark(spark, sf_dir).withColumnRenamed("text", "query"))
-    return documents(spark, sf_dir).join(queries, F.col("text").contains(F.col("query"))).select("query_id", "item_id").distinct()
+    return text.containing(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
 @query
@@ -107,34 +107,59 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rankings(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+    """Made once: whatever reads the rankings several times reads what is written."""
     queries, items = vectors(spark, sf_dir)
-    full, half = dense.retrieve(queries, items, k), dense.retrieve(queries, items, k, dims=32)
+    full, half = checkpoint(dense.retrieve(queries, items, k)), checkpoint(dense.retrieve(queries, items, k, dims=32))
     parts = {"dense": full, "dense_half": half, "hybrid": fusion.rrf(full, half, k)}
     columns = ["query_id", "method", "rank", "item_id", "score"]
     out = None
     for name, part in parts.items():
         part = part.withColumn("method", F.lit(name)).select(*columns)
         out = part if out is None else out.unionByName(part)
-    return out
+    return checkpoint(out)
+
+
+def dense_ranking(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+    queries, items = vectors(spark, sf_dir)
+    return dense.retrieve(queries, items, k).select("query_id", "rank", "item_id", "score")
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a query and an item of its label: only for what must list them."""
     queries, items = vectors(spark, sf_dir)
     return queries.select("query_id", "label").join(items.select("item_id", "label"), "label").select("query_id", "item_id")
 
 
+def judged(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """The relevant ones among the pairs of a ranking: labels of both ends are compared, no label's pairs are made."""
+    queries, items = vectors(spark, sf_dir)
+    pairs = ranked.select("query_id", "item_id").distinct()
+    return pairs.join(queries.select("query_id", "label"), "query_id").join(items.select("item_id", F.col("label").alias("item_label")), "item_id").where("label = item_label").select("query_id", "item_id")
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of relevant items of each query: that of its label."""
+    queries, items = vectors(spark, sf_dir)
+    return queries.select("query_id", "label").join(items.groupBy("label").agg(F.count("*").alias("relevant")), "label").select("query_id", "relevant")
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.query_metrics(rankings(spark, sf_dir), qrels(spark, sf_dir))
+    ranked = rankings(spark, sf_dir)
+    return metrics.query_metrics(ranked, judged(spark, sf_dir, ranked), relevant=relevant(spark, sf_dir))
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rankings(spark, sf_dir)
+    return ranking.flags_keep(ranked, judged(spark, sf_dir, ranked))
 
 
 def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = qrels(spark, sf_dir)
-    return curves.by_threshold(ranking.flags_keep(rankings(spark, sf_dir), judged), ranking.relevant_counts(judged))
+    return curves.by_threshold(flagged(spark, sf_dir), relevant(spark, sf_dir))
 
 
 @query
 def dense_topk(spark, sf_dir):
-    return rankings(spark, sf_dir).where("method = 'dense'").drop("method")
+    return dense_ranking(spark, sf_dir)
 
 
 @query
@@ -163,32 +188,47 @@ def method_summary(spark, sf_dir):
 
 @query
 def ndcg_by_query(spark, sf_dir):
-    return rounded(metrics.ndcg(rankings(spark, sf_dir), qrels(spark, sf_dir)))
+    ranked = rankings(spark, sf_dir)
+    return rounded(metrics.ndcg(ranked, judged(spark, sf_dir, ranked), relevant=relevant(spark, sf_dir)))
 
 
 def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranking in which neighbouring items count as one."""
-    return rankings(spark, sf_dir).where("method = 'dense'").withColumn("item_id", F.col("item_id") - F.col("item_id") % 3)
+    near = checkpoint(dense_ranking(spark, sf_dir).withColumn("method", F.lit("dense")))
+    return near.withColumn("item_id", F.col("item_id") - F.col("item_id") % 3)
 
 
-def repeated_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qrels(spark, sf_dir).withColumn("item_id", F.col("item_id") - F.col("item_id") % 3).distinct()
+def repeated_judged(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """A neighbourhood is relevant if one of its items is."""
+    queries, items = vectors(spark, sf_dir)
+    labels = items.select((F.col("item_id") - F.col("item_id") % 3).alias("item_id"), "label").distinct()
+    pairs = ranked.select("query_id", "item_id").distinct().join(queries.select("query_id", "label"), "query_id")
+    return pairs.join(labels, ["item_id", "label"]).select("query_id", "item_id")
 
 
 @query
 def flags_keep_repeats(spark, sf_dir):
-    return ranking.flags_keep(repeated(spark, sf_dir), repeated_qrels(spark, sf_dir)).select("query_id", "rank", "item_id", "flag")
+    ranked = repeated(spark, sf_dir)
+    return ranking.flags_keep(ranked, repeated_judged(spark, sf_dir, ranked)).select("query_id", "rank", "item_id", "flag")
 
 
 @query
 def flags_drop_repeats(spark, sf_dir):
-    return ranking.flags_drop(repeated(spark, sf_dir), repeated_qrels(spark, sf_dir)).select("query_id", "rank", "item_id", "flag")
+    ranked = repeated(spark, sf_dir)
+    return ranking.flags_drop(ranked, repeated_judged(spark, sf_dir, ranked)).select("query_id", "rank", "item_id", "flag")
 
 
 @query
 def pr_by_rank(spark, sf_dir):
-    judged = qrels(spark, sf_dir)
-    return rounded(curves.by_rank(ranking.flags_keep(rankings(spark, sf_dir), judged), ranking.relevant_counts(judged)))
+    return rounded(curves.by_rank(flagged(spark, sf_dir), relevant(spark, sf_dir)))
+
+
+@query
+def pr_pooled_sets(spark, sf_dir):
+    """Two sets of queries, some of them in both, pooled into one curve."""
+    rows, counts = flagged(spark, sf_dir), relevant(spark, sf_dir)
+    curve = curves.pooled_by_threshold([(rows.where(f"query_id % {n} = 0"), counts.where(f"query_id % {n} = 0")) for n in (40, 60)])
+    return curve.select("method", *[F.round(c, 6).alias(c) for c in ("precision", "recall")], "hits", "returned", F.round("threshold", 12).alias("threshold"), "total_relevant")
 
 
 @query
@@ -292,13 +332,15 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ndcg_by_half(spark, sf_dir):
-    rows = metrics.ndcg(rankings(spark, sf_dir), qrels(spark, sf_dir)).join(halves(spark, sf_dir), "query_id")
+    ranked = rankings(spark, sf_dir)
+    rows = metrics.ndcg(ranked, judged(spark, sf_dir, ranked), relevant=relevant(spark, sf_dir)).join(halves(spark, sf_dir), "query_id")
     return rounded(rows.groupBy("half", "method").agg(F.count("*").alias("n"), F.avg("ndcg_at_10").alias("ndcg_at_10"), F.avg("ndcg_at_100").alias("ndcg_at_100")), 9)
 
 
 @query
 def pr_by_half(spark, sf_dir):
-    return rounded(strata.pooled_curves(rankings(spark, sf_dir), qrels(spark, sf_dir), halves(spark, sf_dir)), 9)
+    ranked = rankings(spark, sf_dir)
+    return rounded(strata.pooled_curves(ranked, judged(spark, sf_dir, ranked), halves(spark, sf_dir), relevant(spark, sf_dir)), 9)
 
 
 @query
@@ -408,6 +450,17 @@ def topic_distribution(spark, sf_dir):
     return rounded(topics.distribution(topic_texts(spark, sf_dir)))
 
 
+@query
+def largest_topics(spark, sf_dir):
+    return rounded(topics.largest(topics.distribution(topic_texts(spark, sf_dir)), 3))
+
+
+@query
+def long_enough_texts(spark, sf_dir):
+    """Turns that say something once their stopwords and numbers are gone."""
+    return topics.long_enough(table(spark, sf_dir, "conversations"), least=100).select("conv_id", "turn")
+
+
 @query
 def ctfidf_terms(spark, sf_dir):
     return topics.class_tfidf(topic_texts(spark, sf_dir), simple_tokens)
@@ -425,9 +478,9 @@ def ngram_vocab(spark, sf_dir):
 
 
 def by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources by number are topics of documents, and of the queries that share their numbers."""
-    number = F.regexp_extract("topic", r"(\d+)", 1).cast("int")
-    asked = topics.attach(vectors(spark, sf_dir)[0].select("query_id", F.col("query_id").alias("target")), topic_texts(spark, sf_dir).select("item_id", number.alias("topic")), "target")
+    """Documents are dealt to six topics by number, and so are the queries that share their numbers."""
+    dealt = documents(spark, sf_dir).select("item_id", F.pmod(F.floor(F.col("item_id") / 20), F.lit(6)).cast("int").alias("topic"))
+    asked = topics.attach(vectors(spark, sf_dir)[0].select("query_id", F.col("query_id").alias("target")), dealt, "target")
     return topics.quality_by_topic(rounded(quality(spark, sf_dir)), asked.select("query_id", "topic"), METHODS, least=2)
 
 
@@ -435,7 +488,9 @@ def by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_topics(spark, sf_dir):
     """Each query's topic by the first of its relevant items."""
     known = topic_texts(spark, sf_dir).select("item_id", F.regexp_extract("topic", r"(\d+)", 1).cast("int").alias("topic"))
-    bench = qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("relevant_item_ids")).withColumn("codigo", F.col("query_id"))
+    queries, items = vectors(spark, sf_dir)
+    firsts = items.groupBy("label").agg(F.array(F.min("item_id")).alias("relevant_item_ids"))  # the rest of a query's items say nothing here
+    bench = queries.select("query_id", "label").join(firsts, "label").withColumn("codigo", F.col("query_id"))
     return topics.query_topics(bench, known)
 
 

@@ -45,10 +45,15 @@ def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] = (), encodi
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """UTF-8 if every line is valid in it, else the first of the one-byte encodings."""
+    """UTF-8 if every line is valid in it, else the first one-byte encoding that has a character for every byte."""
     lines = spark.read.text(path)
-    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count()
-    return encodings[1] if broken else encodings[0]
+    if not lines.where(~F.is_valid_utf8("value")).limit(1).count():
+        return encodings[0]
+    missing = "".join(f"{b:02X}" for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore"))
+    # In pairs of hexadecimal digits: a byte that Windows-1252 has no character for.
+    pairs = "|".join(missing[i : i + 2] for i in range(0, len(missing), 2))
+    unknown = lines.where(F.hex(F.col("value").cast("binary")).rlike(f"^(?:..)*(?:{pairs})")).limit(1).count()
+    return encodings[2] if unknown else encodings[1]
 
 
 def read_items(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -82,8 +87,17 @@ def flatten_benchmark(nested: DataFrame) -> DataFrame:
     return out.where("mutation_id is not null and product_description <> '' and size(relevant_item_ids) > 0")
 
 
+def documents_of(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
+    """JSON documents that hold the field: a document a line, as the writers write them, or one a file."""
+    lines = spark.read.schema(schema).json(path)
+    if not lines.where(F.col(field).isNotNull()).limit(1).count():
+        lines = spark.read.schema(schema).json(path, multiLine=True, encoding="utf-8")
+    return lines.where(F.col(field).isNotNull())
+
+
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    out = flatten_benchmark(spark.read.schema(BENCHMARK).json(path, multiLine=True, encoding="utf-8"))
+    """Queries of a benchmark; `pos` orders those of one document."""
+    out = flatten_benchmark(documents_of(spark, path, BENCHMARK, "items"))
     if out.isEmpty():
         raise ValueError(f"{path}: no usable query")
     return out
@@ -103,7 +117,7 @@ def read_correlations(spark: SparkSession, path: str, supplier: int = 295) -> Da
 
 def read_results(spark: SparkSession, path: str, methods: Sequence[str] | None = None, successful_only: bool = True) -> DataFrame:
     """(query_id, method, map) of the result rows of a run."""
-    rows = spark.read.schema(RESULTS).json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
+    rows = documents_of(spark, path, RESULTS, "results").select(F.explode("results").alias("r")).select("r.*")
     if methods:
         rows = rows.where(F.col("method").isin(list(methods)))
     if successful_only:
@@ -129,7 +143,7 @@ def read_halves(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
-    out = spark.read.schema(CURVES).json(path, multiLine=True).select(F.explode("precision_recall").alias("p")).select("p.*")
+    out = documents_of(spark, path, CURVES, "precision_recall").select(F.explode("precision_recall").alias("p")).select("p.*")
     if out.isEmpty():
         raise ValueError(f"{path}: no curve")
     return out

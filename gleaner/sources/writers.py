@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.sources.readers import CORRELATION
+
 
 def round_floats(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles and floats rounded, in structs and arrays too."""
+    """All doubles and floats rounded, ties to even, in structs and arrays too."""
 
     def rounded(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return F.round(c, digits)
+            return F.bround(c, digits)
         if isinstance(kind, T.ArrayType):
             return F.transform(c, lambda x: rounded(x, kind.elementType))
         if isinstance(kind, T.StructType):
@@ -58,18 +60,47 @@ def write_curve(df: DataFrame, path: str, digits: int = 6) -> None:
     formatted(df, digits).write.mode("overwrite").csv(path, sep=";", header=True)
 
 
-def write_tsv(df: DataFrame, path: str, quote_all: bool = False, order: Sequence[str] = ()) -> None:
-    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, sep="\t", header=True, quoteAll=quote_all, emptyValue="", nullValue="")
+def write_tsv(df: DataFrame, path: str, quote_all: bool = False, order: Sequence[str] = (), line_end: str = "\r\n") -> None:
+    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, sep="\t", header=True, quoteAll=quote_all, escape="\"", emptyValue="", nullValue="", lineSep=line_end)
+
+
+def write_different(rows: DataFrame, path: str) -> None:
+    """Correlations whose texts differ (see readers.read_correlations), all values quoted."""
+    write_tsv(rows.where("different").select(*CORRELATION), path, quote_all=True)
+
+
+def write_items(items: DataFrame, path: str) -> None:
+    """Catalogue (item_id, text) by rising id."""
+    write_tsv(items.select(F.col("item_id").alias("codigo"), F.col("text").alias("descricao")), path, order=("codigo",))
+
+
+def in_documents(rows: DataFrame, field: str, order: Sequence[str] = (), most: int = 1000) -> DataFrame:
+    """Rows as elements of an array `field`, in documents of about `most` elements, so that no document holds all."""
+    documents = max(1, -(-rows.count() // most))
+    element = F.struct(*rows.columns)
+    dealt = rows.withColumn("_d", F.pmod(F.xxhash64(F.to_json(element)), F.lit(documents)))
+    listed = F.array_sort(F.collect_list(F.struct(*order, element.alias("_e"))))
+    return dealt.groupBy("_d").agg(F.transform(listed, lambda x: x["_e"]).alias(field)).drop("_d")
 
 
 def write_benchmark(grouped: DataFrame, path: str) -> None:
-    """Grouped correlations as nested benchmark entries, one JSON object a line."""
+    """Grouped correlations as benchmark documents `{"items": [entries]}`, one a line, as readers.read_benchmark reads them."""
     mutation = F.struct(F.col("ID_Prod").alias("mut_ID"), F.col("Prod_Desc").alias("descricao_mutada"), "relevant_item_ids")
-    grouped.select(F.col("ID_Prod").alias("codigo"), F.col("original_description").alias("descricao_original"), F.array(mutation).alias("mutations")).write.mode("overwrite").json(path)
+    entries = grouped.select(F.col("ID_Prod").alias("codigo"), F.col("original_description").alias("descricao_original"), F.array(mutation).alias("mutations"))
+    in_documents(entries, "items", order=("codigo",)).write.mode("overwrite").json(path)
+
 
+def write_results(path: str, results: DataFrame | None = None, curves: DataFrame | None = None, **tables: DataFrame) -> None:
+    """Tables as JSON in folders below `path`, doubles rounded to six digits.
 
-def write_results(path: str, **tables: DataFrame) -> None:
-    """Each table as JSON in its own folder below `path`, doubles rounded to six digits."""
+    `results` (query_id, method, success, map, ...) and `curves` (method, recall, precision, threshold) are documents
+    `{"results": [...]}` and `{"precision_recall": [...]}`, as readers.read_results and read_curves read them; further
+    tables have a row a line.
+    """
+    if results is not None:
+        in_documents(round_floats(results.withColumnRenamed("query_id", "product_id")), "results", order=("product_id", "method")).write.mode("overwrite").json(f"{path}/results")
+    if curves is not None:
+        in_documents(round_floats(curves), "precision_recall", order=("method", "recall")).write.mode("overwrite").json(f"{path}/curves")
     for name, df in tables.items():
         round_floats(df).write.mode("overwrite").json(f"{path}/{name}")
 

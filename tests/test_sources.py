@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import bm25, corpus, dense, registry, topics
+from gleaner.operators import bm25, corpus, dense, ranges, registry, strata, text, topics
 from gleaner.sources import readers, writers
 
 
@@ -142,8 +142,10 @@ def test_dense_blocks_agree(spark, monkeypatch):
     rows = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(60)]
     items, queries = spark.createDataFrame(rows, "item_id long, embedding array<float>"), spark.createDataFrame(rows[:9], "query_id long, embedding array<float>")
     one = sorted(map(tuple, dense.retrieve(queries, items, 5).collect()))
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
-    assert sorted(map(tuple, dense.retrieve(queries, items, 5).collect())) == one and len(one) == 45
+    for block, most in ((4, 8), (2, 2)):  # broadcast, and by an exchange with more blocks than a task keeps
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        monkeypatch.setattr(dense, "BLOCKS_MOST", most)
+        assert sorted(map(tuple, dense.retrieve(queries, items, 5).collect())) == one and len(one) == 45
     assert dense.retrieve(queries.limit(0), items, 5).count() == 0
 
 
@@ -163,3 +165,116 @@ def test_first_codes_by_position(spark):
     rows = spark.createDataFrame([(5, 3), (6, 1), (5, 2), (7, 0)], "codigo long, pos long")
     assert {r["codigo"] for r in corpus.first_codes(rows, most=2).collect()} == {7, 6}
     assert {r["codigo"] for r in corpus.first_codes(rows, codes=[5]).collect()} == {5}
+
+
+def test_third_encoding_where_windows_has_no_character(spark, tmp_path):
+    (tmp_path / "l.tsv").write_bytes("codigo\tdescricao\n1\ta\x81\xe7o\n".encode("latin-1"))
+    assert readers.detect_encoding(spark, str(tmp_path / "l.tsv")) == "iso-8859-1"
+    assert readers.read_items(spark, str(tmp_path / "l.tsv")).first()["description"] == "a\x81\xe7o"
+    (tmp_path / "w.tsv").write_bytes("codigo\tdescricao\n1\t10\u20ac\n".encode("cp1252"))
+    assert readers.detect_encoding(spark, str(tmp_path / "w.tsv")) == "windows-1252"
+
+
+def test_what_is_written_is_read_again(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b"', 8, "z", True), (1, 'a "b"', 4, "q", True), (2, "same", 4, "same", False)], "ID_Prod long, Prod_Desc string, ID_Itm long, Itm_Desc string, different boolean").withColumn("ID_Sup", F.lit(295).cast("long"))
+    writers.write_benchmark(corpus.group_correlations(rows.where("different")), str(tmp_path / "bench"))
+    back = readers.read_benchmark(spark, str(tmp_path / "bench")).collect()
+    assert [(r["codigo"], r["product_id"], r["product_description"], r["original_description"], r["relevant_item_ids"]) for r in back] == [(1, 1, 'a "b"', "q", [4, 8])]
+    writers.write_different(rows, str(tmp_path / "diff"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "diff").glob("part-*")))
+    assert raw.count(b"\r\n") == raw.count(b"\n") > 2 and b'"ID_Sup"\t"ID_Prod"' in raw
+    assert sorted((r["ID_Itm"], r["Prod_Desc"]) for r in readers.read_correlations(spark, str(tmp_path / "diff")).collect()) == [(4, 'a "b"'), (8, 'a "b"')]
+    writers.write_items(spark.createDataFrame([(9, "n"), (3, "c"), (5, "e")], "item_id long, text string"), str(tmp_path / "items"))
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "items").glob("part-*")))
+    assert whole.startswith(b"codigo\tdescricao\r\n") and whole.index(b"3\tc\r\n") < whole.index(b"5\te\r\n") < whole.index(b"9\tn\r\n")
+    assert {r["item_id"]: r["description"] for r in readers.read_items(spark, str(tmp_path / "items")).collect()} == {3: "c", 5: "e", 9: "n"}
+
+
+def test_results_and_curves(spark, tmp_path):
+    results = [{"product_id": 1, "method": "a", "success": True, "map": 0.5}, {"product_id": 1, "method": "b", "success": False, "map": None}, {"product_id": 2, "method": "a", "success": True, "map": 0.25}]
+    (tmp_path / "r.json").write_text(json.dumps({"metadata": {}, "results": results}, indent=2))
+    read = lambda **o: sorted((r["query_id"], r["method"], r["map"]) for r in readers.read_results(spark, str(tmp_path / "r.json"), **o).collect())
+    assert read() == [(1, "a", 0.5), (2, "a", 0.25)] and read(methods=["b"]) == []
+    assert read(successful_only=False) == [(1, "a", 0.5), (1, "b", None), (2, "a", 0.25)] and read(methods=["b"], successful_only=False) == [(1, "b", None)]
+    (tmp_path / "c.json").write_text(json.dumps({"precision_recall": [{"method": "a", "recall": 0.5, "precision": 1.0, "threshold": None}]}, indent=1))
+    assert [tuple(r) for r in readers.read_curves(spark, str(tmp_path / "c.json")).collect()] == [("a", 0.5, 1.0, None)]
+    (tmp_path / "e.json").write_text(json.dumps({"precision_recall": []}))
+    with pytest.raises(ValueError, match="no curve"):
+        readers.read_curves(spark, str(tmp_path / "e.json"))
+    table = spark.createDataFrame([(r["product_id"], r["method"], r["success"], r["map"] and r["map"] / 3) for r in results], "query_id long, method string, success boolean, map double")
+    points = spark.createDataFrame([("a", 0.5, 1 / 3, 0.7), ("b", 0.25, 1.0, None)], "method string, recall double, precision double, threshold double")
+    writers.write_results(str(tmp_path / "out"), results=table, curves=points, other=points)
+    assert sorted(map(tuple, readers.read_results(spark, str(tmp_path / "out/results")).collect())) == [(1, "a", 0.166667), (2, "a", 0.083333)]
+    assert sorted(map(tuple, readers.read_curves(spark, str(tmp_path / "out/curves")).collect())) == [("a", 0.5, 0.333333, 0.7), ("b", 0.25, 1.0, None)]
+
+
+def test_halves_and_topics_by_source(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("source\tquery_id\thalf\na\t1\tlower\nb\t1\tupper\nb\tx\tupper\n")
+    halves = readers.read_halves(spark, str(tmp_path / "h.tsv"))
+    assert sorted((r["source"], r["query_id"], r["half"]) for r in halves.where("query_id is not null").collect()) == [("a", 1, "lower"), ("b", 1, "upper")]
+    ranked = spark.createDataFrame([("a", 1, "m", 1, 7, 0.9), ("b", 1, "m", 1, 7, 0.8)], "source string, query_id long, method string, rank long, item_id long, score double")
+    qrels = spark.createDataFrame([("a", 1, 7), ("b", 1, 9)], "source string, query_id long, item_id long")
+    curves = {(r["half"], r["recall"]): r["precision"] for r in strata.pooled_curves(ranked, qrels, halves).collect()}
+    assert curves["lower", 1.0] == 1.0 and curves["upper", 1.0] == 0.0
+    metrics = spark.createDataFrame([("a", 1, "m", 1.0), ("b", 1, "m", 0.0)], "source string, query_id long, method string, map double")
+    items = spark.createDataFrame([("a", 7, 1), ("b", 7, 2)], "source string, item_id long, topic int")
+    bench = spark.createDataFrame([("a", 1, [7], 5), ("b", 1, [7], 5)], "source string, query_id long, relevant_item_ids array<long>, codigo long")
+    of = topics.query_topics(bench, items)
+    assert sorted(map(tuple, of.collect())) == [("a", 1, 1), ("b", 1, 2)]
+    assert {r["topic"]: (r["m"], r["n_queries"]) for r in topics.quality_by_topic(metrics, of, ["m"], least=1).collect()} == {1: (1.0, 1), 2: (0.0, 1)}
+
+
+def test_methods_that_take_too_long_end(spark):
+    import time
+
+    queries = spark.createDataFrame([(1, "tubo", [1.0, 0.0])], "query_id long, text string, embedding array<float>")
+
+    def slow(q, c, k):
+        wait = F.udf(lambda x: time.sleep(60) or x, "long")
+        return q.select("query_id", wait("query_id").alias("item_id"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("rank"))
+
+    registry.RETRIEVERS["slow"] = slow
+    try:
+        began = time.time()
+        ranked, outcomes = registry.run(queries, corpus_rows(spark), ["slow", "bm25"], k=2, timeout_s=8)
+        assert time.time() - began < 50
+        found = {r["method"]: (r["success"], r["error"] != "") for r in outcomes.collect()}
+        assert found == {"slow": (False, True), "bm25": (True, False)} and {r["method"] for r in ranked.collect()} == {"bm25"}
+    finally:
+        del registry.RETRIEVERS["slow"]
+
+
+def test_small_topic_helpers(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, 1)], "topic int, n long")
+    assert [r["topic"] for r in topics.largest(sizes, 3).collect()] == [2, 1, 3]
+    items = spark.createDataFrame([(1, "tubo"), (2, "de a 3/4"), (3, "ab"), (4, None)], "item_id long, text string")
+    assert {r["item_id"] for r in topics.long_enough(items).collect()} == {1}
+
+
+def test_texts_that_contain_phrases(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "abcabc é"), (2, "bc"), (3, ""), (4, None)], "item_id long, text string")
+    phrases = spark.createDataFrame([(10, "bc"), (11, "é"), (12, ""), (13, "bc"), (14, None), (15, "abcabc é!")], "query_id long, text string")
+    want = {(10, 1), (13, 1), (11, 1), (12, 1), (10, 2), (13, 2), (12, 2), (12, 3)}
+    assert {tuple(r) for r in text.containing(texts, phrases).collect()} == want
+    monkeypatch.setattr(text, "BROADCAST_ROWS", 1)
+    assert {tuple(r) for r in text.containing(texts, phrases).collect()} == want
+
+
+def test_ranges_equal_one_window(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    rows = {(str(g), float(v)): int(n) for g, v, n in zip(draw.integers(0, 3, 300), np.round(draw.random(300), 2), draw.integers(1, 9, 300))}
+    df = spark.createDataFrame([(*k, n) for k, n in rows.items()], "g string, v double, n long")
+    found = []
+    for most in (10**9, 10):
+        monkeypatch.setattr(ranges, "WINDOW_MOST", most)
+        up = {(r["g"], r["v"]): r["s"] for r in ranges.running(df, "v", {"s": "n"}, ["g"]).collect()}
+        down = {(r["g"], r["v"]): r["s"] for r in ranges.running(df, "v", {"s": "n"}, ["g"], descending=True, most=True).collect()}
+        q = {r["g"]: (r["low"], r["high"], r["q"]) for r in ranges.quantiles(df.withColumn("g", F.when(F.col("g") != "0", F.col("g"))), "v", [0.1, 0.5, 0.95], ["g"]).collect()}
+        found.append((up, down, q))
+    assert found[0] == found[1]
+    for (g, v), s in found[0][0].items():
+        assert s == sum(n for (h, w), n in rows.items() if h == g and w <= v)
+        assert found[0][1][g, v] == max(n for (h, w), n in rows.items() if h == g and w >= v)
+    for g, (low, high, q) in found[0][2].items():
+        of = [v for (h, v) in rows if h == (g or "0")]
+        assert (low, high) == (min(of), max(of)) and q == pytest.approx(np.quantile(of, [0.1, 0.5, 0.95]).tolist())
