@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, packing, quality, secrets, suffixes
-from gleaner.llm.common import checkpoint, rows_of_ids, shared_folder, table
+from gleaner.llm.common import rows_of_ids, table
+from gleaner.operators.lineage import checkpoint, shared_folder
 from gleaner.operators.sizes import broadcast_if_small
 
 #: Keys of documents that have no id of their own begin here.
