@@ -1,10 +1,9 @@
-"""Shared pieces: Arrow text access, checkpoints, table reading and connected components."""
+"""Shared pieces: Arrow text access, table reading, packed hashes and connected components."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gleaner.operators.lineage import checkpoint
+
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
@@ -28,25 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where none is set, one is made on a local master only: executors share nothing else."""
-    context = spark.sparkContext
-    found = context._jsc.sc().getCheckpointDir()
-    if not found.isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-"))
-        found = context._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def groups_for(spark: SparkSession, size: int, group: int) -> int:
     """Groups so that each holds about `group` of `size` bytes; as many as the session's shuffle partitions, and 16, at least."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // group))

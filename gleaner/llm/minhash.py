@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import byte_list, checkpoint, components, counted, deal, groups_for, opened, pack_sorted, table, trimmed, unpack_sorted, values
+from gleaner.llm.common import byte_list, components, counted, deal, groups_for, opened, pack_sorted, table, trimmed, unpack_sorted, values
+from gleaner.operators.lineage import checkpoint
 
 WIDTH = 5
 LEAST = 0.8
@@ -42,8 +43,9 @@ STEPS = 6
 SMOOTH = 0.03
 BUCKET_MOST, LEADERS = 1024, 64
 HASH_BITS = 48
-#: Text of a group of texts, about: a task holds it with its shingles, some thirty times as much at the worst.
-GROUP_BYTES = 32_000_000
+#: Text of a group of texts, about: a task holds it with its shingles, some thirty times as much at the worst. Groups send
+#: each other a blob for every slice: with larger executors take larger groups.
+GROUP_BYTES = 16_000_000
 #: A text with this share of all rows or more is hot: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 #: Bytes of text whose shingles are worked on at once.
@@ -215,13 +217,13 @@ def cross_components(left: list[tuple[np.ndarray, np.ndarray]], right: list[tupl
     return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per input row: the key, `class_id` (smallest key of its class) and `kept` (it is that key)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    n_docs, groups = size["n"], groups_for(spark, size["bytes"], GROUP_BYTES)
-    slices = max(groups // 4, min(groups, groups_for(spark, 0, GROUP_BYTES)))  # of the hashes: smaller than the text
+    n_docs, groups = size["n"], groups_for(spark, size["bytes"], group_bytes)
+    slices = max(groups // 4, min(groups, groups_for(spark, 0, group_bytes)))  # of the hashes: smaller than the text
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A map task's distinct texts, and the least id and the number of each, sealed by group."""

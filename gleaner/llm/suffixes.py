@@ -54,8 +54,9 @@ HOT = 200_000
 CHUNK, STRINGS, SYMBOLS = 1_000_000, 15_000, 250_000
 #: Shares of a slice that are merged one after the other.
 SHARES = 16
-#: Text of a group of documents, about: a task holds it with its strings, some twenty times as much at the worst.
-GROUP_BYTES = 32_000_000
+#: Text of a group of documents, about: a task holds it with its strings, some twenty times as much at the worst. Groups
+#: send a blob to every slice that they have strings for: with larger executors take larger groups.
+GROUP_BYTES = 16_000_000
 ANCHOR_BITS = 48
 END, MARK = 0xFE, 0xFF  # no byte of UTF-8
 
@@ -446,14 +447,14 @@ def _unpack(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
     return out, blob[at:]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, as_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, as_text: bool = False, carry: Sequence[str] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per input row: key, n_bytes, n_removed, n_spans, `kept` (its remaining bytes, or their whole characters
     as text), and a struct `rest` of the columns to be carried, if any."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] * bool(carry))
     rest = ["rest"] * bool(carry)
     rest_type = to_arrow_type(docs.schema["rest"].dataType) if carry else None
-    groups = groups_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], GROUP_BYTES)
+    groups = groups_for(spark, docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], group_bytes)
     slices = groups  # of the anchors' hashes, and of the cores' names
     side = length - gram
     blob_kind = "g int, kind string, data binary"

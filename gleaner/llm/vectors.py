@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.common import checkpoint, components, table
+from gleaner.llm.common import components, table
+from gleaner.operators.lineage import checkpoint
 from gleaner.operators.sizes import BROADCAST_ROWS
 
 LEAST = 0.93
@@ -391,24 +392,3 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.compone
        coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
-
-
-def brute_force(ids: list, values: list, labels: list, least: float = LEAST) -> dict:
-    """(n_links, component_id) of each id of a small table."""
-    good = [i for i, v in enumerate(values) if ids[i] is not None and labels[i] is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    parent = {ids[i]: ids[i] for i in range(len(ids))}
-    count = dict.fromkeys(ids, 0)
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for n, i in enumerate(good):
-        for j in good[n + 1 :]:
-            if labels[i] == labels[j] and len(values[i]) == len(values[j]) and float(_unit(np.array([values[i]]))[0] @ _unit(np.array([values[j]]))[0]) >= least:
-                count[ids[i]] += 1
-                count[ids[j]] += 1
-                a, b = root(ids[i]), root(ids[j])
-                parent[max(a, b)] = min(a, b)
-    return {i: (count[i], root(i)) for i in ids if i is not None}

@@ -1,4 +1,4 @@
-"""Near-duplicate classes in plain Python: words, shingles, weights and similarities of their own."""
+"""Near-duplicate texts and vectors in plain Python: words, shingles, weights, cosines and similarities of their own."""
 
 import math
 import re
@@ -59,3 +59,31 @@ def classes(texts, least, steps):
         a, b = root(i), root(j)
         parent[max(a, b)] = min(a, b)
     return {i: root(i) for i in texts}
+
+
+def cosine(a, b):
+    """In exact sums; null where there is none."""
+    if len(a) != len(b) or not all(x is not None and math.isfinite(x) for x in (*a, *b)):
+        return None
+    norms = math.sqrt(math.fsum(x * x for x in a)) * math.sqrt(math.fsum(x * x for x in b))
+    return math.fsum(x * y for x, y in zip(a, b)) / norms if norms else None
+
+
+def linked(ids, values, labels, least=0.93):
+    """(n_links, component) of each id: every pair of an equal label is compared."""
+    good = [n for n, v in enumerate(values) if ids[n] is not None and labels[n] is not None and v]
+    parent, count = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, i in enumerate(good):
+        for j in good[n + 1 :]:
+            if labels[i] == labels[j] and (c := cosine(values[i], values[j])) is not None and c >= least:
+                count[ids[i]] += 1
+                count[ids[j]] += 1
+                a, b = root(ids[i]), root(ids[j])
+                parent[max(a, b)] = min(a, b)
+    return {i: (count[i], root(i)) for i in ids if i is not None}

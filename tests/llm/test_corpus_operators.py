@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import common, minhash, quality, suffixes, vectors, warc
+from gleaner.operators import lineage
 from tests.llm import plain
 from tests.llm.data import frame, prose, texts
 
@@ -276,7 +277,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch, most):
     rows = vector_rows(1)
     out = vectors.near_duplicates(vector_frame(spark, rows))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
-    want = vectors.brute_force(*(list(c) for c in zip(*rows)))
+    want = plain.linked(*(list(c) for c in zip(*rows)))
     assert set(got) == set(want)
     total = sum(n for n, _ in want.values())
     assert sum(min(got[i][0], want[i][0]) for i in want) >= 0.9 * total and all(got[i][0] <= want[i][0] for i in want)
@@ -288,7 +289,7 @@ def test_dense_shards_in_blocks_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 10)
     rows = vector_rows(2)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(vector_frame(spark, rows)).collect()}
-    assert got == vectors.brute_force(*(list(c) for c in zip(*rows)))
+    assert got == plain.linked(*(list(c) for c in zip(*rows)))
 
 
 @pytest.mark.parametrize("block", [2048, 150])
@@ -300,7 +301,7 @@ def test_links_between_groups_of_near_copies(spark, monkeypatch, block):
     seats = centre + draw.normal(size=(4, 32)) * 0.2
     rows = [(k, [float(x) for x in seats[k % 4] + draw.normal(size=32) * 0.001], 0) for k in range(600)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(vector_frame(spark, rows)).collect()}
-    assert got == vectors.brute_force(*(list(c) for c in zip(*rows)))
+    assert got == plain.linked(*(list(c) for c in zip(*rows)))
     assert sum(n for n, _ in got.values()) > 600 * 300
 
 
@@ -320,7 +321,7 @@ def test_links_count_every_pair_that_shares_a_shard(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_AIM", 20)
     monkeypatch.setattr(vectors, "CANDIDATES", 8)
     placed, whole = [], vectors.shards
-    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(common.checkpoint(whole(nodes))) or placed[0])
+    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(lineage.checkpoint(whole(nodes))) or placed[0])
     rows = [r for r in vector_rows(3) if r[0] < 500]
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(vector_frame(spark, [(i, v, 0) for i, v, _ in rows])).collect()}
     cells, x = {}, vectors._unit(np.array([v for _, v, _ in rows]))
