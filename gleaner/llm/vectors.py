@@ -3,7 +3,8 @@
 Vectors are compared only with vectors of an equal label and length, by cosine in double precision; a pair is linked
 if it is `least` or more. Equal vectors are one node, with a number of its own and a multiplicity. Nodes are dealt to overlapping cluster
 shards: a shard over SHARD_MOST nodes is split around pivots (a bounded sample of it, no two of them closer than
-PIVOT_GAP, so that a dense cluster has one), each node going to its two nearest. Each shard builds a robust-pruned
+PIVOT_GAP, so that a dense cluster has one), each node going to its nearest, and to its second nearest unless that is too much farther
+for any link to lead there. A part that has not shrunk to SHRINK of what it was is dense and stays whole. Each shard builds a robust-pruned
 graph, choosing each node's candidates by one block product, which for shards of this size costs less than searching
 for them; a node's lists from all its shards are united. In each shard every node is then searched for: a greedy search
 from the shard's medoid and the node's own list finds the neighbourhood, which is expanded through all nodes within
@@ -44,6 +45,7 @@ SHARD_MOST, SHARD_AIM = 1200, 400
 PIVOTS = 1024
 PIVOT_GAP = 0.7
 LEVELS = 8
+SHRINK = 0.8
 BLOCK = 2048
 DEAL = 20_000
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
@@ -205,15 +207,15 @@ def with_count(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"], "left").drop("salt")
 
 
-def shards(nodes: DataFrame) -> DataFrame:
+def shards(nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Nodes (id, v) with their `cell`s: a row for each. `nodes` has a first cell for each node."""
     kind = nodes.schema["v"].dataType.simpleString()
     v_type = to_arrow_type(nodes.schema["v"].dataType)
 
     def nearest(rows: pa.Table, pivots: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"cell": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], v_type), "whole": pa.array([], pa.bool_())})
-        cell, kept = rows["cell"][0].as_py(), []
+            return pa.table({"cell": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "v": pa.array([], v_type), "of": pa.array([], pa.int64())})
+        cell, of, kept = rows["cell"][0].as_py(), rows["m"][0].as_py(), []
         if pivots.num_rows:
             order = np.argsort(pivots["p_id"].to_numpy(), kind="stable")
             p, names = _unit(matrix(pivots["p_v"].take(pa.array(order)))), pivots["p_id"].to_numpy()[order]
@@ -221,18 +223,27 @@ def shards(nodes: DataFrame) -> DataFrame:
                 if len(kept) < PIVOTS and (not kept or (p[kept] @ p[i]).max() < PIVOT_GAP):
                     kept.append(i)
         if len(kept) < 2:  # dense: it stays whole
-            return pa.table([rows["cell"].combine_chunks(), rows["id"].combine_chunks(), rows["v"].combine_chunks(), pa.array([True] * rows.num_rows)], ["cell", "id", "v", "whole"])
+            return pa.table([rows["cell"].combine_chunks(), rows["id"].combine_chunks(), rows["v"].combine_chunks(), pa.array([of] * rows.num_rows, pa.int64())], ["cell", "id", "v", "of"])
         x, centres = _unit(matrix(rows["v"])), p[kept].T
-        two = np.concatenate([np.argsort(-(x[a : a + 2048] @ centres), axis=1, kind="stable")[:, :2] for a in range(0, len(x), 2048)])
         made = np.array([hash((cell, int(names[k]))) for k in kept], np.int64)
-        order = pa.array(np.repeat(np.arange(rows.num_rows), 2))
-        return pa.table([pa.array(made[two.reshape(-1)]), rows["id"].take(order).combine_chunks(), rows["v"].take(order).combine_chunks(), pa.array([False] * (2 * rows.num_rows))], ["cell", "id", "v", "whole"])
-
-    done, open_ = [], nodes.withColumn("whole", F.lit(False))
+        to, order = [], []
+        for a in range(0, len(x), 2048):
+            sims = x[a : a + 2048] @ centres
+            two = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+            angle = np.arccos(np.clip(np.take_along_axis(sims, two, 1), -1, 1))
+            # Of a linked pair whose nearest pivots differ, neither is farther from the other's pivot than twice the link's angle more.
+            used = np.stack([np.ones(len(two), bool), angle[:, 1] <= angle[:, 0] + 2 * np.arccos(least) + 1e-6], 1)
+            to.append(made[two[used]])
+            order.append(a + np.nonzero(used)[0])
+        order = pa.array(np.concatenate(order))
+        return pa.table([pa.array(np.concatenate(to)), rows["id"].take(order).combine_chunks(), rows["v"].take(order).combine_chunks(), pa.array([of] * len(order), pa.int64())], ["cell", "id", "v", "of"])
+
+    # `of`: how many rows the cell had that a row's cell was split off; null at first.
+    done, open_ = [], nodes.withColumn("of", F.lit(None).cast("long"))
     for level in range(LEVELS):
         sized = with_count(open_, SHARD_MOST)
-        large = F.col("m").isNotNull() & ~F.col("whole")
-        done.append(sized.where(~large).drop("m", "whole"))
+        large = F.col("m").isNotNull() & (F.col("of").isNull() | (F.col("m") <= SHRINK * F.col("of")))
+        done.append(sized.where(~large).drop("m", "of"))
         big = sized.where(large)
         if not big.limit(1).count():
             break
@@ -240,9 +251,9 @@ def shards(nodes: DataFrame) -> DataFrame:
         dealt = big.withColumn("deal", F.pmod(F.xxhash64("id"), deals))
         wanted = F.least(F.lit(4 * PIVOTS), F.ceil(2 * F.col("m") / SHARD_AIM) + 6)
         pivots = big.where(F.pmod(F.xxhash64(F.lit(level), "id"), F.col("m")) < wanted).select(F.col("cell").alias("p_cell"), F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("p_deal"), F.col("id").alias("p_id"), F.col("v").alias("p_v"))
-        open_ = checkpoint(dealt.select("cell", "deal", "id", "v").groupBy("cell", "deal").cogroup(pivots.groupBy("p_cell", "p_deal")).applyInArrow(nearest, f"cell bigint, id bigint, v {kind}, whole boolean"))
+        open_ = checkpoint(dealt.select("cell", "deal", "id", "v", "m").groupBy("cell", "deal").cogroup(pivots.groupBy("p_cell", "p_deal")).applyInArrow(nearest, f"cell bigint, id bigint, v {kind}, of bigint"))
     else:
-        done.append(open_.drop("whole"))
+        done.append(open_.drop("of"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -264,7 +275,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     name = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(17), "v", "label").alias("h2")]  # 128 bits: rows find their nodes by them
     # An id may stand for several nodes if it repeats: nodes are numbered, and the checkpoint makes the numbers last.
     nodes = checkpoint(same.select(F.monotonically_increasing_id().alias("node"), "id", "n", "v", *name, F.xxhash64(F.lit(5), "label", F.size("v")).alias("cell")))
-    dealt = tasks(shards(nodes.select("cell", F.col("node").alias("id"), "v"))).select("cell", "i", "j", "block", "id", "v")
+    dealt = tasks(shards(nodes.select("cell", F.col("node").alias("id"), "v"), least)).select("cell", "i", "j", "block", "id", "v")
     spots = checkpoint(dealt.select("cell", "i", "j", "id"))
     cells = spots.groupBy("id").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
 

@@ -321,7 +321,7 @@ def test_links_count_every_pair_that_shares_a_shard(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_AIM", 20)
     monkeypatch.setattr(vectors, "CANDIDATES", 8)
     placed, whole = [], vectors.shards
-    monkeypatch.setattr(vectors, "shards", lambda nodes: placed.append(lineage.checkpoint(whole(nodes))) or placed[0])
+    monkeypatch.setattr(vectors, "shards", lambda nodes, least: placed.append(lineage.checkpoint(whole(nodes, least))) or placed[0])
     rows = [r for r in vector_rows(3) if r[0] < 500]
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(vector_frame(spark, [(i, v, 0) for i, v, _ in rows])).collect()}
     cells, x = {}, vectors._unit(np.array([v for _, v, _ in rows]))
