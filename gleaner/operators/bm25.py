@@ -62,9 +62,11 @@ def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B,
     ride = F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("tf")))
     rows = tokens.select("item_id", "len", F.explode(F.concat(ride, F.coalesce(term_counts(F.col("tokens")), F.slice(ride, 1, 0)))).alias("t")).select("item_id", "len", "t.token", "t.tf")
     tf = rows.join(hint(vocabulary), "token", "left_semi").repartition("item_id").groupBy("item_id", "len", "token").agg(F.sum("tf").alias("tf"))
-    whole = F.col("token") == ""
+    # All uses ask for all columns of the rows: only then do they share the exchange and what is before it.
+    there = F.col("tf") > 0
+    whole = there & (F.col("token") == "")
     stats = tf.agg(F.count_if(whole).alias("n"), F.avg(F.when(whole, F.col("len"))).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = tf.groupBy("token").agg(F.count_if(there).alias("df"))
     weight = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # broadcast: one row
     weighted = hint(terms.join(weight, "token"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
