@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleaner.operators.lineage import checkpoint
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
+ROWS_BYTES = 32_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -144,9 +145,11 @@ def values(table: pa.Table, name: str) -> list:
 def rows_of_ids(rows: DataFrame, ids: DataFrame, key: str, first_by: str) -> DataFrame:
     """The rows whose key is among the distinct, non-null `ids` (one column of that name): one for each, the least by `first_by`.
 
-    Rows travel sealed by groups of keys, which takes about half of a shuffled join's disk, and nothing is sorted.
+    Rows travel sealed by groups of keys, which takes about half of a shuffled join's disk, and nothing is sorted. A group
+    holds about ROWS_BYTES of the text column `first_by`.
     """
-    groups = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(first_by)), F.lit(0))).first()[0]
+    groups = groups_for(rows.sparkSession, size, ROWS_BYTES)
     at = rows.columns.index(key)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
