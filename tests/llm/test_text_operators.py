@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from gleaner.llm import bpe, common, flac, licenses, packing, quality, secrets
+from tests.llm import plain_flac
 from tests.llm.data import frame, prose, texts
 
 SECRETS = [
@@ -267,6 +268,19 @@ def test_flac_round_trip_and_seek():
         flac.encode_payloads([b"abc"])
 
 
+def test_flac_streams_in_a_reader_of_another_make():
+    draw = np.random.default_rng(6)
+    wave = (np.sin(np.arange(5 * 576) / 7) * 90 + 128 + draw.normal(size=5 * 576) * 3).astype(np.uint8).tobytes()
+    for payload in [flac.to_payload((t or "").encode()[:9000]) for t in texts().values()] + [wave, bytes(576), draw.integers(0, 256, 1152).astype(np.uint8).tobytes(), flac.to_payload(prose(random.Random(3), 9000).encode())]:
+        stream = flac.encode_payloads([payload])[0]
+        samples, points, places = plain_flac.decode(stream)
+        assert bytes((v + 128) & 0xFF for v in samples) == payload
+        assert all(places[sample] == offset and size == flac.BLOCK for sample, offset, size in points) and points
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        n = len(samples)
+        assert flac.features(payload) == f"n={n};mean={sum(samples) / n:.6f};rms={math.sqrt(sum(v * v for v in samples) / n):.6f};peak={max(map(abs, samples))};crossings={crossings}"
+
+
 @pytest.mark.parametrize("place", [-1, -200, 30, 2])
 def test_flac_detects_damage(place):
     stream = bytearray(flac.encode_payloads([flac.to_payload(prose(random.Random(1), 300).encode())])[0])
