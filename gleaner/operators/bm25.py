@@ -12,6 +12,9 @@ from gleaner.operators.ranking import top_k
 from gleaner.operators.sizes import BROADCAST_ROWS
 
 K1, B = 1.5, 0.75
+#: Counted terms and scored pairs that a task may hold: an item has at most one pair for each query, and few items have over TERMS_AN_ITEM terms of queries.
+ROWS_A_TASK = 4_000_000
+TERMS_AN_ITEM = 1_000
 
 
 def tokenized(corpus: DataFrame, tokenizer: Callable[[Column], Column] = normalized_tokens) -> DataFrame:
@@ -52,16 +55,19 @@ def scores(queries: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B,
 
     The corpus is read and tokenized once, and terms are counted inside the rows. Terms that no query has go before the
     only large shuffle, which is by item: joined terms and sums of an item then stay in one task. An empty term for
-    each item rides along and carries the corpus statistics; all three uses share the exchange.
+    each item rides along and carries the corpus statistics; all three uses share the exchange. Its tasks are as many
+    as items times queries ask for: few bytes of terms become many pairs, so its bytes say nothing.
     """
     tokens = tokenized(corpus, tokenizer)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("text")))).alias("token"))
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = terms.limit(BROADCAST_ROWS + 1).count()
+    small = known <= BROADCAST_ROWS
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-corpus.count() * (queries.count() + min(known, TERMS_AN_ITEM)) // ROWS_A_TASK))
     hint = F.broadcast if small else lambda df: df
     vocabulary = terms.select("token").union(queries.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
     ride = F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("tf")))
     rows = tokens.select("item_id", "len", F.explode(F.concat(ride, F.coalesce(term_counts(F.col("tokens")), F.slice(ride, 1, 0)))).alias("t")).select("item_id", "len", "t.token", "t.tf")
-    tf = rows.join(hint(vocabulary), "token", "left_semi").repartition("item_id").groupBy("item_id", "len", "token").agg(F.sum("tf").alias("tf"))
+    tf = rows.join(hint(vocabulary), "token", "left_semi").repartition(tasks, "item_id").groupBy("item_id", "len", "token").agg(F.sum("tf").alias("tf"))
     # All uses ask for all columns of the rows: only then do they share the exchange and what is before it.
     there = F.col("tf") > 0
     whole = there & (F.col("token") == "")

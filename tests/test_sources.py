@@ -279,3 +279,14 @@ def test_ranges_equal_one_window(spark, monkeypatch):
     for g, (low, high, q) in found[0][2].items():
         of = [v for (h, v) in rows if h == (g or "0")]
         assert (low, high) == (min(of), max(of)) and q == pytest.approx(np.quantile(of, [0.1, 0.5, 0.95]).tolist())
+
+
+def test_bm25_tasks_follow_the_pairs(spark, monkeypatch):
+    """Ten items and two queries of two terms make 40 rows or less: ten tasks of four, whatever their bytes."""
+    docs = spark.createDataFrame([(i, "xx yy") for i in range(10)], "item_id long, text string")
+    queries = spark.createDataFrame([(1, "xx"), (2, "yy")], "query_id long, text string")
+    want = sorted(map(tuple, bm25.scores(queries, docs).collect()))
+    monkeypatch.setattr(bm25, "ROWS_A_TASK", 4, raising=False)
+    got = bm25.scores(queries, docs)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 20
+    assert got.rdd.getNumPartitions() == 10
