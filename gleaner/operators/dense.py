@@ -1,7 +1,8 @@
-"""Exact dense retrieval: blocks of queries meet blocks of vectors, the best of each task kept.
+"""Exact dense retrieval: blocks of queries meet vectors, the best of each task kept.
 
-Blocks are rows of a DataFrame: numbers and a matrix of doubles. Blocks of queries are broadcast if they are few, a
-checked number; else each block of vectors is sent to every block of queries by an exchange.
+Blocks of queries are broadcast if they are few, a checked number; else vectors are sent to every block of queries by
+an exchange that puts the queries of a block before its vectors. Either way vectors come to Python as plain rows and a
+block once for a task, so that no batch grows with the input.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,74 +23,74 @@ QUERY_BLOCK = 4096
 BLOCKS_MOST = 8
 #: Local candidates beyond k, so that scores which tie once rounded are not cut by chance.
 MARGIN = 1e-6
-BLOCK = "ids binary, rows binary"
+#: Products that a task holds at a time, and rows of a batch that it sends.
+PRODUCTS, ROWS = 1 << 20, 1 << 16
+FOUND = "query_id bigint, item_id bigint, score double"
 
 
 def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)[:, :dims]
+    return np.ascontiguousarray(flat.reshape(len(column), -1)[:, :dims])
 
 
-def _packed(ids: pa.Array, vectors: pa.Array, dims: int | None) -> tuple[list[bytes], list[bytes]]:
-    return [ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes()], [np.ascontiguousarray(_matrix(vectors, dims)).tobytes()]
-
-
-def _unpacked(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
-    numbers = np.frombuffer(ids, "<i8")
-    return numbers, np.frombuffer(rows, np.float64).reshape(len(numbers), -1)
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dims: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) by dot product in doubles. queries: (query_id, embedding); corpus: (item_id, embedding).
 
-    Null vectors are left out. A task holds a block of queries and one of vectors at a time, and sends k rows and ties
-    for each of its queries at most.
+    Null vectors are left out. A task holds the blocks of queries that it meets, BLOCKS_MOST at most, and a batch of
+    vectors at a time, and sends k rows and ties for each of its queries at most.
     """
     queries, corpus = (df.where(F.col("embedding").isNotNull()) for df in (queries, corpus))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def seal(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, rows = _packed(group["query_id"].combine_chunks(), group["embedding"].combine_chunks(), dims)
-        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array(ids, pa.binary()), pa.array(rows, pa.binary())], ["block", "q_ids", "q_rows"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(begin, QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _packed(part.column(0), part.column(1), dims)], ["ids", "rows"])
-
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding").groupBy("block").applyInArrow(seal, "block int, q_ids binary, q_rows binary")
-    parts = corpus.select("item_id", "embedding").mapInArrow(cut, BLOCK)
+    asked, items = queries.select(F.col("query_id").alias("id"), "embedding"), corpus.select(F.col("item_id").alias("id"), "embedding")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     if blocks <= BLOCKS_MOST:
-        met = parts.crossJoin(F.broadcast(asked))  # at most BLOCKS_MOST rows
+        known = asked.toArrow().combine_chunks()  # at most BLOCKS_MOST blocks
+        parts = [known.slice(begin, QUERY_BLOCK) for begin in range(0, known.num_rows, QUERY_BLOCK)]
+        sent = queries.sparkSession.sparkContext.broadcast([(_ids(x["id"].combine_chunks()), _matrix(x["embedding"].combine_chunks(), dims)) for x in parts])
+        found = items.mapInArrow(_best_of_all(sent, k, dims), FOUND)
     else:
-        met = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
-    found = met.select("block", "q_ids", "q_rows", "ids", "rows").mapInArrow(_local_best(k), "query_id bigint, item_id bigint, score double")
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        shares = max(1, -(-2 * cores // blocks))  # of the vectors: so that all cores have a block and a share
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        left = asked.select(dealt(blocks).alias("block"), every(shares).alias("share"), F.lit(False).alias("item"), "id", "embedding")
+        right = items.select(every(blocks).alias("block"), dealt(shares).alias("share"), F.lit(True).alias("item"), "id", "embedding")
+        met = left.unionByName(right).select((F.col("block") * shares + F.col("share")).alias("key"), "item", "id", "embedding")
+        found = met.repartition(blocks * shares, "key").sortWithinPartitions("key", "item").mapInArrow(_best_by_key(k, dims), FOUND)
     return top_k(found, k)
 
 
 class Best:
     """The k best items and ties of each query of a block, over all blocks of vectors that a task meets."""
 
-    def __init__(self, ids: bytes, rows: bytes, k: int):
-        (self.ids, self.q), self.k = _unpacked(ids, rows), k
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
         self.least = np.full(len(self.ids), -np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size, self.most = 0, 2 * k * len(self.ids)
 
     def meet(self, items: np.ndarray, x: np.ndarray) -> None:
-        s = self.q @ x.T
-        if len(items) > self.k:  # no item below the k-th of this block is among the k best
-            self.least = np.maximum(self.least, np.partition(s, len(items) - self.k, axis=1)[:, len(items) - self.k])
-        a, b = np.nonzero(s >= self.least[:, None] - MARGIN)
-        self.held.append((a, items[b], s[a, b]))
-        self.size += len(a)
-        if self.size > 4 * self.k * len(self.ids):
-            self.prune()
+        """Products are made for a slice of the queries at a time."""
+        step = max(1, PRODUCTS // max(1, len(items)))
+        for begin in range(0, len(self.ids), step):
+            s, least = self.q[begin : begin + step] @ x.T, self.least[begin : begin + step]
+            found = s >= least[:, None] - MARGIN
+            many = np.flatnonzero(np.count_nonzero(found, axis=1) > self.k)
+            if len(many):  # no item below the k-th of this block is among the k best
+                least[many] = np.maximum(least[many], np.partition(np.where(found[many], s[many], -np.inf), len(items) - self.k, axis=1)[:, len(items) - self.k])
+                found[many] = s[many] >= least[many, None] - MARGIN
+            a, b = np.nonzero(found)
+            self.held.append(((a + begin).astype(np.int32), items[b], s[a, b]))
+            self.size += len(a)
+            if self.size > self.most:
+                self.prune()
 
     def prune(self) -> None:
         a, items, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = [(a, items, s)]
         order = np.lexsort((-s, a))
         a, items, s = a[order], items[order], s[order]
         start = np.searchsorted(a, np.arange(len(self.ids)))
@@ -97,26 +99,57 @@ class Best:
         self.least[full] = np.maximum(self.least[full], s[last[full]])
         keep = s >= self.least[a] - MARGIN
         self.held, self.size = [(a[keep], items[keep], s[keep])], int(keep.sum())
+        self.most = max(self.most, 2 * self.size)  # ties may be many: then it isn't pruned at each block
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
         self.prune()
         a, items, s = self.held[0]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(items), pa.array(s)], ["query_id", "item_id", "score"])
+        for begin in range(0, len(a), ROWS):
+            part = slice(begin, begin + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[a[part]]), pa.array(items[part]), pa.array(s[part])], ["query_id", "item_id", "score"])
+
+
+def _best_of_all(sent: Broadcast, k: int, dims: int | None) -> Callable:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [Best(*block, k) for block in sent.value]
+        for batch in batches:
+            if batch.num_rows:
+                items, x = _ids(batch.column(0)), _matrix(batch.column(1), dims)
+                for block in blocks:
+                    block.meet(items, x)
+        while blocks:
+            yield from blocks.pop().rows()
+
+    return best
+
 
+def _best_by_key(k: int, dims: int | None) -> Callable:
+    """Over rows sorted by key, the queries of a key before its vectors."""
 
-def _local_best(k: int) -> Callable:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, Best] = {}
+        key, asked, block = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                block, q_ids, q_rows, ids, rows = (c[i].as_py() for c in batch.columns)
-                if block not in blocks:
-                    if len(blocks) >= BLOCKS_MOST:
-                        yield blocks.pop(next(iter(blocks))).rows()
-                    blocks[block] = Best(q_ids, q_rows, k)
-                blocks[block].meet(*_unpacked(ids, rows))
-        for one in blocks.values():
-            yield one.rows()
+            keys, item = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (item[1:] != item[:-1])) + 1), batch.num_rows]
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                if keys[begin] != key:
+                    if block is not None:
+                        yield from block.rows()
+                    key, asked, block = keys[begin], [], None
+                part = batch.slice(begin, end - begin)
+                numbers, x = _ids(part.column(2)), _matrix(part.column(3), dims)
+                if not item[begin]:
+                    asked.append((numbers, x))
+                elif asked or block is not None:
+                    if block is None:
+                        block, asked = Best(*map(np.concatenate, zip(*asked, strict=True)), k), []
+                    block.meet(numbers, x)
+        if block is not None:
+            yield from block.rows()
 
     return best
 

@@ -281,6 +281,26 @@ def test_ranges_equal_one_window(spark, monkeypatch):
         assert (low, high) == (min(of), max(of)) and q == pytest.approx(np.quantile(of, [0.1, 0.5, 0.95]).tolist())
 
 
+def test_dense_memory_is_bounded(spark):
+    """A block of 4,096 queries over a batch of 4,096 vectors: products are made in slices, and queries don't ride with vectors."""
+    import tracemalloc
+    draw = np.random.default_rng(2)
+    q, x = draw.normal(size=(4096, 16)), draw.normal(size=(4096, 16))
+    tracemalloc.start()
+    best = dense.Best(np.arange(4096), q, 10)
+    best.meet(np.arange(4096), x)
+    best.meet(np.arange(4096, 8192), -x)
+    rows = [r for batch in best.rows() for r in zip(*(c.to_numpy() for c in batch.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    s = q[7] @ np.concatenate([x, -x]).T
+    assert {i for a, i, _ in rows if a == 7} == set(np.argsort(-s)[:10])
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "item_id long, embedding array<float>")
+    plan = dense.retrieve(few.withColumnRenamed("item_id", "query_id"), few, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "NestedLoopJoin" not in plan
+
+
 def test_bm25_tasks_follow_the_pairs(spark, monkeypatch):
     """Ten items and two queries of two terms make 40 rows or less: ten tasks of four, whatever their bytes."""
     docs = spark.createDataFrame([(i, "xx yy") for i in range(10)], "item_id long, text string")
