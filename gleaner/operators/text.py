@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from gleaner.functions.normalize import words
 from gleaner.operators.sizes import BROADCAST_ROWS
 
+#: Rows whose tokens are held at a time.
+ROWS = 1_000
+
 
 def removed_tokens_table(rows: DataFrame, key: str, before: str = "before", after: str = "after") -> DataFrame:
-    """(key, removed): tokens that `after` lacks as a multiset, in order; of n copies the last are the removed ones.
+    """(key, removed) of each row: tokens that `after` lacks as a multiset, in order; of n copies the last are the removed ones.
 
-    Tokens are numbered among their equals and joined by key and number, so long texts stay linear.
+    Tokens are counted inside their row, so that long texts stay linear and no token leaves its task. str.split() parts
+    at the blanks that `words` knows.
     """
+    schema = StructType([rows.schema[key], StructField("removed", ArrayType(StringType(), False), False)])
 
-    def numbered(c: str) -> DataFrame:
-        tokens = rows.select(key, F.posexplode(words(F.coalesce(F.col(c), F.lit("")))).alias("pos", "token"))
-        return tokens.withColumn("n", F.row_number().over(Window.partitionBy(key, "token").orderBy("pos")))
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(begin, ROWS) for whole in batches for begin in range(0, whole.num_rows, ROWS)):
+            removed = []
+            for old, new in zip(batch.column(1), batch.column(2)):
+                left = Counter((new.as_py() or "").split())
+                gone = []
+                for token in (old.as_py() or "").split():
+                    if left.get(token, 0) > 0:
+                        left[token] -= 1
+                    else:
+                        gone.append(token)
+                removed.append(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.list_(pa.string()))], [key, "removed"])
 
-    gone = numbered(before).join(numbered(after).drop("pos"), [key, "token", "n"], "left_anti")
-    removed = gone.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("removed"))
-    return rows.select(key).join(removed, key, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<string>")))
+    return rows.select(key, before, after).mapInArrow(remove, schema)
 
 
 def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:

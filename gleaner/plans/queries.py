@@ -380,8 +380,10 @@ def normalize_steps(spark, sf_dir):
 
 @query
 def stopword_multiset_diff(spark, sf_dir):
-    before, after = (normalize(F.col("text"), [s for s in STEPS if s[0] != "remove_stopwords"]), normalize(F.col("text")))
-    return text.removed_tokens_table(documents(spark, sf_dir).select("item_id", before.alias("before"), after.alias("after")), "item_id").select("item_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", " ").alias("removed"))
+    at = [name for name, _ in STEPS].index("remove_stopwords")
+    shared = documents(spark, sf_dir).select("item_id", normalize(F.col("text"), STEPS[:at]).alias("t"))  # made once for both
+    both = shared.select("item_id", normalize(F.col("t"), STEPS[at + 1 :]).alias("before"), normalize(F.col("t"), STEPS[at:]).alias("after"))
+    return text.removed_tokens_table(both, "item_id").select("item_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", " ").alias("removed"))
 
 
 @query

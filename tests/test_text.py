@@ -66,6 +66,14 @@ def test_removed_tokens_are_a_multiset(spark):
     assert {r["k"]: r["removed"] for r in text.removed_tokens_table(df, "k").collect()} == {1: ["a", "c", "b", "a"], 2: [], 3: []}
 
 
+def test_removed_tokens_stay_in_their_row(spark):
+    """Rows that share a key keep their own tokens, blanks of every script part tokens, and nothing is shuffled."""
+    df = spark.createDataFrame([(1, "a\u2003b\x1ca", "a"), (1, "a", None), (None, "c", "")], "k long, before string, after string")
+    got = text.removed_tokens_table(df, "k")
+    assert sorted(map(str, got.collect())) == sorted(["Row(k=1, removed=['b', 'a'])", "Row(k=1, removed=['a'])", "Row(k=None, removed=['c'])"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], []), (["a", "a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(t.jaccard(F.col("a"), F.col("b"))).collect()] == pytest.approx([1 / 3, 1, 0, 1])
