@@ -71,8 +71,9 @@ def join_measures(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Tokens between blanks. Matching words is many times faster than splitting at blanks."""
-    return F.regexp_extract_all(c, F.lit(f"[^{BLANK}]+"), 0)
+    """Tokens between blanks. Matching words is many times faster than splitting at blanks, and a class of all that isn't blank
+    by its property many times faster than by a list of blanks: with the four separators it is the same set as BLANK."""
+    return F.regexp_extract_all(c, F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0)
 
 
 def drop_stopwords(c: Column, stopwords: Sequence[str] = PORTUGUESE) -> Column:

@@ -74,6 +74,20 @@ def test_removed_tokens_stay_in_their_row(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_long_texts_are_fast(spark):
+    """Against a pattern of plain blanks over the same 40 million characters."""
+    import time
+    df = spark.range(400).select(F.repeat(F.concat_ws(" ", F.lit("palavra"), F.col("id").cast("string"), F.lit("é")), 8_000).alias("t"))
+
+    def took(c):
+        began = time.perf_counter()
+        df.agg(F.sum(F.size(c))).collect()
+        return time.perf_counter() - began
+
+    plain = [took(F.regexp_extract_all("t", F.lit(r"\S+"), 0)) for _ in range(3)]
+    assert took(n.words(F.col("t"))) < 5 * min(plain) + 1
+
+
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], []), (["a", "a"], ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(t.jaccard(F.col("a"), F.col("b"))).collect()] == pytest.approx([1 / 3, 1, 0, 1])
