@@ -31,6 +31,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def jaccard_distinct(a: Column, b: Column) -> Column:
+    """As jaccard, of arrays that repeat nothing: only what is shared is looked for."""
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - shared
+    return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
+
+
 def preprocess_base(c: Column) -> Column:
     return F.lower(single_blanks(F.coalesce(c, F.lit(""))))
 

@@ -108,7 +108,8 @@ def box(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def extremes(df: DataFrame, value: str, n: int, order: str) -> DataFrame:
-    """The n least and the n largest rows, with `side`; the first by `order` wins ties."""
+    """The n least and the n largest rows, with `side`; the first by `order` wins ties. Rows are made once for both."""
+    df = checkpoint(df)
     low = df.orderBy(F.col(value), F.col(order)).limit(n).withColumn("side", F.lit("low"))
     high = df.orderBy(F.col(value).desc(), F.col(order)).limit(n).withColumn("side", F.lit("high"))
     return low.unionByName(high)

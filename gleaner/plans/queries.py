@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.normalize import STEPS, normalize, normalize_report
-from gleaner.functions.tokens import jaccard, preprocess_topics, simple_tokens
+from gleaner.functions.tokens import jaccard_distinct, preprocess_topics, simple_tokens
 from gleaner.functions.tokens import punctuated_tokens as punctuated
 from gleaner.operators import bm25, corpus, curves, dense, fusion, metrics, ranking, strata, text, topics
 from gleaner.operators.lineage import checkpoint
@@ -273,7 +273,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("tokens", F.array_distinct(simple_tokens(F.col("text")))).drop("text")
     asked = docs.select(F.col("item_id").alias("query_id"), F.col("tokens").alias("query_tokens"), F.explode(F.array(F.col("item_id") + 1, F.col("item_id") + 2)).alias("target_id"))
     target = docs.select(F.col("item_id").alias("target_id"), F.col("tokens").alias("target_tokens"))
-    return asked.join(target, "target_id").select("query_id", "target_id", F.round(jaccard(F.col("query_tokens"), F.col("target_tokens")), 9).alias("jaccard"))
+    return asked.join(target, "target_id").select("query_id", "target_id", F.round(jaccard_distinct(F.col("query_tokens"), F.col("target_tokens")), 9).alias("jaccard"))
 
 
 def overlap_and_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

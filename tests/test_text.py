@@ -93,6 +93,24 @@ def test_jaccard_edges(spark):
     assert [r[0] for r in df.select(t.jaccard(F.col("a"), F.col("b"))).collect()] == pytest.approx([1 / 3, 1, 0, 1])
 
 
+def test_jaccard_of_distinct_tokens(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], []), (["a"], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(t.jaccard_distinct(F.col("a"), F.col("b"))).collect()] == pytest.approx([1 / 3, 1, 0, 1])
+
+
+def test_extremes_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(20).selectExpr("id as k", "cast(id % 7 as double) as v").mapInArrow(counted, "k long, v double")
+    got = sorted((r["side"], r["v"], r["k"]) for r in strata.extremes(rows, "v", 2, "k").collect())
+    assert got == [("high", 6.0, 6), ("high", 6.0, 13), ("low", 0.0, 0), ("low", 0.0, 7)] and made.value == 20
+
+
 def test_scalar_helpers(spark):
     df = spark.createDataFrame([("7.0", "x [tag 12]", ""), (" 7 ", "none", None), ("abc", None, "z")], "a string, b string, c string")
     rows = df.select(t.safe_id(F.col("a")), t.tagged_id(F.col("b"), "tag"), t.first_filled(F.col("c"), F.col("a"))).collect()
