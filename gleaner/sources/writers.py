@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.operators.sizes import broadcast_if_small
 from gleaner.sources.readers import CORRELATION
 
 
@@ -27,12 +28,21 @@ def round_floats(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[rounded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def candidate_rows(ranked: DataFrame, queries: DataFrame, qrels: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
-    """One row for each successful query and method, its candidates in the order of their ranks from 1."""
+def candidate_rows(ranked: DataFrame, queries: DataFrame, qrels: DataFrame | None, outcomes: DataFrame | None = None, relevant: DataFrame | None = None) -> DataFrame:
+    """One row for each successful query and method, its candidates in the order of their ranks from 1.
+
+    relevant: (label, relevant_item_ids), lists that queries name by their `label`, in place of qrels: a list that many
+    queries share is then made once, and the pairs of queries and items never are.
+    """
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("retrieval_rank"), "item_id", F.col("score").alias("retrieval_score")))), lambda x: x)
     lists = ranked.groupBy("query_id", "method").agg(items.alias("candidates"))
-    relevant = qrels.groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("relevant_item_ids"))
-    out = lists.join(queries.select("query_id", F.col("text").alias("search_terms")), "query_id").join(relevant, "query_id", "left")
+    by = "query_id" if relevant is None else "label"
+    if relevant is None:
+        relevant = qrels.groupBy("query_id").agg(F.array_sort(F.collect_set("item_id")).alias("relevant_item_ids"))
+    else:
+        relevant = broadcast_if_small(relevant, size=F.size("relevant_item_ids"))
+    asked = queries.select(*dict.fromkeys(("query_id", by)), F.col("text").alias("search_terms"))
+    out = lists.join(asked, "query_id").join(relevant.select(by, "relevant_item_ids"), by, "left").drop("label")
     if outcomes is not None:
         out = out.join(outcomes.where("success").select("query_id", "method", "elapsed_ms"), ["query_id", "method"])
     return out.withColumn("relevant_item_ids", F.coalesce("relevant_item_ids", F.array().cast("array<bigint>"))).withColumnRenamed("query_id", "product_id")

@@ -301,6 +301,24 @@ def test_dense_memory_is_bounded(spark):
     assert plan.count("MapInArrow") == 1 and "NestedLoopJoin" not in plan
 
 
+def test_candidates_by_label_make_no_pairs(spark):
+    """Lists of labels in place of pairs give the same rows; a label without a list, or none, gives an empty one."""
+    ranked = spark.createDataFrame([(q, m, 1, 9, 0.5) for q in (1, 2, 3, 4) for m in "mn"], "query_id long, method string, rank long, item_id long, score double")
+    queries = spark.createDataFrame([(1, "q", 7), (2, "r", 7), (3, "s", 8), (4, "t", None)], "query_id long, text string, label int")
+    pairs = spark.createDataFrame([(q, i) for q in (1, 2) for i in (5, 4, 9)], "query_id long, item_id long")
+    lists = spark.createDataFrame([(7, [4, 5, 9]), (None, [6])], "label int, relevant_item_ids array<bigint>")
+    shown = lambda df: (df.columns, sorted(map(str, df.collect())))
+    found = writers.candidate_rows(ranked, queries, None, relevant=lists)
+    assert shown(found) == shown(writers.candidate_rows(ranked, queries, pairs))
+    from gleaner.operators import sizes
+    with pytest.MonkeyPatch.context() as patch:  # lists that are too long for a broadcast
+        patch.setattr(sizes, "BROADCAST_ELEMENTS", 3)
+        assert shown(writers.candidate_rows(ranked, queries, None, relevant=lists)) == shown(found)
+    from gleaner.plans.queries import QUERIES
+    plan = QUERIES["candidate_lists"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan  # the lists are made already, by label
+
+
 def test_bm25_tasks_follow_the_pairs(spark, monkeypatch):
     """Ten items and two queries of two terms make 40 rows or less: ten tasks of four, whatever their bytes."""
     docs = spark.createDataFrame([(i, "xx yy") for i in range(10)], "item_id long, text string")
