@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ranking import top_k
+from gleaner.operators.ranking import DIGITS, top_k
 
 QUERY_BLOCK = 4096
 #: Blocks of queries that are broadcast; a block of 1,024 dimensions has 32 MB.
@@ -41,7 +41,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dims: int | No
     """(query_id, item_id, score, rank) by dot product in doubles. queries: (query_id, embedding); corpus: (item_id, embedding).
 
     Null vectors are left out. A task holds the blocks of queries that it meets, BLOCKS_MOST at most, and a batch of
-    vectors at a time, and sends k rows and ties for each of its queries at most.
+    vectors at a time, and sends k rows for each of its queries at most, and as many of each tie at their end.
     """
     queries, corpus = (df.where(F.col("embedding").isNotNull()) for df in (queries, corpus))
     asked, items = queries.select(F.col("query_id").alias("id"), "embedding"), corpus.select(F.col("item_id").alias("id"), "embedding")
@@ -63,6 +63,19 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dims: int | No
     return top_k(found, k)
 
 
+def _first_of_ties(a: np.ndarray, items: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k best: of scores of a query that are sure to round alike, those of the k smallest ids."""
+    scaled = s * 10.0**DIGITS
+    whole = np.rint(scaled)
+    sure = (np.abs(np.abs(scaled - whole) - 0.5) > 1e-3) & (np.abs(scaled) < 1e11)
+    exact = np.where(sure, 0.0, s)  # near a half only equal scores
+    order = np.lexsort((items, exact, whole, a))
+    keys = [x[order] for x in (a, whole, exact)]
+    begins = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in keys], axis=0)]))
+    place = np.arange(len(a)) - np.repeat(begins, np.diff([*begins, len(a)]))
+    return np.sort(order[place < k])
+
+
 class Best:
     """The k best items and ties of each query of a block, over all blocks of vectors that a task meets."""
 
@@ -98,8 +111,12 @@ class Best:
         full = np.bincount(a, minlength=len(self.ids)) >= self.k
         self.least[full] = np.maximum(self.least[full], s[last[full]])
         keep = s >= self.least[a] - MARGIN
-        self.held, self.size = [(a[keep], items[keep], s[keep])], int(keep.sum())
-        self.most = max(self.most, 2 * self.size)  # ties may be many: then it isn't pruned at each block
+        a, items, s = a[keep], items[keep], s[keep]
+        if len(a) > 1.5 * self.k * len(self.ids):
+            keep = _first_of_ties(a, items, s, self.k)
+            a, items, s = a[keep], items[keep], s[keep]
+        self.held, self.size = [(a, items, s)], len(a)
+        self.most = max(self.most, 2 * self.size)  # then it isn't pruned at each block
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.held:

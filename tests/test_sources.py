@@ -301,6 +301,26 @@ def test_dense_memory_is_bounded(spark):
     assert plan.count("MapInArrow") == 1 and "NestedLoopJoin" not in plan
 
 
+def test_dense_ties_are_bounded(spark):
+    """Thousands of equal vectors tie for every query: a task keeps the smallest ids of a tie only, wherever the scores lie between two roundings."""
+    draw = np.random.default_rng(3)
+    q = np.concatenate([draw.normal(size=(30, 2)), [[0.0000005, 0.0], [0.5000005, 0.0], [0.0, 0.0]]])
+    best = dense.Best(np.arange(len(q)), q, 5)
+    for begin in draw.permutation(20) * 1000:
+        best.meet(np.arange(begin, begin + 1000), np.tile([1.0, 2.0], (1000, 1)))
+        assert best.size <= 8 * 5 * len(q)
+    rows = [r for batch in best.rows() for r in zip(*(c.to_pylist() for c in batch.columns))]
+    assert len(rows) <= 4 * 5 * len(q)
+    assert all({0, 1, 2, 3, 4} <= {i for a, i, _ in rows if a == n} for n in range(len(q)))
+    x = np.concatenate([np.tile([1.0, 2.0], (400, 1)), np.tile([1.0, 2.0 + 3e-7], (400, 1)), draw.normal(size=(400, 2))])[draw.permutation(1200)].astype(np.float32)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q.astype(np.float32))], "query_id long, embedding array<float>")
+    pairs = asked.crossJoin(items.withColumnRenamed("embedding", "other"))
+    product = "aggregate(zip_with(embedding, other, (a, b) -> cast(a as double) * cast(b as double)), 0d, (a, b) -> a + b)"
+    want = dense.top_k(pairs.selectExpr("query_id", "item_id", f"{product} AS score"), 5)
+    assert sorted(map(tuple, dense.retrieve(asked, items, 5).collect())) == sorted(tuple(r[c] for c in ("query_id", "item_id", "score", "rank")) for r in want.collect())
+
+
 def test_candidates_by_label_make_no_pairs(spark):
     """Lists of labels in place of pairs give the same rows; a label without a list, or none, gives an empty one."""
     ranked = spark.createDataFrame([(q, m, 1, 9, 0.5) for q in (1, 2, 3, 4) for m in "mn"], "query_id long, method string, rank long, item_id long, score double")
