@@ -4,16 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.normalize import normalize, single_blanks, words
 from gleaner.functions.stopwords import DOMAIN, PORTUGUESE, TOPIC_EXTRA
 
+#: Bytes of simple tokens: those that are characters, and those behind 0xC3.
+ASCII, LATIN = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"0123456789abcdefghijklmnopqrstuvwxyz", bytes({*range(0xA0, 0xC0)} - {0xB7})))
+
+
+def simple_text(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
 
 def simple_tokens(c: Column) -> Column:
     """Lower-case runs of ASCII and Latin-1 letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9a-zà-öø-ÿ]+"), 0)
+    return F.regexp_extract_all(simple_text(c), F.lit("[0-9a-zà-öø-ÿ]+"), 0)
+
+
+def simple_split(texts: pa.Array) -> pa.Array:
+    """The simple tokens of each `simple_text`, by the bytes of all together: what stays of them are the tokens, joined."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    flat = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    kept = ASCII[flat]
+    wide = np.flatnonzero(flat[:-1] == 0xC3)  # leads two bytes, as each Latin-1 letter is written
+    wide = wide[LATIN[flat[wide + 1]]]
+    kept[wide] = kept[wide + 1] = True
+    apart = np.zeros(len(flat), bool)  # a token ends where its text does
+    apart[(ends[:-1] - ends[0])[ends[:-1] < ends[-1]]] = True
+    begins = kept & apart
+    begins[:1] |= kept[:1]
+    begins[1:] |= kept[1:] & ~kept[:-1]
+    closes = kept.copy()
+    closes[:-1] &= begins[1:] | ~kept[1:]
+    begins, closes = np.flatnonzero(begins), np.flatnonzero(closes)
+    before = np.searchsorted(begins, ends - ends[0]).astype(np.int32)
+    place = np.concatenate([[0], np.cumsum(closes + 1 - begins)]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(place), pa.py_buffer(flat[kept])])
+    return pa.ListArray.from_arrays(pa.array(before), tokens)
 
 
 def normalized_tokens(c: Column) -> Column:

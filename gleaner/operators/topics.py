@@ -9,7 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.tokens import ngrams, preprocess_topics
+from gleaner.functions.tokens import preprocess_topics
+from gleaner.operators.ngrams import document_frequencies
 from gleaner.operators.ranking import query_keys
 from gleaner.operators.strata import row_mean
 
@@ -30,11 +31,9 @@ def cluster(vectors: DataFrame, k: int, outlier_share: float = 0.0, seed: int =
     return out.drop("_v")
 
 
-def vocabulary(texts: DataFrame, tokenizer: Callable[[Column], Column], n: Sequence[int] = (1, 2), min_df: int = 3) -> DataFrame:
-    """(term, df) of all n-grams in at least `min_df` texts."""
-    split = texts.select(tokenizer(F.col("text")).alias("tokens"))
-    grams = F.array_distinct(F.concat(*[ngrams(F.col("tokens"), i) for i in n]))
-    return split.select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+def vocabulary(texts: DataFrame, tokenizer: Callable[[Column], Column], n: Sequence[int] = (1, 2), min_df: int = 3, split: Callable | None = None) -> DataFrame:
+    """(term, df) of all n-grams in at least `min_df` texts. split: see `document_frequencies`."""
+    return document_frequencies(texts, tokenizer, n, min_df, split)
 
 
 def class_tfidf(texts: DataFrame, tokenizer: Callable[[Column], Column], by: str = "topic", top: int = 10, digits: int = 9) -> DataFrame:

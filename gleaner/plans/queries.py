@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.normalize import STEPS, normalize, normalize_report
-from gleaner.functions.tokens import jaccard_distinct, preprocess_topics, simple_tokens
+from gleaner.functions.tokens import jaccard_distinct, preprocess_topics, simple_split, simple_text, simple_tokens
 from gleaner.functions.tokens import punctuated_tokens as punctuated
 from gleaner.operators import bm25, corpus, curves, dense, fusion, metrics, ranking, strata, text, topics
 from gleaner.operators.lineage import checkpoint
@@ -471,7 +471,7 @@ def topic_info(spark, sf_dir):
 
 @query
 def ngram_vocab(spark, sf_dir):
-    return topics.vocabulary(documents(spark, sf_dir), simple_tokens)
+    return topics.vocabulary(documents(spark, sf_dir), simple_text, split=simple_split)
 
 
 def by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
